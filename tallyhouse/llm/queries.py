@@ -70,3 +70,61 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text)}
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = {
+    "op3_decontamination": rf"""
+with item as (select item_id, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+item_window as (
+  select distinct cast(item_id as varchar) as item, n, array_to_string(w[cast(i as bigint):cast(i + n - 1 as bigint)], ' ') as win
+  from (select *, unnest(range(1, len(w) - n + 2)) as i from (select *, least(10, len(w)) as n from item where len(w) > 0))),
+doc as (select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+sizes as (select distinct n from item_window),
+doc_window as (
+  select r, n, i, array_to_string(w[cast(i as bigint):cast(i + n - 1 as bigint)], ' ') as win
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, sizes where len(w) >= n)),
+hit as (select distinct d.r, d.n, d.i, x.item from doc_window d join item_window x on d.n = x.n and d.win = x.win),
+hit_word as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hit) group by r),
+hit_item as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hit) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit_word using (r) left join hit_item using (r)""",
+    "op6_chat": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  count(case when role = 'assistant' then 1 end) as n_examples,
+  cast(sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) as bigint) as formatted_chars
+from c group by conv_id""",
+}
+_CANONICAL = r"trim(regexp_replace({}, ' +', ' ', 'g'))"
+
+
+def _canonical_sql(text: str) -> str:
+    """licences.canonical in DuckDB's dialect."""
+    lines = rf"regexp_replace(lower({text}), '(?m)^[^\pL\pN\n]*(?:copyright\b|\(c\)|©)[^\n]*$|^[^\pL\pN\n]*all rights reserved[^\pL\pN\n]*$', ' ', 'g')"
+    words = rf"' ' || regexp_replace({lines}, '[^\pL\pN]+', '  ', 'g') || ' '"
+    for old, new in licences.SPELLINGS.items():
+        words = f"replace({words}, ' {old} ', ' {new} ')"
+    return _CANONICAL.format(words)
+
+
+def _known_sql(texts: dict[str, list[str]]) -> str:
+    rows = ", ".join(f"('{name}', '{form.replace(chr(39), chr(39) * 2)}')" for name, forms in texts.items() for form in forms)
+    return f"(select known, min(license) as license from (select license, sha256({_canonical_sql('t')}) as known from (values {rows}) v(license, t)) group by known)"
+
+
+ORACLE_SQL["op9_licences"] = rf"""
+with whole as {_known_sql(licences.TEXTS)}, notice as {_known_sql(licences.NOTICES)},
+doc as (select row_number() over () as r, doc_id, text, {_canonical_sql("text")} as form from documents),
+line as (select r, unnest(string_split(text, chr(10))) as l from doc),
+found as (select r, license from (select r, sha256({_canonical_sql("l")}) as d from line where regexp_matches(lower(l), 'licen|public|spdx|cc0')) x join notice on x.d = notice.known),
+total as (select r, count(*) as n_notices, string_agg(distinct license, ',' order by license) as notices from found group by r)
+select doc_id, case when form <> '' then sha256(form) end as text_digest, whole.license, cast(coalesce(n_notices, 0) as bigint) as n_notices, coalesce(notices, '') as notices
+from doc left join total using (r) left join whole on whole.known = case when form <> '' then sha256(form) end"""
