@@ -7,20 +7,23 @@ texts agree in a register with their probability Jaccard similarity. A text
 stops drawing arrivals once they come later than all its registers were taken.
 
 Texts of equal words are one node. Nodes that agree in a whole band share a
-bucket. Within a bucket no node is paired with all others: first each node is
-verified against the bucket's least node, then, where a bucket still falls into
-several classes, against some more of its nodes, and at last only nodes of
-different classes are paired. So no link between classes is missed, and a large
-group of copies costs about one pair per member.
+group. Within a group no node is paired with all others: each is verified
+against one hub, a node of the fewest shingles. If a and b have no shingle in
+common outside such a hub h, then |a & b| <= |a & h| and |b| >= |h|, so
+J(a, b) <= J(a, h), and likewise J(a, b) <= J(b, h): a link between them means
+that both are linked to h. Every other link shares a shingle outside the hub,
+and as many as the hub's similarity to a falls short of. Where a group still
+holds several classes, its nodes are therefore dealt out by their rarest
+shingles outside the hub, no more than such a link needs, and only nodes of
+different classes that meet there are paired. No link between classes is missed,
+and a large group of copies costs about one pair per member.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import arrow_text as T
@@ -28,8 +31,6 @@ from tallyhouse.llm.shared import lasting
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Nodes of a divided bucket that all its nodes are verified against in the second round.
-MORE_HUBS = 4
 
 
 def shingles(chunk: T.Chunk, size: int = SHINGLE) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +80,7 @@ def prob_min_hash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_r
 
 
 def sketches(docs: DataFrame, doc: str, text: str, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc, k1, k2 (its words; null without words), b0, b1, … (a key per band)."""
+    """One row per document: doc, k1, k2 (its words; null without words), size (distinct shingles), b0, b1, … (a key per band)."""
 
     def step(batch, chunk, at):
         w, row, code, count = shingles(chunk, size)
@@ -90,46 +91,29 @@ def sketches(docs: DataFrame, doc: str, text: str, bands: int = BANDS, rows: int
             keys = T.mix(keys + found[:, :, k])
         keys = T.mix(keys ^ T.mix(np.arange(1, bands + 1, dtype=np.uint64)))
         long_ = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), mask=empty)
-        return {"k1": long_(_sequence(w, 1)), "k2": long_(_sequence(w, 2))} | {f"b{k}": long_(keys[:, k]) for k in range(bands)}
+        return {"k1": long_(_sequence(w, 1)), "k2": long_(_sequence(w, 2)), "size": np.bincount(row, minlength=chunk.rows)} | {f"b{k}": long_(keys[:, k]) for k in range(bands)}
 
-    return T.map_text(docs.select(doc, text), text, ", ".join(f"{n} long" for n in ("k1", "k2", *(f"b{k}" for k in range(bands)))), step, [doc])
+    return T.map_text(docs.select(doc, text), text, ", ".join(f"{n} long" for n in ("k1", "k2", "size", *(f"b{k}" for k in range(bands)))), step, [doc])
 
 
-def similarities(left: T.Chunk, right: T.Chunk, size: int = SHINGLE) -> np.ndarray:
-    """For each pair of texts the greater of Jaccard (of sets) and probability Jaccard (of weighted shingles)."""
-    _, row_a, code_a, count_a = shingles(left, size)
-    _, row_b, code_b, count_b = shingles(right, size)
+def compare(left: T.Chunk, right: T.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """For each pair of texts: shared shingles, shingles of either, and those of the right that the left lacks."""
+    _, row_a, code_a, _ = shingles(left, size)
+    _, row_b, code_b, _ = shingles(right, size)
     key = lambda row, code: T.mix(code ^ T.mix(row.astype(np.uint64) + np.uint64(1)))
-    a, b = key(row_a, code_a), key(row_b, code_b)
-    both, in_a, in_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    _, in_a, in_b = np.intersect1d(key(row_a, code_a), key(row_b, code_b), assume_unique=True, return_indices=True)
     n = left.rows
     shared = np.bincount(row_a[in_a], minlength=n)
-    size_a, size_b = np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n)
-    jaccard = shared / np.maximum(size_a + size_b - shared, 1)
-    uneven = (np.bincount(row_a, weights=count_a > 1, minlength=n) + np.bincount(row_b, weights=count_b > 1, minlength=n)) > 0
-    for k in np.flatnonzero(uneven & (jaccard < SIMILARITY) & (shared > 0)):
-        jaccard[k] = max(jaccard[k], _probability_jaccard(code_a[row_a == k], 1 + np.log(count_a[row_a == k]), code_b[row_b == k], 1 + np.log(count_b[row_b == k])))
-    return jaccard
-
-
-def _probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Sum over shared i of 1 / sum over j of max(a_j / a_i, b_j / b_i)."""
-    codes = np.union1d(a, b)
-    va, vb = np.zeros(len(codes)), np.zeros(len(codes))
-    va[np.searchsorted(codes, a)], vb[np.searchsorted(codes, b)] = wa, wb
-    with np.errstate(divide="ignore"):
-        ratio = va / vb
-    order = np.argsort(ratio)
-    va, vb, ratio = va[order], vb[order], ratio[order]
-    from_here = np.concatenate((np.cumsum(va[::-1])[::-1], [0]))
-    before = np.concatenate(([0], np.cumsum(vb)))
-    both = np.flatnonzero((va > 0) & (vb > 0))
-    at = np.searchsorted(ratio, ratio[both], "left")
-    return float((1 / (from_here[at] / va[both] + before[at] / vb[both])).sum())
+    own = np.ones(len(row_b), bool)
+    own[in_b] = False
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(row_b[own], minlength=n))))
+    beyond = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code_b[own].view(np.int64)))
+    return shared, np.bincount(row_a, minlength=n), np.bincount(row_b, minlength=n), beyond
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) with linked, whether they are similar enough; short, how many more shared
+    shingles that takes; and beyond, b's shingles outside a."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -137,14 +121,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                rows = next(T.chunks(batch.column(2).slice(at), T.CHUNK_BYTES // 4))[1].rows
-                rows = min(rows, next(T.chunks(batch.column(3).slice(at), T.CHUNK_BYTES // 4))[1].rows)
+                rows = min(next(T.chunks(batch.column(k).slice(at), T.CHUNK_BYTES // 4))[1].rows for k in (2, 3))
                 part = batch.slice(at, rows)
                 a, b = (next(T.chunks(part.column(k), 1 << 62))[1] for k in (2, 3))
-                yield part.select(["a", "b"]).filter(pa.array(similarities(a, b, size) >= similarity))
+                shared, size_a, size_b, beyond = compare(a, b, size)
+                short = np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-9).astype(np.int64) - shared
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(short <= 0), pa.array(short), beyond], names=["a", "b", "linked", "short", "beyond"])
                 at += rows
 
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, short long, beyond array<long>")
     return lasting(found)
 
 
@@ -172,7 +157,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc, class_id (the least id of its class).
 
-    A class holds the documents connected by links of similarity or more. Texts
+    A class holds the documents connected by links of that Jaccard similarity, or
+    more, of their sets of shingles. Texts
     without words (null ones too) have no shingles; each keeps its own id as
     class. Repeated rows and texts that differ in case, punctuation or white space
     alone share a class. Other columns are ignored.
@@ -180,31 +166,25 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
     base = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
     sketched = lasting(sketches(base, "__doc", "__text", bands, rows, size))
     keys = [f"b{k}" for k in range(bands)]
-    nodes = sketched.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("__doc").alias("least"), *(F.first(k).alias(k) for k in keys))
+    nodes = sketched.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("__doc").alias("least"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
     nodes = lasting(nodes.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = lasting(banded.join(shared, "key"))
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", F.col("least").alias("__doc"))
+    banded = nodes.select("node", "size", F.explode(F.array(*keys)).alias("key"))
+    groups = banded.join(banded.groupBy("key").count().filter("count > 1").select("key"), "key")
+    degrees = groups.groupBy("node").agg(F.count("*").alias("degree"))
+    groups = lasting(groups.join(degrees, "node"))
+    wanted = nodes.join(degrees, "node").select("node", "k1", "k2", F.col("least").alias("__doc"))
     texts = lasting(_texts(base, wanted))
 
-    links = [_verified(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), texts, similarity, size)]
-    labels = components(links[0])
-    for last in (False, True):
-        named = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        divided = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        open_ = lasting(named.join(divided, "key"))
-        other = open_
-        if not last:
-            hubs = open_.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))) for k in range(MORE_HUBS)))).alias("hub"))
-            other = hubs.select("key", F.explode("hub").alias("hub")).select("key", "hub.*")
-        crossing = open_.alias("x").join(other.alias("y"), "key").filter("x.comp <> y.comp")
-        pairs = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        tested = buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        found = _verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, similarity, size)
-        if found.limit(1).count():
-            links.append(found)
-            labels = components(reduce(DataFrame.unionByName, links))
+    hubs = groups.groupBy("key").agg(F.min(F.struct("size", -F.col("degree"), "node")).getField("node").alias("hub"))
+    pairs = groups.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = _verified(pairs, texts, similarity, size)
+    links = tested.filter("linked").select("a", "b")
+    labels = components(links)
+    crossing = _crossing(tested, labels)
+    rest = crossing.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    found = _verified(rest, texts, similarity, size).filter("linked").select("a", "b")
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
 
     classes = nodes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.filter("comp <> node").groupBy("comp").agg(F.min("least").alias("other"))
@@ -213,6 +193,28 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
     return sketched.select("__doc", "k1", "k2").join(classes, ["k1", "k2"], "left").select(F.col("__doc").alias(doc), F.coalesce("class_id", "__doc").alias("class_id"))
 
 
+def _crossing(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that were verified against one hub and may be linked.
+
+    A node can only be linked past its hub by short shared shingles outside it (one
+    at least), so all but short - 1 of them, the rarest in the hub's group, must
+    hold one that is shared.
+    """
+    own = labels.select(F.col("node").alias("b"), "comp")
+    named = tested.join(own, "b", "left").select("a", "b", F.coalesce("comp", "b").alias("comp"), F.greatest("short", F.lit(1)).alias("need"), "beyond")
+    divided = named.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a")
+    spread = named.filter(F.size("beyond") >= F.col("need")).join(divided, "a").select("a", "b", "comp", "need", F.size("beyond").alias("outside"), F.explode("beyond").alias("shingle"))
+    spread = lasting(spread)
+    common = spread.groupBy("a", "shingle").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("held > 1")
+    met = spread.join(common, ["a", "shingle"])
+    order = Window.partitionBy("a", "b").orderBy("held", "shingle")  # a text's shingles
+    met = met.withColumn("place", F.row_number().over(order) + F.col("outside") - F.count("*").over(Window.partitionBy("a", "b")))
+    met = lasting(met.filter("low < high and place <= outside - need + 1").select("a", "shingle", "b", "comp", "need", "outside"))
+    x, y = met.alias("x"), met.alias("y")
+    pairs = x.join(y, ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)")
+    return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+
+
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text): for each wanted node a text of its words."""
     joined = base.join(wanted, "__doc").select("node", "k1", "k2", "__text")
