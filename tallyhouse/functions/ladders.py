@@ -233,7 +233,7 @@ def ladder(rules: list[tuple[str, str]], default: str | Column | None) -> Column
     """The label of the first SQL condition that holds, else default."""
     found = None
     for condition, label in rules:
-        found = (found or F).when(F.expr(condition), F.lit(label))
+        found = (F if found is None else found).when(F.expr(condition), F.lit(label))
     return found.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
@@ -241,7 +241,7 @@ def name_ladder(name: Column, rules: list[tuple[str, str]], default: str) -> Col
     """The label of the first LIKE pattern that the upper-cased name matches."""
     found, upper = None, F.upper(name)
     for pattern, label in rules:
-        found = (found or F).when(upper.like(pattern), F.lit(label))
+        found = (F if found is None else found).when(upper.like(pattern), F.lit(label))
     return found.otherwise(F.lit(default))
 
 

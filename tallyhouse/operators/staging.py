@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.measures import units
+from tallyhouse.functions.measures import ratio, units
 
 _TEXT = ("store_number", "store_name", "category", "category_name", "vendor_number", "vendor_name", "item_number", "item_description")
 _CASTS = {"order_date": "date", "pack": "int", "bottle_volume_ml": "int", "bottles_sold": "int", "state_bottle_cost": "decimal(12,2)", "state_bottle_retail": "decimal(12,2)", "sale_dollars": "decimal(12,2)", "volume_sold_liters": "decimal(12,4)", "volume_sold_gallons": "decimal(12,4)"}
@@ -22,7 +22,7 @@ def stage_sales(raw: DataFrame) -> DataFrame:
 
 def per(value: str, amount: str) -> Column:
     """value / amount, null where amount is zero."""
-    return F.when(F.col(amount) != 0, F.col(value) / F.col(amount))
+    return ratio(F.col(value), F.col(amount))
 
 
 def enrich_sales(staged: DataFrame) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.history import merge_incremental, replace_window
 
 
-def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table kept as folders v=0, v=1, …"""
+def read_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table kept as folders v=0, v=1, …; with before, the newest below it."""
     try:
         versions = spark.read.parquet(path)
+        versions = versions if before is None else versions.filter(F.col("v") < before)
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
     newest = versions.agg(F.max("v")).first()[0]
-    return versions.filter(F.col("v") == newest).drop("v")
+    return None if newest is None else versions.filter(F.col("v") == newest).drop("v")
 
 
 def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bool = False):
@@ -30,7 +31,7 @@ def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bo
 
     def put(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        target = read_versions(session, path)
+        target = read_versions(session, path, number)
         if target is None:
             merged = batch
         elif replace_days:
