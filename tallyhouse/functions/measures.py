@@ -24,9 +24,9 @@ def cagr_pct(first: Column, last: Column, span: int) -> Column:
     return F.when((first > 0) & (last > 0), F.round((F.pow(last.cast("double") / first.cast("double"), F.lit(1 / span)) - 1) * 100, 4))
 
 
-def selling_price(sales: Column, units: Column) -> Column:
-    """Average price of a unit, four digits."""
-    return F.round(ratio(sales, units), 4)
+def selling_price(sales: Column, units: Column, digits: int = 2) -> Column:
+    """Average price of a unit, rounded exactly from cents; null without units."""
+    return F.when(units != 0, F.round(sales.cast("decimal(20,2)") / units.cast("decimal(12,0)"), digits).cast("double"))
 
 
 def in_list(column: Column, values: str | list[str] | None, strip_zeros: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import annual_periods, ends_of, period_bounds
-from tallyhouse.functions.measures import ratio, total, units, yoy_pct
+from tallyhouse.functions.measures import selling_price, total, units, yoy_pct
 from tallyhouse.operators.growth import UNKNOWN, period_sums, top_n_rows, within
 from tallyhouse.operators.history import asof_join
 
@@ -36,7 +36,7 @@ def modal_label(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def _price(sales: str, units_: str) -> Column:
-    return F.round(ratio(F.col(sales), F.col(units_)), 2)
+    return selling_price(F.col(sales), F.col(units_))
 
 
 def vendor_mix(lines: DataFrame, by: str, month_start: date) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.measures import cagr_pct, ratio, vendor_label, yoy_pct
+from tallyhouse.functions.measures import cagr_pct, ratio, selling_price, vendor_label, yoy_pct
 
 _D = "decimal(20,2)"
 
@@ -36,7 +36,7 @@ def pivot_mix(mix: DataFrame, rows: str, by: str, values: list[str], measure: st
 def vendor_totals(folded: DataFrame) -> DataFrame:
     """Sales, units and price of each vendor of a folded mix."""
     sums = folded.groupBy("vendor_name", "vendor_rank").agg(money_sum("sales_t12m").alias("sales_t12m"), F.sum("units_t12m").cast("long").alias("units_t12m"))
-    return sums.withColumn("avg_selling_price", F.round(ratio(F.col("sales_t12m"), F.col("units_t12m")), 2))
+    return sums.withColumn("avg_selling_price", selling_price(F.col("sales_t12m"), F.col("units_t12m")))
 
 
 def chains_with_tail(chains: DataFrame, n: int, forced: str = "INDEPENDENT", tail: str = "Independent + Other") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import trailing_weeks
-from tallyhouse.functions.measures import ratio
+from tallyhouse.functions.measures import ratio, selling_price
 from tallyhouse.operators.growth import within
 
 
@@ -19,7 +19,7 @@ def _stores(daily: DataFrame, stores: DataFrame, day: date, weeks: int, column:
 
 def _productivity(groups: DataFrame, by: str, market: DataFrame) -> DataFrame:
     money = F.col("sales").cast("double")
-    return groups.join(F.broadcast(market)).select(by, money.alias("total_sales"), "store_count", F.round(ratio(money, F.col("store_count")), 4).alias("avg_sales_per_store"), F.round(ratio(money, F.col("market")), 6).alias("pct_of_market"))  # market is one row
+    return groups.join(F.broadcast(market)).select(by, money.alias("total_sales"), "store_count", selling_price(F.col("sales"), F.col("store_count"), 4).alias("avg_sales_per_store"), F.round(ratio(money, F.col("market")), 6).alias("pct_of_market"))  # market is one row
 
 
 def chain_performance(daily: DataFrame, stores: DataFrame, day: date, weeks: int = 52, top_n: int = 10, other: str = "Other") -> DataFrame:

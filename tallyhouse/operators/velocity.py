@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import trailing_weeks
-from tallyhouse.functions.measures import ratio
+from tallyhouse.functions.measures import ratio, selling_price
 
 CORE, NICHE, ZOMBIE = "Tier 1: Core", "Tier 2: Niche", "Tier 3: Zombie"
 
@@ -96,7 +96,7 @@ def tier_by_family(labelled: DataFrame) -> DataFrame:
 
 
 def _priced(labelled: DataFrame) -> DataFrame:
-    return labelled.withColumn("avg_selling_price", F.round(ratio(F.col("total_revenue"), F.col("total_units_sold")), 4)).withColumn("total_revenue", F.col("total_revenue").cast("double"))
+    return labelled.withColumn("avg_selling_price", selling_price(F.col("total_revenue"), F.col("total_units_sold"), 4)).withColumn("total_revenue", F.col("total_revenue").cast("double"))
 
 
 def divergent_skus(labelled: DataFrame, volume_tier: str = ZOMBIE, revenue_tier: str = CORE) -> DataFrame:

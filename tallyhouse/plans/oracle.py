@@ -69,6 +69,12 @@ def _yoy(p):
     return f"case when sales_{p}_prior <> 0 then round((sales_{p} - sales_{p}_prior) * 100 / sales_{p}_prior, 2) end as {p}_yoy_pct"
 
 
+def _half_up(money, count, digits):
+    """Cents by a count, rounded half away from zero in whole numbers."""
+    cents = f"cast(round({money} * 100) as hugeint)"
+    return f"case when {count} <> 0 then sign({cents}) * sign({count}) * cast((2 * abs({cents}) * {10 ** (digits - 2)} + abs({count})) // (2 * abs({count})) as double) / {10 ** digits} end"
+
+
 SIX = ("month", "month_prior", "t3m", "t3m_prior", "t12m", "t12m_prior")
 _yoys = ", ".join(_yoy(p) for p in ("month", "t3m", "t12m"))
 _money = lambda c: f"cast(sum(cast({c} as decimal(20,2))) as double) as {c}"
@@ -92,7 +98,7 @@ names as (select vendor_number, vendor_name from (select vendor_number, vendor_n
 ranks as (select vendor_number, vendor_name, cast(row_number() over (order by t desc, vendor_name, vendor_number) as int) as vendor_rank from (select vendor_number, sum(cast(sales_t12m as decimal(20,2))) as t from detail0 group by 1) join names using (vendor_number)),
 detail as (select 'detail' as row_type, {by}, vendor_number, vendor_name, vendor_rank, sales_t12m, sales_t12m_prior, units_t12m from detail0 join ranks using (vendor_number)),
 mixed as (select * from detail union all select 'grand_total', 'Grand Total', null, null, null, {_money("sales_t12m")}, {_money("sales_t12m_prior")}, cast(sum(units_t12m) as bigint) from detail),
-mix as (select *, case when units_t12m <> 0 then round(sales_t12m / units_t12m, 2) end as avg_selling_price, {_yoy("t12m")} from mixed)"""
+mix as (select *, {_half_up("sales_t12m", "units_t12m", 2)} as avg_selling_price, {_yoy("t12m")} from mixed)"""
 
 
 def _historic(grouped=False, package="", channel=False):
@@ -111,7 +117,7 @@ ins as (select hl.*, period_order, period_year from hl join per on order_date >=
 names as (select vendor_number, vendor_name from (select vendor_number, vendor_name, row_number() over (partition by vendor_number order by count(*) desc, vendor_name) rn from ins group by 1, 2) where rn = 1),
 top as (select vendor_number, vendor_name, cast(row_number() over (order by t desc, vendor_name, vendor_number) as int) as vendor_rank from (select vendor_number, sum(sale_dollars) as t from ins where period_order = 0 group by 1) join names using (vendor_number) qualify vendor_rank <= 3),
 folded as (select period_order, period_year, coalesce(top.vendor_number, 'Other') as vendor_number, coalesce(top.vendor_name, 'Other Vendors') as vendor_name, coalesce(vendor_rank, 4) as vendor_rank, {by}, cast(sum(sale_dollars) as double) as sales_t12m, cast(sum(bottles_sold) as bigint) as units_t12m from ins left join top on ins.vendor_number = top.vendor_number group by all)
-select *, case when units_t12m <> 0 then round(sales_t12m / units_t12m, 2) end as avg_selling_price from folded"""
+select *, {_half_up("sales_t12m", "units_t12m", 2)} as avg_selling_price from folded"""
 
 
 def _velocity(where):
@@ -126,7 +132,7 @@ long_ as (select *, 'volume' as dimension, volume_tier as tier from lab union al
 MART = _velocity("order_date >= (select max(order_date) from ded) - interval 84 day")
 TRAIL = _velocity("order_date >= date '2001-08-06' and order_date < date '2001-10-30'")
 _agg = "count(*) as sku_count, cast(sum(total_units_sold) as bigint) as units, cast(sum(total_revenue) as double) as revenue"
-_price_col = "case when total_units_sold <> 0 then round(cast(total_revenue as double) / total_units_sold, 4) end as avg_selling_price"
+_price_col = _half_up("total_revenue", "total_units_sold", 4) + " as avg_selling_price"
 
 WEEKLY = """, wk as (select cast(date_trunc('week', max(order_date)) as date) as this_week from ded),
 recent as (select ded.*, this_week from ded, wk where not is_return and order_date >= this_week - interval 56 day and order_date < this_week),
@@ -225,7 +231,7 @@ _win = "order_date >= date '2001-10-29' - interval 364 day and order_date < date
 
 
 def _prod(by, groups, market):
-    return f"{groups} select {by}, cast(s as double) as total_sales, store_count, round(cast(s as double) / store_count, 4) as avg_sales_per_store, round(cast(s as double) / cast(({market}) as double), 6) as pct_of_market from g"
+    return f"{groups} select {by}, cast(s as double) as total_sales, store_count, {_half_up("s", "store_count", 4)} as avg_sales_per_store, round(cast(s as double) / cast(({market}) as double), 6) as pct_of_market from g"
 
 
 def _store_sums(col, missing):
@@ -241,7 +247,7 @@ _M10 = _mix("price_position_segment", _historic(grouped=True))
 q["c2_top_vendors_plus_other"] = BASE + _M10 + _FOLD + " select * from fold"
 _SEG = ["budget_standard", "premium_plus", "bulk_or_bundle", "trial_size", "other"]
 q["c3_segment_pivot"] = BASE + _M10 + _FOLD + " select vendor_name, " + ", ".join(f"cast(coalesce(sum(case when price_position_segment = '{s}' then cast(sales_t12m as decimal(20,2)) end), 0) as double) as {s}" for s in _SEG) + " from fold group by 1"
-q["c4_vendor_totals"] = BASE + _M10 + _FOLD + f", v as (select vendor_name, vendor_rank, {_money('sales_t12m')}, cast(sum(units_t12m) as bigint) as units_t12m from fold group by 1, 2) select *, case when units_t12m <> 0 then round(sales_t12m / units_t12m, 2) end as avg_selling_price from v"
+q["c4_vendor_totals"] = BASE + _M10 + _FOLD + f", v as (select vendor_name, vendor_rank, {_money('sales_t12m')}, cast(sum(units_t12m) as bigint) as units_t12m from fold group by 1, 2) select *, {_half_up('sales_t12m', 'units_t12m', 2)} as avg_selling_price from v"
 q["c5_chain_tail"] = BASE + f", c as ({CHAINS}), r as (select *, upper(chain) = 'SMALL/IND CHAIN' as forced, row_number() over (partition by upper(chain) = 'SMALL/IND CHAIN' order by sales_t12m desc, chain) as k from c), f as (select case when not forced and k <= 4 then chain else 'Independent + Other' end as chain, {_money('sales_t12m')}, {_money('sales_t12m_prior')} from r group by 1) select *, {_yoy('t12m')} from f"
 q["c6_rolling_mean"] = BASE + _trend("category_family", FAMILY, 5) + ", lab as (select case when regexp_matches(vendor_name, 'LLC') then regexp_replace(vendor_name, 'VENDOR (\\d+) LLC', 'Vendor \\1 Llc') else regexp_replace(vendor_name, 'VENDOR', 'Vendor') end as vendor, sales_month, sales_dollars from trend), m as (select vendor, sales_month, cast(sum(cast(sales_dollars as decimal(20,2))) as double) as sales from lab group by 1, 2) select *, round(cast(sum(cast(sales as decimal(20,2))) over w as double) / count(*) over w, 4) as rolling_sales from m window w as (partition by vendor order by sales_month rows between 2 preceding and current row)"
 q["c7_period_shares"] = BASE + SHARE + f", r as (select *, row_number() over (partition by period_order order by sales_t12m desc, vendor_name, vendor_number) as k from share), f as (select period_order, period_year, case when k <= 3 then vendor_name else 'Other' end as vendor_name, cast(case when k <= 3 then k else 4 end as int) as rank, {_money('sales_t12m')} from r group by 1, 2, 3, 4) select *, round(sales_t12m * 100 / cast(sum(cast(sales_t12m as decimal(20,2))) over (partition by period_order) as double), 4) as share_pct from f"
