@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from datetime import date, datetime
 from pathlib import Path
 
@@ -64,5 +65,6 @@ def write_table(rows: DataFrame, path: str) -> None:
 
 def category_families(spark: SparkSession) -> DataFrame:
     """The seed of category, category_name and category_family."""
-    lines = (Path(__file__).parent / "category_families.csv").read_text().splitlines()
-    return spark.read.schema("category string, category_name string, category_family string").csv(spark.createDataFrame([(x,) for x in lines[1:]], "value string"), quote='"')
+    with (Path(__file__).parent / "category_families.csv").open(newline="") as file:
+        rows = list(csv.reader(file))[1:]
+    return spark.createDataFrame(rows, "category string, category_name string, category_family string")

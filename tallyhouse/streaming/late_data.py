@@ -9,22 +9,22 @@ from tallyhouse.operators.history import merge_incremental, replace_window
 
 
 def read_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a table kept as folders v=0, v=1, …; with before, the newest below it."""
+    """The newest version of a table kept as folders table_version=0, 1, …; with before, the newest below it."""
     try:
         versions = spark.read.parquet(path)
-        versions = versions if before is None else versions.filter(F.col("v") < before)
+        versions = versions if before is None else versions.filter(F.col("table_version") < before)
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.filter(F.col("v") == newest).drop("v")
+    newest = versions.agg(F.max("table_version")).first()[0]
+    return None if newest is None else versions.filter(F.col("table_version") == newest).drop("table_version")
 
 
 def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bool = False):
     """Starts a query that merges each batch into the table at path.
 
-    A batch writes folder v=<batch>, so a repeated batch writes the same folder
+    A batch writes folder table_version=<batch>, so a repeated batch writes the same folder
     again and readers see whole versions. With replace_days a batch replaces the
     days it holds; else it is merged by invoice line.
     """
@@ -39,6 +39,6 @@ def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bo
             merged = replace_window(target, batch, start, end) if start is not None else target
         else:
             merged = merge_incremental(target, batch, lookback_days=36_500)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        merged.write.mode("overwrite").parquet(f"{path}/table_version={number}")
 
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
