@@ -209,9 +209,13 @@ def _crossing(tested: DataFrame, labels: DataFrame) -> DataFrame:
     met = spread.join(common, ["a", "shingle"])
     order = Window.partitionBy("a", "b").orderBy("held", "shingle")  # a text's shingles
     met = met.withColumn("place", F.row_number().over(order) + F.col("outside") - F.count("*").over(Window.partitionBy("a", "b")))
-    met = lasting(met.filter("low < high and place <= outside - need + 1").select("a", "shingle", "b", "comp", "need", "outside"))
+    met = met.filter("low < high and place <= outside - need + 1")
+    met = met.withColumn("dealt", F.collect_list("shingle").over(Window.partitionBy("a", "b")))
+    met = lasting(met.select("a", "shingle", "b", "comp", "need", "outside", "dealt"))
     x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(y, ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)")
+    # of the shingles that a pair meets at, one brings it out
+    once = F.col("shingle") == F.array_min(F.array_intersect("x.dealt", "y.dealt"))
+    pairs = x.join(y, ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
     return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
