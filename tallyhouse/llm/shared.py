@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def lasting(df: DataFrame) -> DataFrame:
-    """df, computed once and reread from files that all executors share.
+    """df, computed once and reread from Parquet files that all executors share.
 
     The folder is the cluster's spark.checkpoint.dir. Only a local session that
-    names none gets a folder of its own.
+    names none gets a folder of its own. Unlike a checkpoint, which keeps the size
+    that its plan was guessed to have (a product over all joins, so it explodes in
+    loops), a written table has its true size: Spark broadcasts it only when small,
+    and later readers take the columns they need.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
