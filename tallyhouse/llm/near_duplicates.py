@@ -215,7 +215,8 @@ def _crossing(tested: DataFrame, labels: DataFrame) -> DataFrame:
     x, y = met.alias("x"), met.alias("y")
     # of the shingles that a pair meets at, one brings it out
     once = F.col("shingle") == F.array_min(F.array_intersect("x.dealt", "y.dealt"))
-    pairs = x.join(y, ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
+    # few bytes, much work: shuffled, so that it spreads, however small the table
+    pairs = x.join(y.hint("merge"), ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
     return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
