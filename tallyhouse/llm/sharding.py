@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.shared import lasting
+from tallyhouse.llm.shared import lasting_in_order
 
 
 
@@ -40,7 +40,7 @@ def shard_by_bytes(rows: DataFrame, n_shards: int, order: str, size: str, partit
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumn("__row", F.monotonically_increasing_id())
     placed = placed.repartitionByRange(partitions, order, "__row").sortWithinPartitions(order, "__row").drop("__row")
-    placed = lasting(placed)
+    placed = lasting_in_order(placed)
     totals = {r[0]: r[1] for r in placed.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(size, F.lit(0)))).collect()}
     starts, total = {}, 0
     for part in sorted(totals):
