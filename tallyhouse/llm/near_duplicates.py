@@ -136,22 +136,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of the links (a, b); comp is the least node that it is connected to.
 
-    Each round passes the least label to the neighbours and then to the label's
-    own label, so long chains shorten by a factor each time. Labels are written
-    out each round.
+    Each round lets every node follow its first neighbour, in an order drawn anew
+    by hash, twice over; links whose ends then coincide are settled and leave. A
+    fixed share of the nodes goes each round, whatever the shape of the graph (a
+    long chain too), so later rounds work on ever fewer links.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = lasting(edges)
-    labels = lasting(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        passed = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        nearer = labels.join(passed, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        moved = lasting(nearer.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        changed = moved.filter("comp <> old").limit(1).count()
-        labels = moved.select("node", "comp")
-        if not changed:
-            return labels
+    edges = lasting(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node"))
+    k = 0
+    while edges.limit(1).count():
+        place = lambda node: F.struct(F.xxhash64(node, F.lit(k)).alias("at"), F.col(node).alias("node"))  # noqa: B023, E731
+        both = edges.union(edges.select("b", "a"))
+        step = lasting(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).select("node", F.least("first", place("node")).getField("node").alias("next")))
+        step = lasting(step.join(step.select(F.col("node").alias("next"), F.col("next").alias("to")), "next").select("node", "to"))
+        labels = lasting(labels.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+        edges = lasting(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        k += 1
+    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
+    return lasting(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 
 def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
