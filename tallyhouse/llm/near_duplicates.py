@@ -14,13 +14,18 @@ J(a, b) <= J(a, h), and likewise J(a, b) <= J(b, h): a link between them means
 that both are linked to h. Every other link shares a shingle outside the hub,
 and as many as the hub's similarity to a falls short of. Where a group still
 holds several classes, its nodes are therefore dealt out by their rarest
-shingles outside the hub, no more than such a link needs, and only nodes of
-different classes that meet there are paired. No link between classes is missed,
-and a large group of copies costs about one pair per member.
+shingles outside the hub, no more than such a link needs. Nodes that meet there
+share rare text, so most that belong together are joined by verifying those
+outside the largest class that meets against one of its nodes, a few times over;
+then all nodes of classes that still differ are paired where they meet. No link
+between classes is missed, and a large group of copies costs about one pair per
+member.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +36,8 @@ from tallyhouse.llm.shared import lasting
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Where nodes meet they are first verified against so many nodes of the largest class, one turn after another.
+MEETING_HUBS = 1, 6
 
 
 def shingles(chunk: T.Chunk, size: int = SHINGLE) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +164,14 @@ def components(links: DataFrame) -> DataFrame:
     return lasting(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after links (a, b) between its nodes; one link for each two classes is passed on."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+    merged = components(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return lasting(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
 def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc, class_id (the least id of its class).
 
@@ -182,12 +197,14 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
     pairs = groups.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tested = _verified(pairs, texts, similarity, size)
     links = tested.filter("linked").select("a", "b")
-    labels = components(links)
-    crossing = _crossing(tested, labels)
-    rest = crossing.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    found = _verified(rest, texts, similarity, size).filter("linked").select("a", "b")
-    if found.limit(1).count():
-        labels = components(links.unionByName(found))
+    labels = lasting(degrees.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    met = _meetings(tested, labels)
+    done = tested.select("a", "b")
+    for choose in (*(partial(_hub_pairs, hubs=k) for k in MEETING_HUBS), _class_pairs):
+        pairs = lasting(choose(_named(met, labels)).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            labels = _joined(labels, _verified(pairs, texts, similarity, size).filter("linked").select("a", "b"))
+            done = done.unionByName(pairs)
 
     classes = nodes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = classes.filter("comp <> node").groupBy("comp").agg(F.min("least").alias("other"))
@@ -196,15 +213,16 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
     return sketched.select("__doc", "k1", "k2").join(classes, ["k1", "k2"], "left").select(F.col("__doc").alias(doc), F.coalesce("class_id", "__doc").alias("class_id"))
 
 
-def _crossing(tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that were verified against one hub and may be linked.
+def _meetings(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    """Where nodes of different classes that were verified against one hub meet: (a, the hub; shingle; b, a
+    node; need; outside; dealt, all shingles that b is dealt out by). Nodes that may be linked meet.
 
     A node can only be linked past its hub by short shared shingles outside it (one
     at least), so all but short - 1 of them, the rarest in the hub's group, must
     hold one that is shared.
     """
     own = labels.select(F.col("node").alias("b"), "comp")
-    named = tested.join(own, "b", "left").select("a", "b", F.coalesce("comp", "b").alias("comp"), F.greatest("short", F.lit(1)).alias("need"), "beyond")
+    named = tested.join(own, "b").select("a", "b", "comp", F.greatest("short", F.lit(1)).alias("need"), "beyond")
     divided = named.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a")
     spread = named.filter(F.size("beyond") >= F.col("need")).join(divided, "a").select("a", "b", "comp", "need", F.size("beyond").alias("outside"), F.explode("beyond").alias("shingle"))
     spread = lasting(spread)
@@ -214,13 +232,33 @@ def _crossing(tested: DataFrame, labels: DataFrame) -> DataFrame:
     met = met.withColumn("place", F.row_number().over(order) + F.col("outside") - F.count("*").over(Window.partitionBy("a", "b")))
     met = met.filter("low < high and place <= outside - need + 1")
     met = met.withColumn("dealt", F.collect_list("shingle").over(Window.partitionBy("a", "b")))
-    met = lasting(met.select("a", "shingle", "b", "comp", "need", "outside", "dealt"))
+    return lasting(met.select("a", "shingle", "b", "need", "outside", "dealt"))
+
+
+def _named(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """met with comp, the class of b now, and members, the size of that class."""
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("members"))
+    return met.join(labels.withColumnRenamed("node", "b").join(sizes, "comp"), "b")
+
+
+def _hub_pairs(met: DataFrame, hubs: int) -> DataFrame:
+    """At each meeting the nodes outside its largest class, each with that many nodes of that class, drawn by hash."""
+    draw = lambda k: F.max(F.struct("members", "comp", F.xxhash64("b", "shingle", F.lit(k)).alias("at"), "b", "need", "outside"))
+    found = met.join(met.groupBy("a", "shingle").agg(F.array(*map(draw, range(hubs))).alias("hubs")), ["a", "shingle"])
+    found = found.filter(F.col("comp") != F.col("hubs")[0]["comp"]).withColumn("hub", F.explode("hubs")).filter("greatest(need, hub.need) <= least(outside, hub.outside)")
+    return found.select(F.least("b", "hub.b").alias("a"), F.greatest("b", "hub.b").alias("b")).distinct()
+
+
+def _class_pairs(met: DataFrame) -> DataFrame:
+    """All pairs of nodes of different classes that meet."""
+    divided = met.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a", "shingle")
+    met = lasting(met.join(divided, ["a", "shingle"]))
     x, y = met.alias("x"), met.alias("y")
     # of the shingles that a pair meets at, one brings it out
     once = F.col("shingle") == F.array_min(F.array_intersect("x.dealt", "y.dealt"))
     # few bytes, much work: shuffled, so that it spreads, however small the table
     pairs = x.join(y.hint("merge"), ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
-    return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
