@@ -1,39 +1,5 @@
-"""Cutting lineage so that lost executors cost no recomputation from the start."""
+"""Lineage cuts of the engine, by the name that this subpackage knows them by."""
 
-from __future__ import annotations
+from tallyhouse.functions.lasting import lasting, lasting_in_order
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local session that names none gets a folder of its own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def lasting(df: DataFrame) -> DataFrame:
-    """df, computed once and reread from Parquet files that all executors share.
-
-    Unlike a checkpoint, which keeps the size that its plan was guessed to have (a
-    product over all joins, so it explodes in loops), a written table has its true
-    size: Spark broadcasts it only when small, and later readers take the columns
-    they need. Partitions and the order of rows aren't kept.
-    """
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def lasting_in_order(df: DataFrame) -> DataFrame:
-    """df, computed once and kept with its partitions and their order of rows, as a checkpoint."""
-    _folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["lasting", "lasting_in_order"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import trailing_weeks
+from tallyhouse.functions.lasting import lasting
 from tallyhouse.functions.measures import ratio, selling_price
 
 CORE, NICHE, ZOMBIE = "Tier 1: Core", "Tier 2: Niche", "Tier 3: Zombie"
@@ -20,8 +21,10 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
 
     Two levels: rows are range-partitioned, each partition's total is added up by
     the driver (a number per partition), and partitions run on from there in parallel.
+    Both levels read one written copy that holds each row's partition: range bounds
+    are sampled, so a second run could cut elsewhere.
     """
-    parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parted = lasting(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     totals = sorted(parted.groupBy("__part").agg(F.sum(value)).collect())
     starts = dict(zip((p for p, _ in totals), accumulate((t or 0 for _, t in totals), initial=0), strict=False))
     kind = df.schema[value].dataType.simpleString()

@@ -110,6 +110,18 @@ def test_running_total_and_tier_cut(spark):
     assert [r[0] for r in cut] == [velocity.CORE, velocity.NICHE, velocity.NICHE, velocity.ZOMBIE, velocity.ZOMBIE]
 
 
+def test_running_total_over_sampled_bounds(spark):
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")  # else so few bytes are one partition
+    wide = F.repeat(F.col("id").cast("string"), 30).alias("label")
+    rows = spark.range(0, 100_000, 1, 8).select(F.format_string("i%06d", "id").alias("item_number"), F.pmod(F.xxhash64("id"), F.lit(5_000)).alias("u"), wide)
+    rows = velocity.running_total(rows, [F.col("u").desc(), F.col("item_number").asc()], "u", "c").select("item_number", "u", "c").toPandas()
+    spark.conf.set(coalesce, before)
+    rows = rows.sort_values(["u", "item_number"], ascending=[False, True])
+    assert len(rows) == 100_000 and (rows.c == rows.u.cumsum()).all()
+
+
 def test_growth_keeps_groups_without_sales(spark):
     fact = spark.createDataFrame([("x", "s", D.date(1990, 1, 1), decimal.Decimal("5.00"), 1)], "item_number string, store_number string, order_date date, sale_dollars decimal(12,2), bottles_sold int")
     items = spark.createDataFrame([("x", "C", "Rum", None, None, None, None)], "item_number string, category_name string, category_family string, vendor_number string, vendor_name string, bottle_volume_ml int, item_description string")
