@@ -5,6 +5,9 @@ process: element d with weight w arrives at times with gaps of mean 1/w, each
 time at one of m registers, and a register keeps the element that came first. Two
 texts agree in a register with their probability Jaccard similarity. A text
 stops drawing arrivals once they come later than all its registers were taken.
+Links are decided by plain sets, so a text that repeats shingles is sketched a
+second time with all weights 1, where registers agree with the set similarity.
+Without repeats both sketches are the same, so unit bands compare with any text's.
 
 Texts of equal words are one node. Nodes that agree in a whole band share a
 group. Within a group no node is paired with all others: each is verified
@@ -87,20 +90,33 @@ def prob_min_hash(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_r
 
 
 def sketches(docs: DataFrame, doc: str, text: str, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc, k1, k2 (its words; null without words), size (distinct shingles), b0, b1, … (a key per band)."""
+    """One row per document: doc, k1, k2 (its words; null without words), size (distinct shingles), b0, b1, … (a key per
+    band) and u0, u1, … (the same of unit weights; null where no shingle repeats, as they equal the former)."""
+
+    def band_keys(found, n):
+        found = found.reshape(n, bands, rows)
+        keys = np.zeros((n, bands), np.uint64)
+        for k in range(rows):
+            keys = T.mix(keys + found[:, :, k])
+        return T.mix(keys ^ T.mix(np.arange(1, bands + 1, dtype=np.uint64)))
 
     def step(batch, chunk, at):
         w, row, code, count = shingles(chunk, size)
         empty = w.counts == 0
-        found = prob_min_hash(row, code, 1 + np.log(count), chunk.rows, bands * rows).reshape(chunk.rows, bands, rows)
-        keys = np.zeros((chunk.rows, bands), np.uint64)
-        for k in range(rows):
-            keys = T.mix(keys + found[:, :, k])
-        keys = T.mix(keys ^ T.mix(np.arange(1, bands + 1, dtype=np.uint64)))
-        long_ = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), mask=empty)
-        return {"k1": long_(_sequence(w, 1)), "k2": long_(_sequence(w, 2)), "size": np.bincount(row, minlength=chunk.rows)} | {f"b{k}": long_(keys[:, k]) for k in range(bands)}
+        keys = band_keys(prob_min_hash(row, code, 1 + np.log(count), chunk.rows, bands * rows), chunk.rows)
+        repeats = np.bincount(row[count > 1], minlength=chunk.rows) > 0
+        again, n = repeats[row], int(repeats.sum())
+        unit = np.zeros((chunk.rows, bands), np.uint64)
+        unit[repeats] = band_keys(prob_min_hash((np.cumsum(repeats) - 1)[row[again]], code[again], np.ones(int(again.sum())), n, bands * rows), n)
+        long_ = lambda x, mask=empty: pa.array(np.ascontiguousarray(x).view(np.int64), mask=mask)
+        made = {"k1": long_(_sequence(w, 1)), "k2": long_(_sequence(w, 2)), "size": np.bincount(row, minlength=chunk.rows)}
+        return made | {f"b{k}": long_(keys[:, k]) for k in range(bands)} | {f"u{k}": long_(unit[:, k], ~repeats) for k in range(bands)}
+
+    return T.map_text(docs.select(doc, text), text, ", ".join(f"{n} long" for n in ("k1", "k2", "size", *_band_names(bands))), step, [doc])
+
 
-    return T.map_text(docs.select(doc, text), text, ", ".join(f"{n} long" for n in ("k1", "k2", "size", *(f"b{k}" for k in range(bands)))), step, [doc])
+def _band_names(bands: int) -> list[str]:
+    return [f"{kind}{k}" for kind in "bu" for k in range(bands)]
 
 
 def compare(left: T.Chunk, right: T.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
@@ -183,10 +199,10 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
     """
     base = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
     sketched = lasting(sketches(base, "__doc", "__text", bands, rows, size))
-    keys = [f"b{k}" for k in range(bands)]
+    keys = _band_names(bands)
     nodes = sketched.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("__doc").alias("least"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
     nodes = lasting(nodes.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.select("node", "size", F.explode(F.array(*keys)).alias("key"))
+    banded = nodes.select("node", "size", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
     groups = banded.join(banded.groupBy("key").count().filter("count > 1").select("key"), "key")
     degrees = groups.groupBy("node").agg(F.count("*").alias("degree"))
     groups = lasting(groups.join(degrees, "node"))

@@ -172,6 +172,21 @@ def test_near_duplicates_brute_force(spark, docs, no_docs):
     assert near_duplicates.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_near_duplicates_of_repeated_passages(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        own = [f"p{k}w{rng.randrange(10_000)}" for _ in range(100)]
+        line = [f"p{k}l{j}" for j in range(24)]
+        rows.append((2 * k, " ".join(own + line * 60)))
+        own[30], own[60] = "other", "others"
+        rows.append((2 * k + 1, " ".join(own + line)))
+    expected = brute_classes(rows)
+    assert expected == Counter((i, i - i % 2) for i, _ in rows)
+    got = near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == expected
+
+
 def test_near_duplicates_odd(odd_docs):
     got = dict(tuple(r) for r in near_duplicates.near_duplicate_classes(odd_docs).collect())
     assert got[11] == got[12] == 11 and got[0] == 0 and got[1] == 1 and len(got) == len(ODD) + 1
