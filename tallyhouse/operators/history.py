@@ -114,13 +114,13 @@ def current_rows(snapshot: DataFrame) -> DataFrame:
     return snapshot.filter("dbt_valid_to is null").drop("dbt_valid_from", "dbt_valid_to")
 
 
-def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_item_number", lookback_days: int = 3, delete_missing: tuple | None = None) -> DataFrame:
-    """target with source rows loaded since its newest load less lookback, put in by key.
+def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_item_number", lookback_days: int | None = 3, delete_missing: tuple | None = None) -> DataFrame:
+    """target with source rows loaded since its newest load less lookback, put in by key; with lookback None all of them.
 
     Nothing is deleted, unless delete_missing names a (column, start, end) window
     in which target rows without a source row go. New source columns are added.
     """
-    newest = target.agg(F.max("loaded_at")).first()[0]
+    newest = None if lookback_days is None else target.agg(F.max("loaded_at")).first()[0]
     fresh = source if newest is None else source.filter(F.col("loaded_at") >= F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lookback_days} days"))
     kept = target.join(fresh.select(key), key, "left_anti")
     if delete_missing:
@@ -130,6 +130,11 @@ def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def replace_days(target: DataFrame, batch: DataFrame, column: str = "order_date") -> DataFrame:
+    """target without its rows of the days that batch holds, and batch added; rows without a day stay."""
+    return target.join(batch.select(column).distinct(), column, "left_anti").unionByName(batch, allowMissingColumns=True)
+
+
 def replace_window(target: DataFrame, batch: DataFrame, start=None, end=None, column: str = "order_date") -> DataFrame:
     """target without its rows from start to end (both included), and batch added; without bounds nothing goes."""
     from tallyhouse.sources.landing import in_window

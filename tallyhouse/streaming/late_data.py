@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.history import merge_incremental, replace_window
+from tallyhouse.operators.history import merge_incremental
+from tallyhouse.operators.history import replace_days as put_days
 
 
 def read_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
@@ -25,8 +26,8 @@ def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bo
     """Starts a query that merges each batch into the table at path.
 
     A batch writes folder table_version=<batch>, so a repeated batch writes the same folder
-    again and readers see whole versions. With replace_days a batch replaces the
-    days it holds; else it is merged by invoice line.
+    again and readers see whole versions. With replace_days a batch replaces exactly the
+    days it holds, days between them stay; else it is merged by invoice line, whenever it was loaded.
     """
 
     def put(batch: DataFrame, number: int) -> None:
@@ -35,10 +36,9 @@ def upsert_stream(lines: DataFrame, path: str, checkpoint: str, replace_days: bo
         if target is None:
             merged = batch
         elif replace_days:
-            start, end = batch.agg(F.min("order_date"), F.max("order_date")).first()
-            merged = replace_window(target, batch, start, end) if start is not None else target
+            merged = put_days(target, batch)
         else:
-            merged = merge_incremental(target, batch, lookback_days=36_500)
+            merged = merge_incremental(target, batch, lookback_days=None)
         merged.write.mode("overwrite").parquet(f"{path}/table_version={number}")
 
     return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -169,6 +169,18 @@ def test_late_data_stream(spark, tmp_path):
     assert sorted((r.invoice_item_number, r.v) for r in late_data.read_versions(spark, table).collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+@pytest.mark.parametrize("days", [False, True])
+def test_late_data_gaps_and_nulls(spark, tmp_path, days):
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    schema = "invoice_item_number string, order_date date, loaded_at timestamp_ntz, v int"
+    day, at = lambda n: n and D.date(2024, 1, n), D.datetime(2024, 2, 1)
+    for rows in ([("a", 1, at, 1), ("b", 15, at, 1), ("c", 30, at, 1), ("n", None, at, 1)], [("a", 1, None, 2), ("d", 30, None, 2), ("m", None, at, 2)]):
+        spark.createDataFrame([(k, day(n), t, v) for k, n, t, v in rows], schema).write.mode("append").parquet(source)
+        late_data.upsert_stream(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "check"), days).awaitTermination(120)
+    got = {(r.invoice_item_number, r.v) for r in late_data.read_versions(spark, table).collect()}
+    assert got == {("a", 2), ("b", 1), ("d", 2), ("n", 1), ("m", 2)} | (set() if days else {("c", 1)})
+
+
 def test_states(spark):
     tasks = spark.createDataFrame([("1", "failed", "PASS"), ("1", "success", "WARN"), ("2", "success", "WARN"), ("3", "success", "PASS")], "run_id string, state string, status string")
     assert {r.run_id: r.final_dag_state for r in monitoring.final_states(tasks).collect()} == {"1": "failed", "2": "degraded", "3": "success"}
