@@ -348,6 +348,21 @@ def test_chat_escapes_and_examples(spark):
     assert chat.digests(chat.format_turns(frame.limit(0))).count() == 0
 
 
+def test_chat_examples_read_back(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"<|t{k}\\") for k in range(1400)]
+    rows += [(2, 0, "assistant", t) for t in ("<|", "<a", "\\", "]")] + [(None, 1, "assistant", "x"), (3, 0, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = {(r.conv_id, r.example): r for r in chat.expand_examples(frame).collect()}
+    assert len(examples) == 705
+    escaped = [t.replace("\\", "\\\\").replace("<|", "<\\|") for _, _, _, t in rows[:1400]]
+    full = "".join(f"<|im_start|>{r[2]}\n{t}<|im_end|>\n" for r, t in zip(rows, escaped))
+    for r in chat.example_spans(frame).filter("conv_id = 1").collect():
+        e = examples[1, r.example]
+        assert full[: r.n_chars] == e.context + e.target + e.tail and full[r.loss_start : r.loss_end] == e.target == escaped[2 * r.example + 1]
+    # ties are in the order of the texts, as digests has it, not of their escaped forms
+    assert Counter(map(tuple, chat.example_digests(frame).collect())) == Counter(map(tuple, chat.digests(chat.format_turns(frame)).collect()))
+
+
 # --- 7: quality model -----------------------------------------------------
 
 
