@@ -1,5 +1,7 @@
 """Public licence texts and the notices that stand for them."""
 
+from pathlib import Path
+
 _MIT = """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -113,6 +115,14 @@ TEXTS = {
     "Zlib": _forms(_ZLIB),
 }
 
+_END = "END OF TERMS AND CONDITIONS"
+#: The longer texts, a file each; also as they end before the advice on how to apply them.
+for _file in sorted((Path(__file__).parent / "licence_files").glob("*.txt")):
+    _text = _file.read_text(encoding="utf-8")
+    TEXTS.setdefault(_file.stem, []).append(_text)
+    if _END in _text:
+        TEXTS[_file.stem] += [_text[: _text.index(_END)], _text[: _text.index(_END) + len(_END)]]
+
 #: Whole notice lines by name of the licence they stand for.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT"],

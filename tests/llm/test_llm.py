@@ -438,6 +438,15 @@ def test_licences(spark, no_docs):
     assert licences.scan_licenses(no_docs).count() == 0
 
 
+def test_long_licences_are_known(spark):
+    wanted = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"]
+    texts = [(n, licences.TEXTS[n][0]) for n in wanted]
+    assert all(len(t) > 1_000 for _, t in texts)
+    rows = [(n, t) for n, t in texts] + [(n, t.upper()) for n, t in texts] + [("Apache-2.0", texts[0][1].split("APPENDIX")[0])]
+    got = licences.scan_licenses(spark.createDataFrame([*rows, (None, texts[1][1][:9000])], "doc_id string, text string")).collect()
+    assert len(got) == 20 and all(r.license == r.doc_id for r in got)
+
+
 # --- 10: main text --------------------------------------------------------
 
 
