@@ -4,8 +4,10 @@ A page is read into text leaves, each with the path of tags above it. For every
 path the text length and the punctuation per leaf are summed up, smoothed along
 the page and fused; paths above a threshold are content. The region around
 them is then read out block by block, which brings back headings and short
-paragraphs beside the selected paths. Parts that their tag, role or class marks
-as menus, notices, adverts, forms or comments never count.
+paragraphs beside the selected paths. Parts that their tag or role marks as
+menus, forms or side matter never count. A class or id is a suspicion only: such
+a part counts if it holds most of the page's prose, or if it lies in an article
+or main, isn't a thread of comments and has a ratio and share of links like content.
 """
 
 from __future__ import annotations
@@ -23,14 +25,20 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas noembed noframes xmp".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style noscript template iframe textarea title object canvas noembed noframes xmp annotation annotation-xml desc metadata".split())
+_INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics
+    svg g tspan textpath""".split())
 _BOILERPLATE = frozenset("nav footer aside form button select option fieldset input dialog menu head".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
     notices alert notification sidebar sidenav rail menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus
     share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signin signup search
     copyright legal disclaimer""".split())
+_THREAD_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: no-sidebar, has-ads: what follows in the name is not what the element is.
+_ABOUT = frozenset("no not non has with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEADER_WORDS = frozenset(("header", "masthead", "topbar", "head"))
 _ROOTS = frozenset(("html", "body", "main", "article"))
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -38,37 +46,54 @@ _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 #: The share of the greatest fused ratio from which a path is content, and the smoothing window.
 THRESHOLD, WINDOW = 0.15, 2
+#: The same share from which a part of a suspicious name is content, if no more than that share of it is links.
+NAMED, NAMED_LINKS = 0.3, 0.5
+
+
+def _words(name: str) -> set[str]:
+    """The words of a class or id that say what the element is."""
+    found = set()
+    for one in name.split():
+        for w in map(str.lower, _PART.findall(one)):
+            if w in _ABOUT:
+                break
+            found.add(w)
+    return found
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its own tag, role, class or id."""
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is boilerplate by its own tag, role or attributes, and what its class and id
+    say: 0 nothing, 1 that it may be, 2 that it may be a thread of comments or, outside an article, anything."""
     if tag in _BOILERPLATE or (tag == "header" and not in_article):
-        return True
+        return True, 0
     if tag in _ROOTS or not attributes.strip():
-        return False
+        return False, 0
+    named = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return True, 0
         if name == "role" and value.lower() in _BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)}
+            return True, 0
+        if name in ("class", "id") and tag not in _HEADINGS:
+            words = _words(value)
             if words & _BOILERPLATE_WORDS or (not in_article and words & _HEADER_WORDS):
-                return True
-    return False
+                named = max(named, 1 if in_article and not words & _THREAD_WORDS else 2)
+    return False, named
 
 
-def leaves(page: str) -> list[tuple[str, int, str, bool, bool]]:
-    """Text leaves outside boilerplate: (path, block, raw text, in an article or main, in a link)."""
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, boilerplate, in article, in link
+def leaves(page: str) -> list[tuple[str, int, str, bool, bool, tuple]]:
+    """Text leaves outside boilerplate: (path, block, raw text, in an article or main, in a link, the
+    suspicious elements around it as (number, kind) pairs)."""
+    nothing = ("", "", False, False, False, ())
+    stack: list[tuple[str, str, bool, bool, bool, tuple]] = []  # tag, path, boilerplate, in article, in link, suspicious
     found, block, at, n = [], 0, 0, len(page)
     lower = None
 
     def text(start: int, end: int) -> None:
         if start < end and not (stack and stack[-1][2]):
-            top = stack[-1] if stack else ("", "", False, False, False)
-            found.append((top[1], block, page[start:end], top[3], top[4]))
+            top = stack[-1] if stack else nothing
+            found.append((top[1], block, page[start:end], *top[3:]))
 
     def close(targets: set[str], until: set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -93,9 +118,9 @@ def leaves(page: str) -> list[tuple[str, int, str, bool, bool]]:
         if not tag:
             continue
         if tag == "br":
-            top = stack[-1] if stack else ("", "", False, False, False)
+            top = stack[-1] if stack else nothing
             if not top[2]:
-                found.append((top[1], block, " ", top[3], top[4]))
+                found.append((top[1], block, " ", *top[3:]))
             continue
         if tag not in _INLINE:
             block += 1
@@ -119,18 +144,48 @@ def leaves(page: str) -> list[tuple[str, int, str, bool, bool]]:
             close(*_CLOSES[tag])
         if tag in _VOID or (m[3] or m[6] or "").rstrip().endswith("/"):
             continue
-        up = stack[-1] if stack else ("", "", False, False, False)
+        up = stack[-1] if stack else nothing
         in_article = up[3] or tag in ("article", "main")
-        boilerplate = up[2] or _marked(tag, m[3] or m[6] or "", up[3])
-        stack.append((tag, up[1] if tag in _INLINE else f"{up[1]}/{tag}", boilerplate, in_article, up[4] or tag == "a"))
+        marked, named = (True, 0) if up[2] else _marked(tag, m[3] or m[6] or "", up[3])
+        stack.append((tag, up[1] if tag in _INLINE else f"{up[1]}/{tag}", marked, in_article, up[4] or tag == "a", (*up[5], (at, named)) if named else up[5]))
     return found
 
 
+def _ratio(chars, points, linked, n):
+    """A path's or part's fused ratio: text length and punctuation per leaf, less what is linked."""
+    return np.log1p(chars / n) * (1 + np.log1p(points / n)) * (1 - linked / chars)
+
+
+def _unsuspicious(found: list) -> list:
+    """The leaves without those in a part that its name and its ratios show to be boilerplate."""
+    if not any(x[5] for x in found):
+        return found
+    parts: dict[tuple, list] = {}
+    paths: dict[str, list] = {}
+    prose = 0
+    for path, _, raw, _, link, named in found:
+        n = len(raw.strip())
+        if n:
+            prose += 0 if link else n
+            for total in [parts.setdefault(x, [0, 0, 0, 0]) for x in named] or [paths.setdefault(path, [0, 0, 0, 0])]:
+                total[0] += n
+                total[1] += len(_PUNCTUATION.findall(raw))
+                total[2] += n if link else 0
+                total[3] += 1
+    best = max((_ratio(*t) for t in paths.values()), default=0.0)
+    gone = set()
+    for part, t in parts.items():
+        content = part[1] == 1 and t[2] <= NAMED_LINKS * t[0] and _ratio(*t) >= NAMED * best
+        if not content and 2 * (t[0] - t[2]) <= prose:
+            gone.add(part)
+    return [x for x in found if not gone.intersection(x[5])]
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, in order, one to a line; empty if it has none."""
     if not page:
         return ""
-    found = leaves(page)
+    found = _unsuspicious(leaves(page))
     if any(x[3] and x[2].strip() for x in found):  # a page that names its main part
         found = [x for x in found if x[3]]
     solid = [x for x in found if x[2].strip()]
@@ -144,9 +199,7 @@ def main_text(page: str | None) -> str:
     linked = np.array([x[4] for x in solid], float) * chars
     n = np.bincount(which, minlength=len(paths))
     per = lambda v: np.bincount(which, weights=v, minlength=len(paths))
-    length_ratio, point_ratio = per(chars) / n, per(points) / n
-    prose = 1 - per(linked) / per(chars)
-    along = (np.log1p(length_ratio) * (1 + np.log1p(point_ratio)) * prose)[which]
+    along = _ratio(per(chars), per(points), per(linked), n)[which]
     kernel = np.exp(-0.5 * np.arange(-WINDOW, WINDOW + 1) ** 2)
     blur = lambda v: np.convolve(v, kernel)[WINDOW : WINDOW + len(v)]
     smooth = blur(along) / blur(np.ones(len(along)))
@@ -155,7 +208,7 @@ def main_text(page: str | None) -> str:
     region = _region(content, per(chars), number)
     kept = [x for x in found if x[0] in content or x[0].startswith(region) or x[0] == region.rstrip("/")]
     blocks: dict[int, list[str]] = {}
-    for _, block, raw, _, _ in kept:
+    for _, block, raw, *_ in kept:
         blocks.setdefault(block, []).append(raw)
     lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(line for line in lines if line)

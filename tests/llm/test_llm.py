@@ -477,6 +477,19 @@ def test_main_text_by_hand(spark):
     assert main_text.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_suspicious_names():
+    prose = "A paragraph of the text, with some clauses, and full stops. It goes on for a while, as prose does."
+    share = '<div class="share"><a href="#">Share</a> <a href="#">Tweet</a></div>'
+    cases = {
+        f'<article><h2 id="related-work">Related work</h2><p>{prose}</p><section id="copyright"><p>{prose}</p></section><p class="notice">Note that this holds, too.</p>{share}</article>': f"Related work\n{prose}\n{prose}\nNote that this holds, too.",
+        f'<body><div class="entry no-sidebar"><p>{prose}</p><p>{prose}</p></div><div class="sidebar">Side, text.</div></body>': f"{prose}\n{prose}",
+        f'<body><div class="widget"><h3 class="banner">Title</h3><p>{prose}</p><div class="comments"><p>Nice, very nice.</p></div></div></body>': f"Title\n{prose}",
+        f"<article><p>{prose} <math><msup><mi>x</mi><mn>2</mn></msup></math> ends.</p><svg><title>t</title><text>Label one</text></svg></article>": f"{prose} x2 ends.\nLabel one",
+        f'<main><p>{prose}</p><div id="comments"><p>First, nice.</p></div></main>': prose,
+    }
+    assert [main_text.main_text(page) for page in cases] == list(cases.values())
+
+
 # --- pipeline -------------------------------------------------------------
 
 
