@@ -117,11 +117,12 @@ def current_rows(snapshot: DataFrame) -> DataFrame:
 def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_item_number", lookback_days: int | None = 3, delete_missing: tuple | None = None) -> DataFrame:
     """target with source rows loaded since its newest load less lookback, put in by key; with lookback None all of them.
 
-    Nothing is deleted, unless delete_missing names a (column, start, end) window
+    Of several source rows of a key the one loaded last counts. Nothing is deleted, unless delete_missing names a (column, start, end) window
     in which target rows without a source row go. New source columns are added.
     """
     newest = None if lookback_days is None else target.agg(F.max("loaded_at")).first()[0]
     fresh = source if newest is None else source.filter(F.col("loaded_at") >= F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lookback_days} days"))
+    fresh = latest_per_key(fresh, [key], [F.col("loaded_at").desc_nulls_last(), F.xxhash64(*fresh.columns).asc()])
     kept = target.join(fresh.select(key), key, "left_anti")
     if delete_missing:
         column, start, end = delete_missing

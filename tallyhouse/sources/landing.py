@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.lasting import delete, file_system, lasting
+
 #: Payload field of each raw column, in the order of the raw table.
 FIELDS = {
     "invoice_item_number": "invoice_line_no", "date": "date", "store_number": "store", "store_name": "name", "address": "address", "city": "city", "zip_code": "zipcode", "store_location": "store_location",
@@ -49,10 +51,43 @@ def append_raw(rows: DataFrame, path: str) -> None:
 
 
 def overwrite_days(rows: DataFrame, path: str) -> None:
-    """Replaces exactly the days that rows hold, as a repeated load of a window does."""
+    """Replaces exactly the days that rows hold; other days stay."""
     rows.withColumn("landed_on", F.col("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("landed_on").parquet(path)
 
 
+def landed_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that the landed table has a folder for; a day's name is all that is read."""
+    files, at = file_system(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    found = (n.removeprefix("landed_on=") for n in names if n.startswith("landed_on="))
+    return sorted(date.fromisoformat(n) for n in found if n[:1].isdigit())
+
+
+def replace_landed_window(rows: DataFrame, path: str, start: date | None = None, end: date | None = None) -> None:
+    """Loads a window anew: all landed days from start to end (both included, either optional) go, also
+    those that rows no longer hold, and rows come in. Rows outside the window, or without a day,
+    are added to what is there; without bounds all are.
+
+    Days that rows hold are swapped by Spark, then the folders of the others are deleted, so
+    a load that broke off can be repeated.
+    """
+    spark = rows.sparkSession
+    if start is None and end is None:
+        return append_raw(rows, path)
+    inside = F.coalesce(in_window("date", start, end), F.lit(False))
+    rows = lasting(rows)
+    kept = {r[0] for r in rows.filter(inside).select("date").distinct().collect()}  # a window's days
+    stale = [d for d in landed_days(spark, path) if d not in kept and (start is None or d >= start) and (end is None or d <= end)]
+    if kept:
+        overwrite_days(rows.filter(inside), path)
+    for day in stale:
+        delete(spark, f"{path}/landed_on={day.isoformat()}")
+    outside = rows.filter(~inside)
+    if outside.limit(1).count():
+        append_raw(outside, path)
+    return None
+
+
 def read_raw(spark: SparkSession, path: str, start: date | None = None, end: date | None = None) -> DataFrame:
     """The landed table between two days; other days' folders aren't opened."""
     return spark.read.schema(f"{RAW_SCHEMA}, landed_on date").parquet(path).filter(in_window("landed_on", start, end)).drop("landed_on")

@@ -27,12 +27,12 @@ select case when l_returnflag = 'R' and l_linestatus = 'F' then 'RINV-' else 'IN
 from (select *, case when l_returnflag = 'R' and l_linestatus = 'F' and l_linenumber <> 7 then -1 when l_orderkey % 501 = 0 then -1 else 1 end as sgn from {{lineitem}}) l
 join {{orders}} on o_orderkey = l_orderkey join {{customer}} on c_custkey = o_custkey join {{nation}} on n_nationkey = c_nationkey join {{part}} on p_partkey = l_partkey) lines"""
 
-_TABLES = ("lineitem", "orders", "customer", "nation", "part")
+TABLES = ("lineitem", "orders", "customer", "nation", "part")
 
 
 def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice lines with duplicates, returns and null descriptions."""
-    return spark.sql(LINES_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES})
+    return spark.sql(LINES_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
 def family_map(spark: SparkSession) -> DataFrame:
