@@ -213,11 +213,15 @@ SEGMENTS = [
     ("package_size_tier = 'jumbo_value' and state_bottle_retail < 15 and price_per_100ml < 2", "high_volume"),
     ("package_size_tier = 'jumbo_value' and state_bottle_retail >= 15 and price_per_100ml >= 2", "premium_bulk"),
 ]
+# Segments as reports show them; a segment in no rule keeps its name. The plain report merges two kinds, the grouped one four.
+MERGED_SEGMENTS = [
+    ("price_position_segment in ('premium_bulk', 'value_oversized', 'bundle_pack')", "bulk_or_bundle"),
+    ("price_position_segment in ('trial_value', 'trial_premium', 'trial_luxury')", "trial_size"),
+]
 GROUPED_SEGMENTS = [
     ("price_position_segment in ('budget', 'standard')", "budget_standard"),
     ("price_position_segment in ('premium', 'super_premium', 'ultra_premium', 'luxury', 'icon_collectible')", "premium_plus"),
-    ("price_position_segment in ('premium_bulk', 'value_oversized', 'bundle_pack')", "bulk_or_bundle"),
-    ("price_position_segment in ('trial_value', 'trial_premium', 'trial_luxury')", "trial_size"),
+    *MERGED_SEGMENTS,
 ]
 ARCHETYPES = [
     ("upper(item_description) like '%MINI%' or (category_name in ('AMERICAN SCHNAPPS', 'AMERICAN CORDIALS & LIQUEURS', 'WHISKEY LIQUEUR') and avg_selling_price between 70 and 90)", "Mini Variety Pack"),

@@ -64,13 +64,15 @@ def greatest_or_null(*columns: Column) -> Column:
 
 
 def vendor_label(name: Column) -> Column:
-    """A vendor's name without its number, in title case if it is all upper case."""
-    bare = F.regexp_replace(name, r"^\s*\d+\s*[-:]\s*", "")
-    return F.when((bare == F.upper(bare)) & bare.rlike("[A-Z]"), F.initcap(F.lower(bare))).otherwise(bare)
+    """A vendor's name without its number and outer blanks; if it is all upper case, every run of letters
+    starts with a capital, also after a hyphen, an apostrophe or a digit."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?U)^\s*\d+\s*[-:]\s*", ""), r"(?U)^\s+|\s+$", "")
+    runs = F.regexp_extract_all(bare, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    title = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
+    return F.when((bare == F.upper(bare)) & bare.rlike(r"\p{Lu}"), title).otherwise(bare)
 
 
 def bottle_label(millilitres: Column) -> Column:
-    """A size as shown on shelves: millilitres, from a litre on litres; Other if null."""
-    litres = F.concat(F.regexp_replace(F.format_number(millilitres / 1000, 2), r"0$", ""), F.lit("L"))
-    litres = F.regexp_replace(litres, r"\.0L$", ".0L")
-    return F.when(millilitres.isNull(), "Other").when(millilitres >= 1000, litres).otherwise(F.concat(millilitres.cast("string"), F.lit("ml")))
+    """A size as shown on shelves: 1L and 1.75L by name, all others in millilitres; Other if null."""
+    shown = F.concat(millilitres.cast("long").cast("string"), F.lit("ml"))
+    return F.when(millilitres.isNull(), "Other").when(millilitres.cast("long") == 1000, "1L").when(millilitres.cast("long") == 1750, "1.75L").otherwise(shown)

@@ -119,7 +119,7 @@ def vendor_category_mix(fact: DataFrame, items: DataFrame, month_start: date, fa
     detail = lines.groupBy("category_name", "vendor_number", "vendor_name").agg(*period_sums(_bounds(month_start, T12M)))
     totals = detail.groupBy("vendor_number", "vendor_name").agg(F.sum(F.col("sales_t12m").cast("decimal(20,2)")).alias("t"))
     ranks = totals.select("vendor_number", "vendor_name", F.row_number().over(Window.orderBy(F.col("t").desc(), "vendor_name", "vendor_number")).alias("vendor_rank"))
-    return with_yoy(with_grand_total(detail.join(F.broadcast(ranks), ["vendor_number", "vendor_name"]), "category_name", ["sales_t12m", "sales_t12m_prior"]), T12M)
+    return with_yoy(with_grand_total(detail.join(ranks, ["vendor_number", "vendor_name"]), "category_name", ["sales_t12m", "sales_t12m_prior"]), T12M)
 
 
 def vendor_share_by_year(fact: DataFrame, items: DataFrame, month_start: date, family: str, trend_years: int = 3) -> DataFrame:
@@ -141,9 +141,11 @@ def vendor_monthly_trend(fact: DataFrame, items: DataFrame, start: date, end: da
 
 
 def top_n_rows(df: DataFrame, order: list[Column], n: int, rank: str, by: list[str] | None = None) -> DataFrame:
-    """The first n rows in an order, with their rank; by groups if by is given."""
-    window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    """The first n rows in an order, with their rank; by groups if by is given. Each task passes on n rows
+    (of a group) at most, so one task numbers n rows for each of them."""
+    if by:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= n)
+    return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
 def with_cagr(growth: DataFrame, span: int) -> DataFrame:

@@ -47,9 +47,9 @@ def history_coverage(fact: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Keys on which two tables differ in a measure, or that only one has."""
+    """Keys on which two tables differ in a measure; a missing row or value counts as zero."""
     a, b = left.select(*keys, *(F.col(m).alias(f"l_{m}") for m in measures)), right.select(*keys, *(F.col(m).alias(f"r_{m}") for m in measures))
-    return a.join(b, keys, "full_outer").filter(reduce(lambda x, y: x | y, (~F.col(f"l_{m}").eqNullSafe(F.col(f"r_{m}")) for m in measures)))
+    return a.join(b, keys, "full_outer").filter(reduce(lambda x, y: x | y, (F.coalesce(f"l_{m}", F.lit(0)) != F.coalesce(f"r_{m}", F.lit(0)) for m in measures)))
 
 
 def overlapping_windows(history: DataFrame, key: str = "item_number") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.measures import cagr_pct, ratio, selling_price, vendor_label, yoy_pct
+from tallyhouse.operators.growth import top_n_rows
 
 _D = "decimal(20,2)"
 
@@ -14,28 +15,44 @@ def money_sum(column: str) -> Column:
     return F.sum(F.col(column).cast(_D)).cast("double")
 
 
+#: What names a vendor in a folded mix.
+VENDOR = ["vendor_rank", "vendor_number", "vendor_name"]
+#: Kinds of report rows from details to the grand total.
+ROW_TYPES = ["detail", "subtotal_by_vendor", "subtotal_by_bottle_volume", "subtotal_by_category", "grand_total"]
+
+
+def ordered(report: DataFrame, *by: str) -> DataFrame:
+    """A report's rows as they are printed: by kind, totals last, then by columns, nulls last; -column is descending."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in zip(ROW_TYPES, range(len(ROW_TYPES)), strict=True) for x in pair]), F.col("row_type")) if report.schema["row_type"].dataType.typeName() == "string" else F.col("row_type")
+    return report.orderBy(kind, *(F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in by))
+
+
 def top_n_plus_other(df: DataFrame, label: str, n: int, other: str = "Other") -> DataFrame:
     """The n largest rows by sales_t12m and one for all others; growth is taken from the sums."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("sales_t12m").desc_nulls_last(), label)))
-    folded = ranked.groupBy(F.when(F.col("__rank") <= n, F.col(label)).otherwise(other).alias(label), (F.col("__rank") > n).alias("is_other")).agg(money_sum("sales_t12m").alias("sales_t12m"), money_sum("sales_t12m_prior").alias("sales_t12m_prior"))
+    top = top_n_rows(df, [F.col("sales_t12m").desc_nulls_last(), F.col(label).asc()], n, "__rank").select(F.col(label).alias("__label"), F.lit(True).alias("__top"))
+    ranked = df.join(F.broadcast(top), F.col(label).eqNullSafe(F.col("__label")), "left").withColumn("is_other", F.col("__top").isNull())  # n rows
+    folded = ranked.groupBy(F.when(F.col("is_other"), other).otherwise(F.col(label)).alias(label), "is_other").agg(money_sum("sales_t12m").alias("sales_t12m"), money_sum("sales_t12m_prior").alias("sales_t12m_prior"))
     return folded.withColumn("t12m_yoy_pct", yoy_pct(F.col("sales_t12m"), F.col("sales_t12m_prior")))
 
 
 def top_vendors_plus_other(mix: DataFrame, by: str, n: int) -> DataFrame:
-    """A mix with vendors beyond rank n folded per segment into rank n + 1."""
+    """A mix by category, segment or channel with vendors beyond rank n folded into rank n + 1; growth is
+    taken from the sums. Units are summed where the mix has them."""
     top = F.col("vendor_rank") <= n
-    keys = [F.when(top, F.col("vendor_name")).otherwise("Other").alias("vendor_name"), F.when(top, F.col("vendor_rank")).otherwise(n + 1).alias("vendor_rank")]
-    return mix.filter("row_type = 'detail'").groupBy(*keys, by).agg(money_sum("sales_t12m").alias("sales_t12m"), F.sum("units_t12m").cast("long").alias("units_t12m"))
+    other = {"vendor_rank": F.lit(n + 1), "vendor_number": F.lit("Other"), "vendor_name": F.lit("Other Vendors")}
+    sums = [money_sum(c).alias(c) for c in ("sales_t12m", "sales_t12m_prior")] + [F.sum(c).cast("long").alias(c) for c in ("units_t12m",) if c in mix.columns]
+    folded = mix.filter("row_type = 'detail'").groupBy(*(F.when(top, F.col(c)).otherwise(other[c]).alias(c) for c in VENDOR), by).agg(*sums)
+    return folded.withColumn("t12m_yoy_pct", yoy_pct(F.col("sales_t12m"), F.col("sales_t12m_prior")))
 
 
-def pivot_mix(mix: DataFrame, rows: str, by: str, values: list[str], measure: str = "sales_t12m") -> DataFrame:
+def pivot_mix(mix: DataFrame, rows: str | list[str], by: str, values: list[str], measure: str = "sales_t12m") -> DataFrame:
     """A column for each listed value of by, in that order; zero where there is nothing."""
-    return mix.groupBy(rows).pivot(by, values).agg(money_sum(measure)).fillna(0.0)
+    return mix.groupBy(*([rows] if isinstance(rows, str) else rows)).pivot(by, values).agg(money_sum(measure)).fillna(0.0, values)
 
 
 def vendor_totals(folded: DataFrame) -> DataFrame:
     """Sales, units and price of each vendor of a folded mix."""
-    sums = folded.groupBy("vendor_name", "vendor_rank").agg(money_sum("sales_t12m").alias("sales_t12m"), F.sum("units_t12m").cast("long").alias("units_t12m"))
+    sums = folded.groupBy(*VENDOR).agg(money_sum("sales_t12m").alias("sales_t12m"), F.sum("units_t12m").cast("long").alias("units_t12m"))
     return sums.withColumn("avg_selling_price", selling_price(F.col("sales_t12m"), F.col("units_t12m")))
 
 

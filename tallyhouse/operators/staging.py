@@ -41,7 +41,8 @@ def is_return(invoice: Column) -> Column:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per keys, the first in order."""
+    """One row per keys, the first in order. Spark keeps one row per keys in each task before the shuffle
+    (WindowGroupLimit), so a hot key isn't gathered."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 
@@ -85,6 +86,10 @@ def fact_sales(deduped: DataFrame) -> DataFrame:
     return deduped.select(FACT)
 
 
+#: The measures of a store's day.
+DAILY = ["total_bottles_sold", "total_sales_dollars", "total_volume_sold_liters", "total_volume_sold_gallons", "total_estimated_cost", "total_estimated_gross_profit", "invoice_line_count"]
+
+
 def store_daily_sales(fact: DataFrame) -> DataFrame:
     """Sums and line count by store and day."""
     money = lambda c, n: F.sum(c).cast("decimal(20,4)").alias(n)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import trailing_weeks
 from tallyhouse.functions.measures import ratio, selling_price
-from tallyhouse.operators.growth import within
+from tallyhouse.operators.growth import top_n_rows, within
 
 
 def _stores(daily: DataFrame, stores: DataFrame, day: date, weeks: int, column: str, missing: str) -> DataFrame:
@@ -26,8 +26,9 @@ def chain_performance(daily: DataFrame, stores: DataFrame, day: date, weeks: int
     """Sales, stores, sales a store and share of the top chains and all others together."""
     lines = _stores(daily, stores, day, weeks, "chain", "UNKNOWN")
     chains = lines.groupBy("chain").agg(F.sum("sales").cast("decimal(20,2)").alias("sales"), F.count_distinct("store_number").alias("store_count"))
-    ranked = chains.withColumn("rank", F.row_number().over(Window.orderBy(F.col("sales").desc(), "chain")))
-    groups = ranked.groupBy(F.when(F.col("rank") <= top_n, F.col("chain")).otherwise(other).alias("chain_group")).agg(F.sum("sales").alias("sales"), F.sum("store_count").alias("store_count"))
+    top = top_n_rows(chains, [F.col("sales").desc(), F.col("chain").asc()], top_n, "__rank").select(F.col("chain").alias("__top"))
+    ranked = chains.join(F.broadcast(top), F.col("chain") == F.col("__top"), "left")  # top_n rows
+    groups = ranked.groupBy(F.coalesce("__top", F.lit(other)).alias("chain_group")).agg(F.sum("sales").alias("sales"), F.sum("store_count").alias("store_count"))
     return _productivity(groups, "chain_group", chains.agg(F.sum("sales").alias("market")))
 
 

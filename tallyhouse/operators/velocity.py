@@ -53,6 +53,7 @@ def item_totals(lines: DataFrame) -> DataFrame:
 
 def velocity_ranked(base: DataFrame) -> DataFrame:
     """Adds running totals by either measure, the totals of all items and their number."""
+    base = lasting(base)  # four readers
     all_items = base.agg(F.sum("total_units_sold").cast("long").alias("state_units"), F.sum("total_revenue").cast("decimal(20,2)").alias("state_revenue"), F.count("*").alias("active_sku_count"))
     ranked = running_total(base, [F.col("total_units_sold").desc(), F.col("item_number").asc()], "total_units_sold", "cumulative_units")
     ranked = running_total(ranked, [F.col("total_revenue").desc(), F.col("item_number").asc()], "total_revenue", "cumulative_revenue")

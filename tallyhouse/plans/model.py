@@ -1,13 +1,16 @@
-"""The models of a folder of tables, each built from the ones before it as lazy DataFrames."""
+"""The models of a folder of tables, each built from the ones before it."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import date, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.lasting import exists, file_system, shared_folder, written
 from tallyhouse.operators import history, replenishment, staging, velocity
 from tallyhouse.sources import sales
 
@@ -20,9 +23,37 @@ WINDOW = (date(1999, 6, 1), date(1999, 6, 28))
 
 
 class Model:
+    """The models of a folder of tables.
+
+    Models that several others read are written once to the shared folder, as tables; later
+    models and other queries of the session over the same files read them back, so the raw
+    tables are read once.
+    """
+
+    _saved: dict[tuple, tuple[str, DataFrame]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def version(self) -> tuple:
+        """What the raw tables' files are now: their paths, lengths and times."""
+        found = []
+        for table in sales.TABLES:
+            files, path = file_system(self.spark, f"{self.sf_dir}/{table}.parquet")
+            every = files.listFiles(path, True)
+            while every.hasNext():
+                one = every.next()
+                found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+        return self.spark.sparkContext.applicationId, *sorted(found)
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (name, self.version)
+        if key not in Model._saved or not exists(self.spark, Model._saved[key][0]):
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            Model._saved[key] = path, written(build(), path)
+        return Model._saved[key][1]
+
     @cached_property
     def lines(self) -> DataFrame:
         return sales.sales_lines(self.spark, self.sf_dir)
@@ -33,15 +64,11 @@ class Model:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return staging.enrich_sales(staging.stage_sales(self.lines))
-
-    @cached_property
-    def flagged(self) -> DataFrame:
-        return self.sales.withColumn("is_return", staging.is_return(F.col("invoice_item_number")))
+        return self._once("sales", lambda: staging.enrich_sales(staging.stage_sales(self.lines)))
 
     @cached_property
     def deduped(self) -> DataFrame:
-        return staging.dedupe_latest(self.sales)
+        return self._once("deduped", lambda: staging.dedupe_latest(self.sales))
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -49,19 +76,19 @@ class Model:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return staging.store_daily_sales(self.fact)
+        return self._once("daily", lambda: staging.store_daily_sales(self.fact))
 
     @cached_property
     def items(self) -> DataFrame:
-        return history.item_attributes_current(self.sales, self.families)
+        return self._once("items", lambda: history.item_attributes_current(self.sales, self.families))
 
     @cached_property
     def stores(self) -> DataFrame:
-        return history.store_attributes_current(self.sales)
+        return self._once("stores", lambda: history.store_attributes_current(self.sales))
 
     @cached_property
     def history(self) -> DataFrame:
-        return history.scd2_from_changes(self.deduped)
+        return self._once("history", lambda: history.scd2_from_changes(self.deduped))
 
     @cached_property
     def priced(self) -> DataFrame:
@@ -70,14 +97,18 @@ class Model:
     def snapshots(self, of: str) -> DataFrame:
         """The item or store snapshot after a run at BATCH on earlier loads and one at AS_OF on all."""
         build = (lambda s: history.item_attributes_current(s, self.families)) if of == "item" else history.store_attributes_current
-        key = f"{of}_number"
-        first = build(self.sales.filter(F.col("loaded_at") < F.lit(BATCH).cast("timestamp_ntz")))
-        columns = [c for c in first.columns if c != key]
-        return history.snapshot_check(history.snapshot_check(None, first, key, columns, BATCH), build(self.sales), key, columns, AS_OF)
+        key, current = f"{of}_number", self.items if of == "item" else self.stores
+        columns = [c for c in current.columns if c != key]
+        early = lambda: history.snapshot_check(None, build(self.sales.filter(F.col("loaded_at") < F.lit(BATCH).cast("timestamp_ntz"))), key, columns, BATCH)
+        return self._once(f"{of}_snapshot", lambda: history.snapshot_check(self._once(f"{of}_first", early), current, key, columns, AS_OF))
+
+    @cached_property
+    def velocity(self) -> DataFrame:
+        return self._once("velocity", lambda: velocity.velocity_base(self.deduped))
 
     @cached_property
     def classified(self) -> DataFrame:
-        return velocity.classify(velocity.velocity_ranked(velocity.velocity_base(self.deduped)))
+        return self._once("classified", lambda: velocity.classify(velocity.velocity_ranked(self.velocity)))
 
     @cached_property
     def sku_velocity(self) -> DataFrame:
@@ -85,11 +116,12 @@ class Model:
 
     @cached_property
     def window_classified(self) -> DataFrame:
-        return velocity.classify(velocity.velocity_ranked(velocity.velocity_window(self.fact, DAY, 12)))
+        build = lambda: velocity.classify(velocity.velocity_ranked(velocity.velocity_window(self.fact, DAY, 12)))
+        return self._once("window_classified", build)
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return replenishment.weekly_depletions(self.deduped)
+        return self._once("weekly", lambda: replenishment.weekly_depletions(self.deduped))
 
     @cached_property
     def forecast(self) -> DataFrame:
@@ -100,4 +132,14 @@ class Model:
         """A run history derived from events."""
         events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
         state = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "degraded").otherwise("success")
-        return events.select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("source"), F.col("ts").alias("created_at"), F.col("value").cast("decimal(12,4)").alias("duration_seconds"), state.alias("final_dag_state"), F.when(F.col("user_id") % 10 == 0, "WARN").otherwise("PASS").alias("freshness_status"), F.lit("PASS").alias("snapshot_status"))
+        return events.select(
+            F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("source"), F.col("ts").alias("created_at"), F.col("value").cast("decimal(12,4)").alias("duration_seconds"),
+            state.alias("final_dag_state"), F.when(F.col("user_id") % 10 == 0, "WARN").otherwise("PASS").alias("freshness_status"), F.lit("PASS").alias("snapshot_status"),
+        )
+
+    @cached_property
+    def tasks(self) -> DataFrame:
+        """Tasks of runs derived from events: a user's events of a day are the tasks of a run."""
+        events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+        run = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("/"), F.col("user_id").cast("string"))
+        return events.select(run.alias("run_id"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("state"), F.when(F.col("event_type") == "signup", "WARN").otherwise("PASS").alias("status"))

@@ -102,7 +102,11 @@ mix as (select *, {_half_up("sales_t12m", "units_t12m", 2)} as avg_selling_price
 
 
 def _historic(grouped=False, package="", channel=False):
-    segment = _case(ladders.GROUPED_SEGMENTS, "price_position_segment") if grouped else "price_position_segment"
+    merged = """when price_position_segment in ('premium_bulk', 'value_oversized', 'bundle_pack') then 'bulk_or_bundle'
+        when price_position_segment in ('trial_value', 'trial_premium', 'trial_luxury') then 'trial_size'"""
+    more = """when price_position_segment in ('budget', 'standard') then 'budget_standard'
+        when price_position_segment in ('premium', 'super_premium', 'ultra_premium', 'luxury', 'icon_collectible') then 'premium_plus'"""
+    segment = f"case {more if grouped else ''} {merged} else price_position_segment end"
     size = f" and package_size_tier = '{package}'" if package else ""
     hl = f", hl as (select f.item_number, f.store_number, f.order_date, f.sale_dollars, f.bottles_sold, {segment} as price_position_segment, coalesce(h.vendor_number, 'Unknown Vendor Number') as vendor_number, coalesce(h.vendor_name, 'Unknown Vendor') as vendor_name from ded f join priced h on f.item_number = h.item_number and f.order_date >= h.business_valid_from and (h.business_valid_to is null or f.order_date <= h.business_valid_to) where h.category_family = '{FAMILY}'{size})"
     if channel:
@@ -177,6 +181,7 @@ q["m4d_stores_current"] = BASE + "select * from stores"
 q["m5_item_snapshot"] = BASE + SNAP_ITEM + "select * from item_snap"
 q["m5_store_snapshot"] = BASE + SNAP_STORE + "select * from store_snap"
 q["m5a_dim_item"] = BASE + SNAP_ITEM + "select * exclude (dbt_valid_from, dbt_valid_to) from item_snap where dbt_valid_to is null"
+q["m5a_dim_store"] = BASE + SNAP_STORE + "select * exclude (dbt_valid_from, dbt_valid_to) from store_snap where dbt_valid_to is null"
 q["m5b_asof_snapshot"] = BASE + SNAP_ITEM + "select f.invoice_item_number, f.order_date, s.item_description, s.dbt_valid_from from ded f join item_snap s on f.item_number = s.item_number and f.order_date >= s.dbt_valid_from and (s.dbt_valid_to is null or f.order_date < s.dbt_valid_to)"
 q["m6_merge"] = BASE + f", fresh as (select * from ded where loaded_at >= {_NEW} - interval 3 day) select {_FACT} from {_OLD} where invoice_item_number not in (select invoice_item_number from fresh) union all select {_FACT} from fresh"
 q["m7_replace_window"] = BASE + f"select {_FACT} from {_OLD} where not order_date between date '1999-06-01' and date '1999-06-28' union all select {_FACT} from ded where order_date between date '1999-06-01' and date '1999-06-28'"
@@ -242,12 +247,35 @@ q["q22_chain_performance"] = BASE + _store_sums("chain", "UNKNOWN") + ", ch as (
 q["q23_channel_performance"] = BASE + _store_sums("store_channel", "Unknown") + _prod("store_channel", ", g as (select grp as store_channel, sum(s) as s, count(distinct store_number) as store_count from st group by 1)", "select sum(s) from st")
 
 q["c1_top_n_plus_other"] = BASE + f", d as (select category_name, {_sums('t12m', 't12m_prior')} from labelled group by 1), r as (select *, row_number() over (order by sales_t12m desc, category_name) as k from d), f as (select case when k <= 5 then category_name else 'Other' end as category_name, k > 5 as is_other, {_money('sales_t12m')}, {_money('sales_t12m_prior')} from r group by 1, 2) select *, {_yoy('t12m')} from f"
-_FOLD = f", fold as (select case when vendor_rank <= 3 then vendor_name else 'Other' end as vendor_name, case when vendor_rank <= 3 then vendor_rank else 4 end as vendor_rank, price_position_segment, {_money('sales_t12m')}, cast(sum(units_t12m) as bigint) as units_t12m from mix where row_type = 'detail' group by 1, 2, 3)"
+
+
+def _fold(by, units=True):
+    """Vendors beyond rank 3 as one."""
+    summed = ", cast(sum(units_t12m) as bigint) as units_t12m" if units else ""
+    return f""", fold0 as (
+  select case when vendor_rank <= 3 then vendor_rank else 4 end as vendor_rank,
+    case when vendor_rank <= 3 then vendor_number else 'Other' end as vendor_number,
+    case when vendor_rank <= 3 then vendor_name else 'Other Vendors' end as vendor_name,
+    {by}, {_money('sales_t12m')}, {_money('sales_t12m_prior')}{summed}
+  from mix where row_type = 'detail' group by 1, 2, 3, 4),
+fold as (select *, {_yoy('t12m')} from fold0)"""
+
+
+def _pivot(by, values):
+    cents = lambda v: f"sum(case when {by} = '{v}' then cast(sales_t12m as decimal(20,2)) end)"
+    columns = ", ".join(f'cast(coalesce({cents(v)}, 0) as double) as "{v}"' for v in values)
+    return f" select vendor_rank, vendor_number, vendor_name, {columns} from fold group by 1, 2, 3"
+
+
+_FOLD = _fold("price_position_segment")
+_CATEGORY_MIX = f", mix as (with {q['q8_vendor_category_mix'].removeprefix(BASE + ', ')})"
 _M10 = _mix("price_position_segment", _historic(grouped=True))
 q["c2_top_vendors_plus_other"] = BASE + _M10 + _FOLD + " select * from fold"
 _SEG = ["budget_standard", "premium_plus", "bulk_or_bundle", "trial_size", "other"]
-q["c3_segment_pivot"] = BASE + _M10 + _FOLD + " select vendor_name, " + ", ".join(f"cast(coalesce(sum(case when price_position_segment = '{s}' then cast(sales_t12m as decimal(20,2)) end), 0) as double) as {s}" for s in _SEG) + " from fold group by 1"
-q["c4_vendor_totals"] = BASE + _M10 + _FOLD + f", v as (select vendor_name, vendor_rank, {_money('sales_t12m')}, cast(sum(units_t12m) as bigint) as units_t12m from fold group by 1, 2) select *, {_half_up('sales_t12m', 'units_t12m', 2)} as avg_selling_price from v"
+q["c3_segment_pivot"] = BASE + _M10 + _FOLD + _pivot("price_position_segment", _SEG)
+q["c2_category_vendors_plus_other"] = BASE + _CATEGORY_MIX + _fold("category_name", units=False) + " select * from fold"
+q["c3_category_pivot"] = BASE + _CATEGORY_MIX + _fold("category_name", units=False) + _pivot("category_name", [f"LARGE CLASS {n}" for n in range(3)])
+q["c4_vendor_totals"] = BASE + _M10 + _FOLD + f", v as (select vendor_rank, vendor_number, vendor_name, {_money('sales_t12m')}, cast(sum(units_t12m) as bigint) as units_t12m from fold group by 1, 2, 3) select *, {_half_up('sales_t12m', 'units_t12m', 2)} as avg_selling_price from v"
 q["c5_chain_tail"] = BASE + f", c as ({CHAINS}), r as (select *, upper(chain) = 'SMALL/IND CHAIN' as forced, row_number() over (partition by upper(chain) = 'SMALL/IND CHAIN' order by sales_t12m desc, chain) as k from c), f as (select case when not forced and k <= 4 then chain else 'Independent + Other' end as chain, {_money('sales_t12m')}, {_money('sales_t12m_prior')} from r group by 1) select *, {_yoy('t12m')} from f"
 q["c6_rolling_mean"] = BASE + _trend("category_family", FAMILY, 5) + ", lab as (select case when regexp_matches(vendor_name, 'LLC') then regexp_replace(vendor_name, 'VENDOR (\\d+) LLC', 'Vendor \\1 Llc') else regexp_replace(vendor_name, 'VENDOR', 'Vendor') end as vendor, sales_month, sales_dollars from trend), m as (select vendor, sales_month, cast(sum(cast(sales_dollars as decimal(20,2))) as double) as sales from lab group by 1, 2) select *, round(cast(sum(cast(sales as decimal(20,2))) over w as double) / count(*) over w, 4) as rolling_sales from m window w as (partition by vendor order by sales_month rows between 2 preceding and current row)"
 q["c7_period_shares"] = BASE + SHARE + f", r as (select *, row_number() over (partition by period_order order by sales_t12m desc, vendor_name, vendor_number) as k from share), f as (select period_order, period_year, case when k <= 3 then vendor_name else 'Other' end as vendor_name, cast(case when k <= 3 then k else 4 end as int) as rank, {_money('sales_t12m')} from r group by 1, 2, 3, 4) select *, round(sales_t12m * 100 / cast(sum(cast(sales_t12m as decimal(20,2))) over (partition by period_order) as double), 4) as share_pct from f"
@@ -257,6 +285,12 @@ q["c9_tier_grid"] = BASE + TRAIL + MATRIX + " select t.tier as volume_tier, " +
 q["c10_family_tiers"] = BASE + TRAIL + BYFAM + ", v as (select * from bf where dimension = 'volume'), top as (select category_family, cast(sum(sku_count) as bigint) as skus from v group by 1 qualify row_number() over (order by sum(sku_count) desc, category_family) <= 4) select category_family, skus, " + ", ".join(f"coalesce(max(case when tier = '{t}' then sku_share end), 0) as \"{t}\"" for t in _T3) + " from top join v using (category_family) group by 1, 2"
 q["c11_family_cagr"] = BASE + GROWTH1 + f" select *, {_yoys}, case when sales_cagr_start_year > 0 and sales_cagr_end_year > 0 then round((pow(sales_cagr_end_year / sales_cagr_start_year, 0.5) - 1) * 100, 4) end as cagr_pct from both_"
 
+q["o1_chain_growth_ordered"] = q["q7_chain_growth"] + " order by case row_type when 'detail' then 0 else 1 end, sales_t12m desc nulls last, chain"
+q["p26_vendor_labels"] = BASE + "select replace(replace(vendor_name, 'VENDOR', 'Vendor'), 'LLC', 'Llc') as vendor, count(*) as n_items from items group by 1"
+q["p27_bottle_labels"] = BASE + TRAIL + f""", scatter as ({q['q21_full_scatter'].removeprefix(BASE + TRAIL)})
+select scatter_group, case when bottle_volume_ml is null then 'Other' when bottle_volume_ml = 1000 then '1L' when bottle_volume_ml = 1750 then '1.75L' else cast(bottle_volume_ml as varchar) || 'ml' end as size_label,
+  count(*) as sku_count from scatter group by 1, 2"""
+
 _fail = lambda name, rows, ctes="": BASE + ctes + f"select '{name}' as name, count(*) as n_fail from ({rows}) x"
 for _name, _rows, *_ctes in (
     ("t1_not_null", "select 1 from items where item_description is null"),
@@ -264,7 +298,13 @@ for _name, _rows, *_ctes in (
     ("t3_accepted_values", "select category_family from items group by 1 having category_family not in ('Whiskies', 'Rum', 'Gin')"),
     ("t4_relationships", "select 1 from ded where category not in ('" + _ECON + "')"),
     ("t6_history_coverage", "select 1 from ded f where not exists (select 1 from hist h where h.item_number = f.item_number and f.order_date >= h.business_valid_from and (h.business_valid_to is null or f.order_date <= h.business_valid_to))"),
-    ("t7_reconciliation", "select 1 from (select order_date, store_number, cast(sum(sale_dollars) as decimal(20,4)) as s, count(*) as n from sales group by 1, 2) a full join daily d using (order_date, store_number) where s is distinct from total_sales_dollars or n is distinct from invoice_line_count"),
+    ("t7_reconciliation", """select 1 from (
+  select order_date, store_number, sum(bottles_sold) as b, sum(sale_dollars) as s, sum(volume_sold_liters) as l, sum(volume_sold_gallons) as g,
+    sum(estimated_total_cost) as c, sum(estimated_gross_profit) as p, count(*) as n from sales group by 1, 2) a
+full join daily d using (order_date, store_number)
+where coalesce(b, 0) <> coalesce(total_bottles_sold, 0) or coalesce(s, 0) <> coalesce(total_sales_dollars, 0) or coalesce(l, 0) <> coalesce(total_volume_sold_liters, 0)
+  or coalesce(g, 0) <> coalesce(total_volume_sold_gallons, 0) or coalesce(c, 0) <> coalesce(total_estimated_cost, 0)
+  or coalesce(p, 0) <> coalesce(total_estimated_gross_profit, 0) or coalesce(n, 0) <> coalesce(invoice_line_count, 0)"""),
     ("t8_composite_key", "select item_number, order_date from ded group by 1, 2 having count(*) > 1"),
     ("t9_overlaps", "select 1 from hist a where exists (select 1 from hist b where a.item_number = b.item_number and b.business_valid_from < a.business_valid_from and coalesce(b.business_valid_to, date '9999-12-31') >= a.business_valid_from)"),
     ("t10_one_current", "select item_number from hist group by 1 having sum(case when is_current then 1 else 0 end) <> 1"),
@@ -288,6 +328,9 @@ q["h1_pipeline_health"] = BASE + SNAP_ITEM + SNAP_STORE + MART + WEEKLY + f""",
 select *, {_d("raw_max_loaded_at")} as raw_lag_days, greatest({_d("snap_item_max_valid_from")}, {_d("snap_store_max_valid_from")}) as snapshot_lag_days, {_st(_d("raw_max_loaded_at"))} as freshness_status, {_st(f"greatest({_d('snap_item_max_valid_from')}, {_d('snap_store_max_valid_from')})")} as snapshot_status from h"""
 q["h2_landed_window"] = BASE + "select *, case when row_count = 0 then 'empty' when max_loaded_at is null then 'no_load_time' when lag_hours > 24 then 'stale' else 'ok' end as contract from (select count(*) as row_count, min(order_date) as min_order_date, max(order_date) as max_order_date, max(loaded_at) as max_loaded_at, date_diff('hour', max(loaded_at), timestamp '2002-01-01') as lag_hours from sales where order_date between date '1999-06-01' and date '1999-06-28')"
 q["h3_run_status"] = RUNS + f"select {_RUN}, final_dag_state = 'failed' as is_failed, final_dag_state = 'degraded' as is_degraded, freshness_status = 'WARN' or snapshot_status = 'WARN' as has_warn from runs"
+q["h4_final_states"] = """
+with tasks as (select strftime(ts, '%Y-%m-%d') || '/' || cast(user_id as varchar) as run_id, event_type = 'error' as failed, event_type = 'signup' as warned from events)
+select run_id, case when bool_or(failed) then 'failed' when bool_or(warned) then 'degraded' else 'success' end as final_dag_state from tasks group by 1"""
 q["h5a_recent_failed"] = RUNS + f"select {_RUN} from runs where final_dag_state = 'failed' order by created_at desc, run_id limit 20"
 q["h5b_duration_by_source"] = RUNS + "select source, count(*) as runs, round(cast(sum(duration_seconds) as double) / count(*), 4) as avg_duration_seconds from runs group by 1"
 q["h5c_success_rate"] = RUNS + "select count(*) as runs, count(case when final_dag_state = 'success' then 1 end) as successes, round(count(case when final_dag_state = 'success' then 1 end) * 100.0 / count(*), 2) as success_rate_pct from runs where created_at >= timestamp '2024-01-30' - interval 10 day"

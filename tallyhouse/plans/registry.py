@@ -8,6 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import measures
 from tallyhouse.operators import growth, history, mix, monitoring, quality, replenishment, shape, staging, stores, velocity
 from tallyhouse.plans.model import AS_OF, BATCH, CATEGORY, DAY, FAMILY, MONTH, WINDOW, Model
 from tallyhouse.plans.oracle import ORACLE_SQL
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable] = {}
 _LINES = ["invoice_item_number", "order_date", "store_number", "item_number", "sale_dollars", "loaded_at", "anomaly"]
 _TIERS = [velocity.CORE, velocity.NICHE, velocity.ZOMBIE]
 _SEGMENTS = ["budget_standard", "premium_plus", "bulk_or_bundle", "trial_size", "other"]
+_CATEGORIES = ["LARGE CLASS 0", "LARGE CLASS 1", "LARGE CLASS 2"]
 _TREND = (date(2000, 1, 1), MONTH)
 
 
@@ -31,6 +33,10 @@ def _grouped(m: Model) -> DataFrame:
     return mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY, grouped=True), "price_position_segment", MONTH)
 
 
+def _categories(m: Model) -> DataFrame:
+    return growth.vendor_category_mix(m.fact, m.items, MONTH, FAMILY)
+
+
 def _channels(m: Model) -> DataFrame:
     return mix.with_channel(mix.historic_lines(m.fact, m.priced, FAMILY), m.stores)
 
@@ -55,12 +61,13 @@ _add("m4d_stores_current", lambda m: m.stores)
 _add("m5_item_snapshot", lambda m: m.snapshots("item"))
 _add("m5_store_snapshot", lambda m: m.snapshots("store"))
 _add("m5a_dim_item", lambda m: history.current_rows(m.snapshots("item")))
+_add("m5a_dim_store", lambda m: history.current_rows(m.snapshots("store")))
 _add("m5b_asof_snapshot", lambda m: history.asof_join(m.fact.select("invoice_item_number", "item_number", "order_date"), m.snapshots("item").select("item_number", "item_description", "dbt_valid_from", "dbt_valid_to"), "item_number", "order_date", "dbt_valid_from", "dbt_valid_to", closed=False).select("invoice_item_number", "order_date", "item_description", "dbt_valid_from"))
 _add("m6_merge", lambda m: history.merge_incremental(_early(m), m.fact))
 _add("m7_replace_window", lambda m: history.replace_window(_early(m), m.fact.filter(F.col("order_date").between(*map(F.lit, WINDOW))), *WINDOW))
 _add("m8_store_daily_sales", lambda m: m.daily)
-_add("m9_velocity_base", lambda m: velocity.velocity_base(m.deduped))
-_add("m9a_velocity_ranked", lambda m: velocity.velocity_ranked(velocity.velocity_base(m.deduped)))
+_add("m9_velocity_base", lambda m: m.velocity)
+_add("m9a_velocity_ranked", lambda m: velocity.velocity_ranked(m.velocity))
 _add("m9b_velocity_classified", lambda m: m.classified)
 _add("m9c_sku_velocity", lambda m: m.sku_velocity)
 _add("m10_weekly_depletions", lambda m: m.weekly)
@@ -77,7 +84,7 @@ _add("q4_family_vendor_growth", lambda m: growth.family_vendor_growth(m.fact, m.
 _add("q5_category_item_growth", lambda m: growth.item_growth(m.fact, m.items, MONTH, "category_name", CATEGORY, ["001", "4"]))
 _add("q6_family_item_growth", lambda m: growth.item_growth(m.fact, m.items, MONTH, "category_family", FAMILY))
 _add("q7_chain_growth", _chains)
-_add("q8_vendor_category_mix", lambda m: growth.vendor_category_mix(m.fact, m.items, MONTH, FAMILY))
+_add("q8_vendor_category_mix", _categories)
 _add("q9_price_segment_mix", lambda m: mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY), "price_position_segment", MONTH))
 _add("q9_price_segment_mix_standard", lambda m: mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY, "standard"), "price_position_segment", MONTH))
 _add("q10_grouped_segment_mix", _grouped)
@@ -97,7 +104,9 @@ _add("q23_channel_performance", lambda m: stores.channel_performance(m.daily, m.
 
 _add("c1_top_n_plus_other", lambda m: shape.top_n_plus_other(growth.labelled_lines(m.fact, m.items).groupBy("category_name").agg(*growth.period_sums({n: w for n, w in growth.period_bounds(MONTH).items() if n.startswith("t12m")})), "category_name", 5))
 _add("c2_top_vendors_plus_other", lambda m: shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3))
-_add("c3_segment_pivot", lambda m: shape.pivot_mix(shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3), "vendor_name", "price_position_segment", _SEGMENTS))
+_add("c3_segment_pivot", lambda m: shape.pivot_mix(shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3), shape.VENDOR, "price_position_segment", _SEGMENTS))
+_add("c2_category_vendors_plus_other", lambda m: shape.top_vendors_plus_other(_categories(m), "category_name", 3))
+_add("c3_category_pivot", lambda m: shape.pivot_mix(shape.top_vendors_plus_other(_categories(m), "category_name", 3), shape.VENDOR, "category_name", _CATEGORIES))
 _add("c4_vendor_totals", lambda m: shape.vendor_totals(shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3)))
 _add("c5_chain_tail", lambda m: shape.chains_with_tail(_chains(m).filter("row_type = 'detail'"), 4, "Small/Ind Chain"))
 _add("c6_rolling_mean", lambda m: shape.rolling_mean(growth.vendor_monthly_trend(m.fact, m.items, *_TREND, "category_family", FAMILY)))
@@ -106,6 +115,9 @@ _add("c8_brand_cagr", lambda m: shape.brand_cagr(growth.labelled_lines(m.fact, m
 _add("c9_tier_grid", lambda m: shape.tier_grid(velocity.tier_matrix(m.window_classified), _TIERS, "revenue"))
 _add("c10_family_tiers", lambda m: shape.family_tiers(velocity.tier_by_family(_labelled(m)), _TIERS, 4))
 _add("c11_family_cagr", lambda m: growth.with_cagr(growth.family_growth(m.fact, m.items, MONTH), 2))
+_add("p26_vendor_labels", lambda m: m.items.groupBy(measures.vendor_label(F.col("vendor_name")).alias("vendor")).agg(F.count("*").alias("n_items")))
+_add("p27_bottle_labels", lambda m: velocity.full_scatter(_labelled(m)).groupBy("scatter_group", measures.bottle_label(F.col("bottle_volume_ml")).alias("size_label")).agg(F.count("*").alias("sku_count")))
+_add("o1_chain_growth_ordered", lambda m: shape.ordered(_chains(m), "-sales_t12m", "chain"))
 
 
 def _check(name: str, rows: Callable[[Model], DataFrame]) -> None:
@@ -117,7 +129,7 @@ _check("t2_unique", lambda m: quality.unique(m.sales, "invoice_item_number"))
 _check("t3_accepted_values", lambda m: quality.accepted_values(m.items, "category_family", ["Whiskies", "Rum", "Gin"]))
 _check("t4_relationships", lambda m: quality.relationships(m.fact, "category", m.families, "category"))
 _check("t6_history_coverage", lambda m: quality.history_coverage(m.fact, m.history))
-_check("t7_reconciliation", lambda m: quality.reconcile(staging.store_daily_sales(m.sales), m.daily, ["order_date", "store_number"], ["total_sales_dollars", "invoice_line_count"]))
+_check("t7_reconciliation", lambda m: quality.reconcile(staging.store_daily_sales(m.sales), m.daily, ["order_date", "store_number"], staging.DAILY))
 _check("t8_composite_key", lambda m: quality.unique(m.fact, "item_number", "order_date"))
 _check("t9_overlaps", lambda m: quality.overlapping_windows(m.history))
 _check("t10_one_current", lambda m: quality.one_current_row(m.history))
@@ -130,9 +142,10 @@ _check("t16_negative_shipment", lambda m: quality.negative_shipment(m.forecast))
 _add("t5_freshness", lambda m: quality.freshness(m.sales, "loaded_at", AS_OF))
 _add("t17_critical_suite", lambda m: quality.run_suite([quality.Check("unique_invoice", quality.unique(m.fact, "invoice_item_number"), "error", ["critical"]), quality.Check("unique_raw_invoice", quality.unique(m.sales, "invoice_item_number"), "warn", ["critical", "raw"]), quality.Check("retail", quality.retail_below_cost(m.history), "warn", [])], ["critical"]))
 
-_add("h1_pipeline_health", lambda m: monitoring.pipeline_health(m.sales, m.fact, m.daily, m.snapshots("item"), m.snapshots("store"), velocity.velocity_base(m.deduped), m.forecast, AS_OF))
+_add("h1_pipeline_health", lambda m: monitoring.pipeline_health(m.sales, m.fact, m.daily, m.snapshots("item"), m.snapshots("store"), m.velocity, m.forecast, AS_OF))
 _add("h2_landed_window", lambda m: monitoring.landed_window_contract(m.sales, *WINDOW, AS_OF))
 _add("h3_run_status", lambda m: monitoring.run_status(m.runs))
+_add("h4_final_states", lambda m: monitoring.final_states(m.tasks))
 _add("h5a_recent_failed", lambda m: monitoring.recent_runs(m.runs, 20, "failed"))
 _add("h5b_duration_by_source", lambda m: monitoring.duration_by_source(m.runs))
 _add("h5c_success_rate", lambda m: monitoring.success_rate(m.runs, datetime(2024, 1, 30), 10))
