@@ -27,6 +27,7 @@ member.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import arrow_text as T
-from tallyhouse.llm.shared import lasting
+from tallyhouse.llm.shared import Scratch, lasting
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Where nodes meet they are first verified against so many nodes of the largest class, one turn after another.
 MEETING_HUBS = 1, 6
+#: Shingles of a node that a meeting's row lists at most.
+LISTED = 64
 
 
 def shingles(chunk: T.Chunk, size: int = SHINGLE) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,86 +155,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(short <= 0), pa.array(short), beyond], names=["a", "b", "linked", "short", "beyond"])
                 at += rows
 
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, short long, beyond array<long>")
-    return lasting(found)
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return found.mapInArrow(run, "a long, b long, linked boolean, short long, beyond array<long>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of the links (a, b); comp is the least node that it is connected to.
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = lasting) -> DataFrame:
+    """(node, comp), kept, for every node of the links (a, b); comp is the least node that it is connected to.
 
     Each round lets every node follow its first neighbour, in an order drawn anew
     by hash, twice over; links whose ends then coincide are settled and leave. A
     fixed share of the nodes goes each round, whatever the shape of the graph (a
-    long chain too), so later rounds work on ever fewer links.
+    long chain too), so later rounds work on ever fewer links. What a round writes
+    is deleted once the next has read it.
     """
-    edges = lasting(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node"))
-    k = 0
-    while edges.limit(1).count():
-        place = lambda node: F.struct(F.xxhash64(node, F.lit(k)).alias("at"), F.col(node).alias("node"))  # noqa: B023, E731
-        both = edges.union(edges.select("b", "a"))
-        step = lasting(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).select("node", F.least("first", place("node")).getField("node").alias("next")))
-        step = lasting(step.join(step.select(F.col("node").alias("next"), F.col("next").alias("to")), "next").select("node", "to"))
-        labels = lasting(labels.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-        ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
-        edges = lasting(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        k += 1
-    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
-    return lasting(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.keep(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        labels = scratch.keep(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node")))
+        k = 0
+        while edges.limit(1).count():
+            place = lambda node: F.struct(F.xxhash64(node, F.lit(k)).alias("at"), F.col(node).alias("node"))  # noqa: B023, E731
+            both = edges.union(edges.select("b", "a"))
+            first = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).select("node", F.least("first", place("node")).getField("node").alias("next")))
+            step = scratch.keep(first.join(first.select(F.col("node").alias("next"), F.col("next").alias("to")), "next").select("node", "to"))
+            passed = scratch.keep(labels.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+            left = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            scratch.drop(edges, first, step, labels)
+            edges, labels, k = left, passed, k + 1
+        least = labels.groupBy("comp").agg(F.min("node").alias("least"))
+        return keep(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
+
+
+def _joined(labels: DataFrame, links: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """labels (node, comp) after links (a, b) between its nodes; one link for each two classes is passed on."""
     ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-    merged = components(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    merged = components(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), keep)
     merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return lasting(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return keep(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc, class_id (the least id of its class).
 
     A class holds the documents connected by links of that Jaccard similarity, or
-    more, of their sets of shingles. Texts
-    without words (null ones too) have no shingles; each keeps its own id as
-    class. Repeated rows and texts that differ in case, punctuation or white space
-    alone share a class. Other columns are ignored.
+    more, of their sets of shingles. Texts without words (null ones too) have no
+    shingles; each keeps its own id as class. Repeated rows and texts that differ
+    in case, punctuation or white space alone share a class. A row without an id
+    counts as any other; a class of such rows alone has no id. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
     base = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
-    sketched = lasting(sketches(base, "__doc", "__text", bands, rows, size))
-    keys = _band_names(bands)
-    nodes = sketched.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("__doc").alias("least"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
-    nodes = lasting(nodes.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.select("node", "size", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
-    groups = banded.join(banded.groupBy("key").count().filter("count > 1").select("key"), "key")
-    degrees = groups.groupBy("node").agg(F.count("*").alias("degree"))
-    groups = lasting(groups.join(degrees, "node"))
-    wanted = nodes.join(degrees, "node").select("node", "k1", "k2", F.col("least").alias("__doc"))
-    texts = lasting(_texts(base, wanted))
-
-    hubs = groups.groupBy("key").agg(F.min(F.struct("size", -F.col("degree"), "node")).getField("node").alias("hub"))
-    pairs = groups.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tested = _verified(pairs, texts, similarity, size)
-    links = tested.filter("linked").select("a", "b")
-    labels = lasting(degrees.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
-    met = _meetings(tested, labels)
-    done = tested.select("a", "b")
-    for choose in (*(partial(_hub_pairs, hubs=k) for k in MEETING_HUBS), _class_pairs):
-        pairs = lasting(choose(_named(met, labels)).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            labels = _joined(labels, _verified(pairs, texts, similarity, size).filter("linked").select("a", "b"))
-            done = done.unionByName(pairs)
-
-    classes = nodes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.filter("comp <> node").groupBy("comp").agg(F.min("least").alias("other"))
-    least = least.join(nodes.select(F.col("node").alias("comp"), "least"), "comp").select("comp", F.least("other", "least").alias("class_id"))
-    classes = lasting(classes.join(least, "comp", "left").select("k1", "k2", F.coalesce("class_id", "least").alias("class_id")))
-    return sketched.select("__doc", "k1", "k2").join(classes, ["k1", "k2"], "left").select(F.col("__doc").alias(doc), F.coalesce("class_id", "__doc").alias("class_id"))
-
-
-def _meetings(tested: DataFrame, labels: DataFrame) -> DataFrame:
+    with Scratch(docs.sparkSession) as scratch:
+        keep = scratch.keep
+        sketched = keep(sketches(base, "__doc", "__text", bands, rows, size))
+        keys = _band_names(bands)
+        nodes = sketched.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("__doc").alias("least"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
+        nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+        banded = nodes.select("node", "size", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+        groups = keep(banded.join(banded.groupBy("key").count().filter("count > 1").select("key"), "key"))
+        degrees = keep(groups.groupBy("node").agg(F.count("*").alias("degree")))
+        wanted = nodes.join(degrees, "node").select("node", "k1", "k2", F.col("least").alias("__doc"))
+        texts = keep(_texts(base, wanted))
+
+        hubs = groups.join(degrees, "node").groupBy("key").agg(F.min(F.struct("size", -F.col("degree"), "node")).getField("node").alias("hub"))
+        pairs = groups.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        tested = keep(_verified(pairs, texts, similarity, size))
+        labels = keep(degrees.select("node").join(components(tested.filter("linked").select("a", "b"), keep), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+        met = _meetings(tested, labels, scratch)
+        done = tested.select("a", "b")
+        for choose in (*(partial(_hub_pairs, hubs=k) for k in MEETING_HUBS), partial(_class_pairs, scratch=scratch)):
+            pairs = keep(choose(_named(met, labels)).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+            if pairs.limit(1).count():
+                found = keep(_verified(pairs, texts, similarity, size).filter("linked").select("a", "b"))
+                labels = _joined(labels, found, keep)
+                done = done.unionByName(pairs)
+        scratch.drop(texts, tested, groups)
+
+        classes = nodes.select("k1", "k2", "node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        least = classes.filter("comp <> node").groupBy("comp").agg(F.min("least").alias("other"))
+        least = least.join(nodes.select(F.col("node").alias("comp"), "least"), "comp").select("comp", F.least("other", "least").alias("class_id"))
+        classes = keep(classes.join(least, "comp", "left").select("k1", "k2", F.coalesce("class_id", "least").alias("class_id")))
+        return lasting(sketched.select("__doc", "k1", "k2").join(classes, ["k1", "k2"], "left").select(F.col("__doc").alias(doc), F.coalesce("class_id", "__doc").alias("class_id")))
+
+
+def _meetings(tested: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Where nodes of different classes that were verified against one hub meet: (a, the hub; shingle; b, a
-    node; need; outside; dealt, all shingles that b is dealt out by). Nodes that may be linked meet.
+    node; need; outside). Nodes that may be linked meet.
 
     A node can only be linked past its hub by short shared shingles outside it (one
     at least), so all but short - 1 of them, the rarest in the hub's group, must
@@ -241,14 +250,14 @@ def _meetings(tested: DataFrame, labels: DataFrame) -> DataFrame:
     named = tested.join(own, "b").select("a", "b", "comp", F.greatest("short", F.lit(1)).alias("need"), "beyond")
     divided = named.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a")
     spread = named.filter(F.size("beyond") >= F.col("need")).join(divided, "a").select("a", "b", "comp", "need", F.size("beyond").alias("outside"), F.explode("beyond").alias("shingle"))
-    spread = lasting(spread)
+    spread = scratch.keep(spread)
     common = spread.groupBy("a", "shingle").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("held > 1")
     met = spread.join(common, ["a", "shingle"])
     order = Window.partitionBy("a", "b").orderBy("held", "shingle")  # a text's shingles
     met = met.withColumn("place", F.row_number().over(order) + F.col("outside") - F.count("*").over(Window.partitionBy("a", "b")))
-    met = met.filter("low < high and place <= outside - need + 1")
-    met = met.withColumn("dealt", F.collect_list("shingle").over(Window.partitionBy("a", "b")))
-    return lasting(met.select("a", "shingle", "b", "need", "outside", "dealt"))
+    met = scratch.keep(met.filter("low < high and place <= outside - need + 1").select("a", "shingle", "b", "need", "outside"))
+    scratch.drop(spread)
+    return met
 
 
 def _named(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,21 +274,29 @@ def _hub_pairs(met: DataFrame, hubs: int) -> DataFrame:
     return found.select(F.least("b", "hub.b").alias("a"), F.greatest("b", "hub.b").alias("b")).distinct()
 
 
-def _class_pairs(met: DataFrame) -> DataFrame:
-    """All pairs of nodes of different classes that meet."""
+def _class_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs of nodes of different classes that meet.
+
+    A pair that meets at many shingles is brought out at the least of those among the
+    LISTED least shingles of either node; if these have none in common, wherever it
+    meets, and distinct merges the rest.
+    """
     divided = met.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a", "shingle")
-    met = lasting(met.join(divided, ["a", "shingle"]))
+    met = met.join(divided, ["a", "shingle"]).select("a", "shingle", "b", "comp", "need", "outside")
+    met = met.withColumn("__place", F.row_number().over(Window.partitionBy("a", "b").orderBy("shingle")))
+    listed = F.collect_list(F.when(F.col("__place") <= LISTED, F.col("shingle"))).over(Window.partitionBy("a", "b"))
+    met = scratch.keep(met.withColumn("listed", listed).drop("__place"))
     x, y = met.alias("x"), met.alias("y")
-    # of the shingles that a pair meets at, one brings it out
-    once = F.col("shingle") == F.array_min(F.array_intersect("x.dealt", "y.dealt"))
+    once = F.coalesce(F.array_min(F.array_intersect("x.listed", "y.listed")) == F.col("shingle"), F.lit(True))
     # few bytes, much work: shuffled, so that it spreads, however small the table
     pairs = x.join(y.hint("merge"), ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
     return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text): for each wanted node a text of its words."""
-    joined = base.join(wanted, "__doc").select("node", "k1", "k2", "__text")
+    """(node, text): for each wanted node a text of its words. It is found by the node's least id, or among
+    the rows without an id by its words."""
+    columns = "node long, __text string"
 
     def run(batches):
         for batch in batches:
@@ -289,16 +306,23 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
                 same = [_sequence(w, k).view(np.int64) == np.asarray(part.column(k)) for k in (1, 2)]
                 yield part.select(["node", "__text"]).filter(pa.array(same[0] & same[1]))
 
-    return joined.mapInArrow(run, "node long, __text string").withColumnRenamed("__text", "text").dropDuplicates(["node"])
+    def words_of(batch, chunk, at):
+        w = T.words(chunk, T.ALNUM, lower=True)
+        return {"k1": pa.array(_sequence(w, 1).view(np.int64)), "k2": pa.array(_sequence(w, 2).view(np.int64))}
+
+    found = base.join(wanted, "__doc").select("node", "k1", "k2", "__text").mapInArrow(run, columns)
+    nameless = T.map_text(base.filter("__doc is null").withColumn("__text_", F.col("__text")), "__text", "k1 long, k2 long", words_of, ["__text_"])
+    nameless = nameless.join(wanted.filter("__doc is null"), ["k1", "k2"]).select("node", F.col("__text_").alias("__text"))
+    return found.unionByName(nameless).withColumnRenamed("__text", "text").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """One document of each class, the one with the least id, with all its columns.
 
     Of rows that repeat an id one stays. Documents without words and rows with a
-    null id all stay.
+    null id all stay. An empty table gives an empty one.
     """
-    classes = lasting(near_duplicate_classes(docs, doc, text, **limits))
+    classes = near_duplicate_classes(docs, doc, text, **limits)
     gone = classes.filter(F.col(doc) != F.col("class_id")).select(doc).distinct()
     kept = docs.join(gone, doc, "left_anti")
     repeated = classes.filter(F.col(doc).isNotNull()).groupBy(doc).count().filter("count > 1").select(doc)
