@@ -3,22 +3,27 @@
 A word is a run of ASCII letters and digits or of anything beyond ASCII, with
 A-Z as a-z. A benchmark item gives windows of ten words, one shorter window if
 it has fewer. Windows of the corpus are looked up by a 64-bit hash and every
-hit is verified on its words. Benchmarks beyond the block size are scanned in
-blocks, so what a task holds stays bounded whatever the benchmark's size.
+hit is verified on its words. A benchmark of more windows than a block holds is
+worked through block by block over one saved copy of the corpus: a block is
+collected, broadcast, scanned for and released before the next, and the hits of
+all blocks are put together before anything is counted or cut. So driver and
+tasks hold one block at most, and results don't depend on the block size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from tallyhouse.llm import arrow_text as T
-from tallyhouse.llm.shared import lasting
+from tallyhouse.llm.shared import Scratch, lasting
 
 WINDOW = 10
 #: Distinct item windows that one broadcast holds at most (about 100 bytes each).
@@ -76,17 +81,31 @@ class _Scanner:
         return w, hits
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, window: int, block_windows: int) -> list:
-    """Broadcasts of at most about block_windows windows each."""
-    found = _item_windows(benchmark, item, text, window)
-    n = benchmark.select(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0] // 2 + 1  # no more words than that
-    if n <= block_windows:
-        parts = [found]
-    else:
-        found = lasting(found)
-        count = -(-found.count() // block_windows)
-        parts = [found.filter(F.pmod(F.col("hash"), F.lit(count)) == k) for k in range(count)]
-    return [spark.sparkContext.broadcast([tuple(r) for r in part.collect()]) for part in parts]
+_SPANS = "array<struct<first:int,end:int>>"
+_TOLD = f"n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {_SPANS}"
+
+
+class _Blocks:
+    """The item windows of a benchmark in blocks of at most about block_windows."""
+
+    def __init__(self, benchmark: DataFrame, item: str, text: str, window: int, block_windows: int, scratch: Scratch):
+        self.context = benchmark.sparkSession.sparkContext
+        self.found, self.count = _item_windows(benchmark, item, text, window), 1
+        most = benchmark.select(F.coalesce(F.sum(F.length(F.col(text).cast("string"))), F.lit(0))).first()[0] // 2 + 1  # no more words than that
+        if most > block_windows:
+            self.found = scratch.keep(self.found)
+            self.count = max(1, -(-self.found.count() // block_windows))
+
+    def broadcast(self, k: int):
+        part = self.found if self.count == 1 else self.found.filter(F.pmod(F.col("hash"), F.lit(self.count)) == k)
+        return self.context.broadcast([tuple(r) for r in part.collect()])
+
+    def each(self) -> Iterator:
+        """One broadcast after another; each goes when the next is asked for."""
+        for k in range(self.count):
+            block = self.broadcast(k)
+            yield block
+            block.destroy()
 
 
 def _scanner(block, cache: dict = {}) -> _Scanner:  # noqa: B006  one per Python worker
@@ -95,94 +114,184 @@ def _scanner(block, cache: dict = {}) -> _Scanner:  # noqa: B006  one per Python
     return cache["scanner"]
 
 
+def _by_row(w: T.Words, hits: list[tuple[int, int, list[str]]], n: int) -> tuple[list[set], list[list]]:
+    """For each of n texts the items of its hits, and its hit words as (first, end) ranges."""
+    items: list[set] = [set() for _ in range(n)]
+    spans: list[list] = [[] for _ in range(n)]
+    if hits:
+        first = np.array([h[0] for h in hits])
+        flags = T.covered(first, np.array([h[1] for h in hits]), len(w.starts))
+        for row, (_, _, names) in zip(np.searchsorted(w.bounds, first, "right") - 1, hits, strict=True):
+            items[row].update(names)
+        for row in np.flatnonzero(T.sums(flags, w.bounds)):
+            own = np.concatenate(([0], flags[w.bounds[row] : w.bounds[row + 1]].view(np.int8), [0]))
+            turns = np.flatnonzero(np.diff(own))
+            spans[row] = list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True))
+    return items, spans
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that may touch or overlap, as the fewest that don't."""
+    out: list[list[int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return [(a, b) for a, b in out]
+
+
+def _span_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
+
+
+def _told(items: list[set], spans: list[list[tuple[int, int]]]) -> dict[str, pa.Array]:
+    """The columns of _TOLD, of items and ranges by text."""
+    n_hit = [sum(b - a for a, b in x) for x in spans]
+    digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    return {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array(digests, pa.string()), "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_()), "spans": _span_array(spans)}
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a number for each row, saved once so that every scan sees the same numbers, and that column's name."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def _hits_of_blocks(numbered: DataFrame, row: str, text: str, blocks: _Blocks, scratch: Scratch) -> DataFrame:
+    """(__row, the columns of _TOLD) of the texts with hits in any block."""
+    slim = numbered.select(F.col(row).alias("__row"), F.col(text).cast("string").alias("__text"))
+    names = ["__row", "items", "spans"]
+
+    def scan_with(block):
+        def run(batches):
+            for batch in batches:
+                for at, chunk in T.chunks(batch.column(1)):
+                    items, spans = _by_row(*_scanner(block).scan(chunk), chunk.rows)
+                    own = [k for k in range(chunk.rows) if items[k]]
+                    if own:
+                        columns = [batch.column(0).slice(at, chunk.rows).take(pa.array(own)), pa.array([sorted(items[k]) for k in own], pa.list_(pa.string())), _span_array([spans[k] for k in own])]
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return run
+
+    parts = [scratch.keep(slim.mapInArrow(scan_with(block), f"__row long, items array<string>, spans {_SPANS}")) for block in blocks.each()]
+
+    def merge(batches):
+        for batch in batches:
+            items = [set(x) for x in batch.column(1).to_pylist()]
+            spans = [_union([(s["first"], s["end"]) for s in x]) for x in batch.column(2).to_pylist()]
+            made = _told(items, spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], names=["__row", *made])
+
+    gathered = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return scratch.keep(gathered.mapInArrow(merge, f"__row long, {_TOLD}"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
-    spans lists the hit words as half-open (first, end) word ranges. A null or
-    empty text has no words and no hits; repeated rows give repeated results; an
-    empty benchmark contaminates nothing. Other columns are ignored.
+    spans lists the hit words as half-open (first, end) word ranges that neither
+    touch nor overlap. A null or empty text has no words and no hits; repeated rows
+    give repeated results; an empty benchmark contaminates nothing, an empty table
+    gives an empty result. Items with equal ids count once. Other columns are
+    ignored, whatever their names. The rows are the same for every block_windows.
     """
-    spark = docs.sparkSession
-    blocks = _blocks(spark, benchmark, item, item_text, window, block_windows)
-    nothing = hashlib.sha256(b"").hexdigest()
-    one_block = len(blocks) == 1
-    schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:int,end:int>>" + ("" if one_block else ", items array<string>")
-    span_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    slim = docs.select(F.col(doc), F.col(text).cast("string").alias("__text"))
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
+        if blocks.count == 1:
+            block = blocks.broadcast(0)
 
-    def scan_with(block):
-        def step(batch, chunk, at):
-            w, hits = _scanner(block).scan(chunk)
-            n = chunk.rows
-            items: list[set] = [set() for _ in range(n)]
-            spans: list[list] = [[] for _ in range(n)]
-            n_hit = np.zeros(n, np.int64)
-            if hits:
-                first, size = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
-                flags = T.covered(first, size, len(w.starts))
-                n_hit = T.sums(flags, w.bounds)
-                for row, (_, _, names) in zip(np.searchsorted(w.bounds, first, "right") - 1, hits, strict=True):
-                    items[row].update(names)
-                for row in np.flatnonzero(n_hit):
-                    own = np.concatenate(([0], flags[w.bounds[row] : w.bounds[row + 1]].view(np.int8), [0]))
-                    turns = np.flatnonzero(np.diff(own))
-                    spans[row] = [{"first": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-            digests = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() if s else nothing for s in items]
-            made = {"n_words": w.counts.astype(np.int64), "n_hit": n_hit, "n_items": pa.array([len(s) for s in items], pa.int64()), "items_sha256": pa.array(digests, pa.string()), "contaminated": n_hit > 0, "spans": pa.array(spans, span_type)}
-            return made if one_block else made | {"items": pa.array([sorted(s) for s in items], pa.list_(pa.string()))}
-
-        return step
-
-    slim = docs.select(F.col(doc), F.col(text))
-    if one_block:
-        return T.map_text(slim, text, schema, scan_with(blocks[0]), [doc])
-    slim = slim.withColumn("__row", F.monotonically_increasing_id())
-    scans = [T.map_text(slim, text, schema, scan_with(b), ["__row", doc]) for b in blocks]
-    merged = reduce(DataFrame.unionByName, scans).groupBy("__row").agg(
-        F.first(doc).alias(doc), F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.sequence(s["first"], s["end"] - 1)))))).alias("ranges"),
-    )
-    hit = F.array_sort(F.array_distinct(F.flatten("ranges")))
-    spans = F.transform(hit, lambda x: F.struct(x.cast("int").alias("first"), (x + 1).cast("int").alias("end")))
-    return merged.select(doc, "n_words", F.size(hit).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size(hit) > 0).alias("contaminated"), spans.alias("spans"))
+            def step(batch, chunk, at):
+                w, hits = _scanner(block).scan(chunk)
+                return {"n_words": w.counts.astype(np.int64)} | _told(*_by_row(w, hits, chunk.rows))
 
+            return T.map_text(slim, "__text", f"n_words long, {_TOLD}", step, [doc])
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents without any hit word, with all their columns."""
-    for block in _blocks(docs.sparkSession, benchmark, item, item_text, window, block_windows):
+        numbered, row = _numbered(slim, scratch)
+        hits = _hits_of_blocks(numbered, row, "__text", blocks, scratch)
+        counted = T.map_text(numbered, "__text", "n_words long", lambda batch, chunk, at: {"n_words": T.words(chunk, T.ALNUM, lower=True).counts.astype(np.int64)}, [row, doc])
+        joined = counted.join(hits.withColumnRenamed("__row", row), row, "left")
+        none = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256), "contaminated": F.lit(False), "spans": F.array().cast(_SPANS)}
+        return lasting(joined.select(doc, "n_words", *(F.coalesce(c, v.cast(hits.schema[c].dataType)).alias(c) for c, v in none.items())))
 
-        def clean(chunk, block=block):
-            w, hits = _scanner(block).scan(chunk)
-            keep = np.ones(chunk.rows, bool)
-            if hits:
-                keep[np.searchsorted(w.bounds, np.array([h[0] for h in hits]), "right") - 1] = False
-            return keep
 
-        docs = T.filter_text(docs, text, clean)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents without any hit word, with all their columns.
+
+    Documents without words (null texts too) stay, and so do repeated rows; an
+    empty table gives an empty one. The rows are the same for every block_windows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
+        if blocks.count == 1:
+            block = blocks.broadcast(0)
+
+            def clean(chunk):
+                w, hits = _scanner(block).scan(chunk)
+                keep = np.ones(chunk.rows, bool)
+                if hits:
+                    keep[np.searchsorted(w.bounds, np.array([h[0] for h in hits]), "right") - 1] = False
+                return keep
+
+            return T.filter_text(docs, text, clean)
+
+        numbered, row = _numbered(docs, scratch)
+        hits = _hits_of_blocks(numbered, row, text, blocks, scratch)
+        return lasting(numbered.join(hits.select(F.col("__row").alias(row)), row, "left_anti").select(docs.columns))
+
+
+def _cut(column: pa.Array, spans: list[list[tuple[int, int]] | None]) -> list[str | None]:
+    """The texts of a column without their words in spans; texts without spans as they are."""
+    new = column.to_pylist()
+    for at, chunk in T.chunks(column):
+        if not any(spans[at : at + chunk.rows]):
+            continue
+        w = T.words(chunk, T.ALNUM, lower=True)
+        for row in range(chunk.rows):
+            if spans[at + row]:
+                left, out = int(chunk.offsets[row]), []
+                for first, end in spans[at + row]:
+                    for i in range(int(w.bounds[row]) + first, int(w.bounds[row]) + end):
+                        out.append(chunk.text(left, w.starts[i]))
+                        left = int(w.ends[i])
+                new[at + row] = (b"".join(out) + chunk.text(left, chunk.offsets[row + 1])).decode()
+    return new
 
 
 def strip_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """All documents, each hit word cut out of the text; a null text stays null."""
-    for block in _blocks(docs.sparkSession, benchmark, item, item_text, window, block_windows):
-        at_text = docs.columns.index(text)
+    """All documents, each hit word cut out of the text; a null text stays null.
 
-        def run(batches, block=block, at_text=at_text):
+    Hits are those of the text as it came, so what cutting brings together is no
+    new hit. Repeated rows give repeated results, an empty table an empty one;
+    other columns stay. The rows are the same for every block_windows.
+    """
+    at_text = docs.columns.index(text)
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
+        if blocks.count == 1:
+            block = blocks.broadcast(0)
+
+            def scan(batches):
+                for batch in batches:
+                    for at, chunk in T.chunks(batch.column(at_text)):
+                        part = batch.slice(at, chunk.rows)
+                        spans = _by_row(*_scanner(block).scan(chunk), chunk.rows)[1]
+                        yield part.set_column(at_text, part.schema.field(at_text), pa.array(_cut(part.column(at_text), spans), part.schema.field(at_text).type))
+
+            return docs.mapInArrow(scan, docs.schema)
+
+        numbered, row = _numbered(docs, scratch)
+        hits = _hits_of_blocks(numbered, row, text, blocks, scratch).select(F.col("__row").alias(row), F.col("spans").alias(f"{row}spans"))
+        schema = K.StructType(docs.schema.fields)
+
+        def cut(batches):
             for batch in batches:
-                for at, chunk in T.chunks(batch.column(at_text)):
-                    part = batch.slice(at, chunk.rows)
-                    w, hits = _scanner(block).scan(chunk)
-                    if hits:
-                        flags = T.covered(np.array([h[0] for h in hits]), np.array([h[1] for h in hits]), len(w.starts))
-                        new = part.column(at_text).to_pylist()
-                        for row in np.flatnonzero(T.sums(flags, w.bounds)):
-                            left, out = int(chunk.offsets[row]), []
-                            for i in np.flatnonzero(flags[w.bounds[row] : w.bounds[row + 1]]) + w.bounds[row]:
-                                out.append(chunk.text(left, w.starts[i]))
-                                left = int(w.ends[i])
-                            new[row] = (b"".join(out) + chunk.text(left, chunk.offsets[row + 1])).decode()
-                        part = part.set_column(at_text, part.schema.field(at_text), pa.array(new, part.schema.field(at_text).type))
-                    yield part
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                spans = [None if x is None else [(s["first"], s["end"]) for s in x] for x in batch.column(batch.num_columns - 1).to_pylist()]
+                part = batch.select(list(range(batch.num_columns - 1)))
+                yield part.set_column(at_text, part.schema.field(at_text), pa.array(_cut(part.column(at_text), spans), part.schema.field(at_text).type))
+
+        return lasting(numbered.join(hits, row, "left").select(*docs.columns, f"{row}spans").mapInArrow(cut, schema))
