@@ -1,21 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text leaves, each with the path of tags above it. For every
-path the text length and the punctuation per leaf are summed up, smoothed along
-the page and fused; paths above a threshold are content. The region around
-them is then read out block by block, which brings back headings and short
-paragraphs beside the selected paths. Parts that their tag or role marks as
-menus, forms or side matter never count. A class or id is a suspicion only: such
-a part counts if it holds most of the page's prose, or if it lies in an article
-or main, isn't a thread of comments and has a ratio and share of links like content.
+A page is read into blocks of text, each with its path: the tags above it with
+their classes and ids. For every path the text length and the punctuation per
+block are summed up, less what is linked; along the page these ratios are
+smoothed over neighbouring blocks, the less the further apart they are in the
+tree, and fused with the path's own. Two more things weigh in: where one
+container holds most of the text, what stands beside it counts by its share of
+text; and a class or id that names side matter counts as a small factor. A path
+whose fused ratio reaches a share of the greatest is content. Elements that are
+menus, forms, hidden or scripts by their tag or role are never read.
+
+Paths are numbers (a parent's number and a label), so a page takes time linear in
+its length, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from math import exp, log1p, sqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,211 +30,251 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title object canvas noembed noframes xmp annotation annotation-xml desc metadata".split())
+_RAW = frozenset("script style noscript template iframe textarea title noembed noframes xmp annotation annotation-xml desc metadata".split())
 _INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
     math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics
     svg g tspan textpath""".split())
 _BOILERPLATE = frozenset("nav footer aside form button select option fieldset input dialog menu head".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_BOILERPLATE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
-    notices alert notification sidebar sidenav rail menu menubar nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus
-    share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay widget toolbar pagination pager login signin signup search
-    copyright legal disclaimer""".split())
-_THREAD_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Words of a class or id: what is never an article's own text, and what may be its topic too.
+_STRANGE = frozenset("ad ads advert adverts advertisement sponsored cookie cookies consent newsletter comment comments commentlist respond replies".split())
+_DOUBTFUL = frozenset("sidebar menu nav navbar breadcrumb footer header masthead share social related banner notice promo popup widget".split())
 #: no-sidebar, has-ads: what follows in the name is not what the element is.
 _ABOUT = frozenset("no not non has with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_HEADER_WORDS = frozenset(("header", "masthead", "topbar", "head"))
-_ROOTS = frozenset(("html", "body", "main", "article"))
+#: Elements of a text, which never are the container of a page's article.
+_OF_TEXT = _HEADINGS | frozenset("p pre ul ol li dl dt dd blockquote figure figcaption address details summary caption".split())
+_UNNAMED = _HEADINGS | {"html", "body", "main", "article"}
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-#: The share of the greatest fused ratio from which a path is content, and the smoothing window.
-THRESHOLD, WINDOW = 0.15, 2
-#: The same share from which a part of a suspicious name is content, if no more than that share of it is links.
-NAMED, NAMED_LINKS = 0.3, 0.5
-
-
-def _words(name: str) -> set[str]:
-    """The words of a class or id that say what the element is."""
-    found = set()
-    for one in name.split():
-        for w in map(str.lower, _PART.findall(one)):
-            if w in _ABOUT:
+#: The share of the greatest fused ratio from which a path is content.
+THRESHOLD = 0.12
+#: Blocks on either side that a ratio is smoothed over; beyond siblings each step in the tree halves a neighbour's weight.
+WINDOW = 2
+#: More punctuation in a block than that doesn't speak for prose.
+MOST_POINTS = 10
+#: Factors of names: strange ones, and doubtful ones outside and inside an article or main.
+STRANGE, DOUBTFUL, DOUBTFUL_INSIDE = 0.05, 0.2, 0.5
+#: A container with that share of a level's text holds the article; an article or main counts its text so many times.
+DOMINANT, NAMED_ARTICLE = 0.5, 4.0
+
+
+class Page:
+    """A page's paths and blocks.
+
+    Paths are numbered from 0, the whole page, parents before children. A block is
+    [path, number, raw texts, raw length, raw length in links, depth of the lowest
+    path between it and the block before].
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.depth, self.factor = [0], [""], [0], [1.0]
+        self.number: dict[tuple[int, str], int] = {}
+        self.blocks: list[list] = []
+        self._read(page)
+
+    def path(self, parent: int, tag: str, label: str, factor: float) -> int:
+        found = self.number.setdefault((parent, label), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.depth.append(self.depth[parent] + 1)
+            self.factor.append(self.factor[parent] * factor)
+        return found
+
+    def _read(self, page: str) -> None:
+        stack = [("", 0, False, False, False)]  # tag, path, boilerplate, in an article or main, in a link
+        places: dict[str, list[int]] = defaultdict(list)  # of open elements by tag
+        block, low, at, n, lower = 0, 0, 0, len(page), None
+
+        def text(raw: str) -> None:
+            nonlocal low
+            _, path, boilerplate, _, link = stack[-1]
+            if boilerplate:
+                return
+            size = len(raw.strip())
+            if not (self.blocks and self.blocks[-1][1] == block and self.blocks[-1][0] == path):
+                if not size and not (self.blocks and self.blocks[-1][1] == block):
+                    return
+                self.blocks.append([path, block, [], 0, 0, min(low, self.depth[path])])
+                low = self.depth[path]
+            own = self.blocks[-1]
+            own[2].append(raw)
+            own[3] += size
+            own[4] += size if link else 0
+
+        def cut(k: int) -> None:
+            nonlocal low
+            for closed in stack[k:]:
+                places[closed[0]].pop()
+            del stack[k:]
+            low = min(low, self.depth[stack[-1][1]])
+
+        def close(targets: set[str], until: set[str]) -> None:
+            nearest = lambda tags: max((places[t][-1] for t in tags if places[t]), default=0)
+            k = nearest(targets)
+            if k > nearest(until):
+                cut(k)
+
+        while at < n:
+            m = _TAG.search(page, at)
+            if m is None:
+                text(page[at:])
                 break
-            found.add(w)
-    return found
-
-
-def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
-    """Whether an element is boilerplate by its own tag, role or attributes, and what its class and id
-    say: 0 nothing, 1 that it may be, 2 that it may be a thread of comments or, outside an article, anything."""
-    if tag in _BOILERPLATE or (tag == "header" and not in_article):
-        return True, 0
-    if tag in _ROOTS or not attributes.strip():
-        return False, 0
-    named = 0
+            if at < m.start():
+                text(page[at : m.start()])
+            at = m.end()
+            if m[7]:  # a comment
+                to = page.find("-->", m.start() + 2)
+                at = n if to < 0 else max(to + 3, m.end())
+                continue
+            end, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], (m[5] or "").lower(), m[6] or "")
+            if not tag:
+                continue
+            if tag == "br":
+                text(" ")
+                continue
+            if tag not in _INLINE:
+                block += 1
+            if end:
+                if places[tag]:
+                    cut(places[tag][-1])
+                continue
+            closed = attributes.rstrip().endswith("/")
+            if tag in _RAW:
+                if closed and tag in ("annotation", "annotation-xml", "desc", "metadata"):
+                    continue
+                lower = lower if lower is not None else re.sub(r"[A-Z]+", lambda x: x[0].lower(), page)  # keeps its length
+                to = lower.find(f"</{tag}", at)
+                stop = page.find(">", to) if to >= 0 else -1
+                at = n if stop < 0 else stop + 1
+                continue
+            if tag in _CLOSES_P:
+                close({"p"}, {"table", "td", "button"})
+            if tag in _CLOSES:
+                close(*_CLOSES[tag])
+            if tag in _VOID or closed:
+                continue
+            _, path, boilerplate, inside, link = stack[-1]
+            label, factor = tag, 1.0
+            if not boilerplate:
+                boilerplate = tag in _BOILERPLATE or (tag == "header" and not inside)
+                if attributes.strip():
+                    hidden, label, factor = _marks(tag, attributes, inside)
+                    boilerplate = boilerplate or hidden
+            if not boilerplate and (tag not in _INLINE or factor < 1):
+                path = self.path(path, tag, label, factor)
+            places[tag].append(len(stack))
+            stack.append((tag, path, boilerplate, inside or tag in ("article", "main"), link or tag == "a"))
+
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, str, float]:
+    """Whether an element is hidden or boilerplate by its attributes, its label and the factor of its names."""
+    names, words = [tag], set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True, 0
+            return True, tag, 1.0
         if name == "role" and value.lower() in _BOILERPLATE_ROLES:
-            return True, 0
-        if name in ("class", "id") and tag not in _HEADINGS:
-            words = _words(value)
-            if words & _BOILERPLATE_WORDS or (not in_article and words & _HEADER_WORDS):
-                named = max(named, 1 if in_article and not words & _THREAD_WORDS else 2)
-    return False, named
-
-
-def leaves(page: str) -> list[tuple[str, int, str, bool, bool, tuple]]:
-    """Text leaves outside boilerplate: (path, block, raw text, in an article or main, in a link, the
-    suspicious elements around it as (number, kind) pairs)."""
-    nothing = ("", "", False, False, False, ())
-    stack: list[tuple[str, str, bool, bool, bool, tuple]] = []  # tag, path, boilerplate, in article, in link, suspicious
-    found, block, at, n = [], 0, 0, len(page)
-    lower = None
-
-    def text(start: int, end: int) -> None:
-        if start < end and not (stack and stack[-1][2]):
-            top = stack[-1] if stack else nothing
-            found.append((top[1], block, page[start:end], *top[3:]))
-
-    def close(targets: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in targets:
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
+            return True, tag, 1.0
+        if name in ("class", "id") and value:
+            names.append(re.sub(r"\d+", "0", value.lower()))
+            for one in value.split():
+                for w in map(str.lower, _PART.findall(one)):
+                    if w in _ABOUT:
+                        break
+                    words.add(w)
+    label = " ".join(names)
+    if tag in _UNNAMED:
+        return False, label, 1.0
+    if words & _STRANGE:
+        return False, label, STRANGE
+    return False, label, (DOUBTFUL_INSIDE if inside else DOUBTFUL) if words & _DOUBTFUL else 1.0
+
+
+def _ratio(chars: float, points: float, linked: float, n: int) -> float:
+    """A path's ratio: text length and punctuation per block, less what is linked."""
+    return log1p(chars / n) * (1 + log1p(min(points / n, MOST_POINTS))) * (1 - linked / chars)
+
 
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(at, n)
+def _beside(page: Page, chars: list[float], count: list[int]) -> tuple[list[float], dict[int, float]]:
+    """The factor of each path for standing beside a container that holds most of the text, and that of
+    the text directly in a path. chars and count: unlinked text and blocks of each path itself."""
+    n = len(page.parent)
+    mass, blocks, children = [c * f for c, f in zip(chars, page.factor, strict=True)], list(count), defaultdict(list)
+    own = list(mass)
+    for p in range(n - 1, 0, -1):
+        mass[page.parent[p]] += mass[p]
+        blocks[page.parent[p]] += blocks[p]
+        if blocks[p]:
+            children[page.parent[p]].append(p)
+    weight = lambda p: mass[p] * (NAMED_ARTICLE if page.tag[p] in ("article", "main") else 1.0)
+    factor, direct, at = [1.0] * n, {}, 0
+    while page.tag[at] != "article":
+        held = [p for p in children[at] if (blocks[p] > max(1, count[p]) and page.tag[p] not in _OF_TEXT) or page.tag[p] in ("article", "main")]
+        best = max(held, key=lambda p: (weight(p), -p), default=None)
+        if best is None or weight(best) <= 0 or weight(best) < DOMINANT * (own[at] + sum(map(weight, children[at]))):
             break
-        text(at, m.start())
-        at = m.end()
-        if m[7]:  # a comment
-            to = page.find("-->", m.start() + 2)
-            at = n if to < 0 else max(to + 3, m.end())
-            continue
-        end, tag = m[1] if m[2] else m[4], (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if tag == "br":
-            top = stack[-1] if stack else nothing
-            if not top[2]:
-                found.append((top[1], block, " ", *top[3:]))
-            continue
-        if tag not in _INLINE:
-            block += 1
-        if end:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            continue
-        if tag in _RAW:
-            lower = lower if lower is not None else re.sub(r"[A-Z]+", lambda x: x[0].lower(), page)  # keeps its length
-            to = lower.find(f"</{tag}", at)
-            if to < 0:
-                at = n
-            else:
-                stop = page.find(">", to)
-                at = n if stop < 0 else stop + 1
-            continue
-        if tag in _CLOSES_P:
-            close({"p"}, {"table", "td", "button"})
-        if tag in _CLOSES:
-            close(*_CLOSES[tag])
-        if tag in _VOID or (m[3] or m[6] or "").rstrip().endswith("/"):
-            continue
-        up = stack[-1] if stack else nothing
-        in_article = up[3] or tag in ("article", "main")
-        marked, named = (True, 0) if up[2] else _marked(tag, m[3] or m[6] or "", up[3])
-        stack.append((tag, up[1] if tag in _INLINE else f"{up[1]}/{tag}", marked, in_article, up[4] or tag == "a", (*up[5], (at, named)) if named else up[5]))
-    return found
-
-
-def _ratio(chars, points, linked, n):
-    """A path's or part's fused ratio: text length and punctuation per leaf, less what is linked."""
-    return np.log1p(chars / n) * (1 + np.log1p(points / n)) * (1 - linked / chars)
-
-
-def _unsuspicious(found: list) -> list:
-    """The leaves without those in a part that its name and its ratios show to be boilerplate."""
-    if not any(x[5] for x in found):
-        return found
-    parts: dict[tuple, list] = {}
-    paths: dict[str, list] = {}
-    prose = 0
-    for path, _, raw, _, link, named in found:
-        n = len(raw.strip())
-        if n:
-            prose += 0 if link else n
-            for total in [parts.setdefault(x, [0, 0, 0, 0]) for x in named] or [paths.setdefault(path, [0, 0, 0, 0])]:
-                total[0] += n
-                total[1] += len(_PUNCTUATION.findall(raw))
-                total[2] += n if link else 0
-                total[3] += 1
-    best = max((_ratio(*t) for t in paths.values()), default=0.0)
-    gone = set()
-    for part, t in parts.items():
-        content = part[1] == 1 and t[2] <= NAMED_LINKS * t[0] and _ratio(*t) >= NAMED * best
-        if not content and 2 * (t[0] - t[2]) <= prose:
-            gone.add(part)
-    return [x for x in found if not gone.intersection(x[5])]
-
-
-def main_text(page: str | None) -> str:
+        for p in children[at]:
+            if p != best and page.tag[p] not in _HEADINGS:
+                factor[p] = min(1.0, sqrt(weight(p) / weight(best)))
+        direct[at] = min(1.0, sqrt(own[at] / weight(best)))
+        at = best
+    for p in range(1, n):
+        factor[p] *= factor[page.parent[p]]
+    return factor, direct
+
+
+def path_scores(page: Page, texts: list[str]) -> dict[int, float]:
+    """The fused ratio of every path that holds text; texts are those of the page's blocks."""
+    n = len(page.parent)
+    chars, points, linked, count = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
+    for (path, _, _, size, in_links, _), text in zip(page.blocks, texts, strict=True):
+        if text:
+            chars[path] += len(text)
+            points[path] += len(_PUNCTUATION.findall(text))
+            linked[path] += len(text) * in_links / max(size, 1) * (0.5 if page.tag[path] in _HEADINGS else 1.0)
+            count[path] += 1
+    ratio = {p: _ratio(chars[p], points[p], linked[p], count[p]) for p in range(n) if count[p]}
+    along, low = [], 0
+    for (path, *_, between), text in zip(page.blocks, texts, strict=True):
+        low = min(low, between) if along else between
+        if text:
+            along.append((path, low))
+            low = page.depth[path]
+    total: dict[int, float] = defaultdict(float)
+    for i, (path, _) in enumerate(along):
+        summed, weights = ratio[path], 1.0
+        for step in (-1, 1):
+            shared = page.depth[path]
+            for k in range(1, WINDOW + 1):
+                j = i + step * k
+                if not 0 <= j < len(along):
+                    break
+                shared = min(shared, along[j if step > 0 else j + 1][1])
+                apart = page.depth[path] + page.depth[along[j][0]] - 2 * shared
+                weight = exp(-0.5 * k * k) * 0.5 ** max(0, apart - 2)
+                summed += weight * ratio[along[j][0]]
+                weights += weight
+        total[path] += sqrt(ratio[path] * summed / weights)
+    factor, direct = _beside(page, [c - x for c, x in zip(chars, linked, strict=True)], count)
+    return {p: total[p] / count[p] * page.factor[p] * factor[p] * direct.get(p, 1.0) for p in ratio}
+
+
+def main_text(markup: str | None, threshold: float = THRESHOLD) -> str:
     """The content blocks of a page, in order, one to a line; empty if it has none."""
-    if not page:
-        return ""
-    found = _unsuspicious(leaves(page))
-    if any(x[3] and x[2].strip() for x in found):  # a page that names its main part
-        found = [x for x in found if x[3]]
-    solid = [x for x in found if x[2].strip()]
-    if not solid:
+    if not markup:
         return ""
-    paths = sorted({x[0] for x in solid})
-    number = {p: k for k, p in enumerate(paths)}
-    which = np.array([number[x[0]] for x in solid])
-    chars = np.array([len(x[2].strip()) for x in solid], float)
-    points = np.array([len(_PUNCTUATION.findall(x[2])) for x in solid], float)
-    linked = np.array([x[4] for x in solid], float) * chars
-    n = np.bincount(which, minlength=len(paths))
-    per = lambda v: np.bincount(which, weights=v, minlength=len(paths))
-    along = _ratio(per(chars), per(points), per(linked), n)[which]
-    kernel = np.exp(-0.5 * np.arange(-WINDOW, WINDOW + 1) ** 2)
-    blur = lambda v: np.convolve(v, kernel)[WINDOW : WINDOW + len(v)]
-    smooth = blur(along) / blur(np.ones(len(along)))
-    fused = per(np.sqrt(np.maximum(along * smooth, 0))) / n
-    content = {paths[k] for k in np.flatnonzero(fused >= THRESHOLD * fused.max())} if fused.max() > 0 else set()
-    region = _region(content, per(chars), number)
-    kept = [x for x in found if x[0] in content or x[0].startswith(region) or x[0] == region.rstrip("/")]
-    blocks: dict[int, list[str]] = {}
-    for _, block, raw, *_ in kept:
-        blocks.setdefault(block, []).append(raw)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
-    return "\n".join(line for line in lines if line)
-
-
-def _region(content: set[str], chars: np.ndarray, number: dict[str, int]) -> str:
-    """The path under which all that is not boilerplate belongs to the content: its article or
-    main, else what its paths share, unless that is the whole page."""
-    if not content:
-        return "\0"
-    best = max(content, key=lambda p: (chars[number[p]], p))
-    steps = best.split("/")
-    for tag in ("article", "main"):
-        if tag in steps:
-            return "/".join(steps[: steps.index(tag) + 1]) + "/"
-    shared = steps[:-1]
-    for p in content:
-        own = p.split("/")
-        while shared != own[: len(shared)]:
-            shared = shared[:-1]
-    return "/".join(shared) + "/" if len(shared) > 3 else "\0"
+    page = Page(markup)
+    shown = lambda parts: " ".join(html.unescape("".join(parts)).split())
+    scores = path_scores(page, [shown(b[2]) for b in page.blocks])
+    best = max(scores.values(), default=0.0)
+    blocks: dict[int, list[str]] = defaultdict(list)
+    for path, block, parts, *_ in page.blocks:
+        if scores.get(path, -1.0) >= threshold * best:
+            blocks[block].extend(parts)
+    return "\n".join(filter(None, map(shown, blocks.values())))
 
 
 def extract_main_text(pages: DataFrame, page: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
