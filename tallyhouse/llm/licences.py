@@ -8,6 +8,8 @@ texts, and single lines, looked up among the few licence notices.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,19 @@ def _small(known: DataFrame) -> DataFrame:
     return F.broadcast(known) if known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else known
 
 
+def _needles(spark: SparkSession, notices: dict[str, list[str]]) -> list[str]:
+    """Words of which each notice has one, in all their spellings: a line without any can't be a notice."""
+    rows = spark.createDataFrame([(n,) for forms in notices.values() for n in forms], "text string")
+    left = [set(r[0].split()) for r in rows.select(canonical(F.col("text"))).collect() if r[0]]  # as large as the argument
+    found = []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        best = max(counts, key=lambda w: (counts[w], len(w), w))
+        found += [best, *(old for old, new in SPELLINGS.items() if new == best)]
+        left = [words for words in left if best not in words]
+    return sorted(found)
+
+
 def scan_licenses(docs: DataFrame, doc: str = "doc_id", text: str = "text", texts: dict | None = None, notices: dict | None = None) -> DataFrame:
     """One row per document: doc, text_digest, license, n_notices, notices.
 
@@ -59,10 +74,8 @@ def scan_licenses(docs: DataFrame, doc: str = "doc_id", text: str = "text", text
     whole = _small(known_digests(spark, TEXTS if texts is None else texts))
     lines_known = NOTICES if notices is None else notices
     slim = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text"))
-    # every notice has one of these stems in its canonical form, so other lines can't match
-    stems = sorted({next(s for s in ("licen", "public domain", "spdx", "cc0") if s in n.lower()) for forms in lines_known.values() for n in forms})
-    maybe = lambda line: F.lower(line).rlike("|".join(stems).replace(" ", r"[^\p{L}\p{N}]+"))
-    lines = F.filter(F.split("__text", "\n"), maybe)
+    needles = _needles(spark, lines_known)
+    lines = F.filter(F.split("__text", "\n"), lambda line: F.lower(line).rlike("|".join(needles) or "$^"))
     form = F.transform(lines, digest)
     rows = slim.select("__doc", digest(F.col("__text")).alias("text_digest"), F.coalesce(form, F.array().cast("array<string>")).alias("__lines"))
     rows = rows.join(whole.withColumnRenamed("known", "text_digest"), "text_digest", "left")
