@@ -278,9 +278,22 @@ class PieceEncoder:
         """Ids of segments, flat, and how many each has."""
         if self.byte_ids is not None and max(map(len, segments)) > LOCKSTEP_CHARS:
             parts = [self._cut(s) if len(s) > LOCKSTEP_CHARS else [s] for s in segments]
-            ids, counts = self._encode_cut([x for p in parts for x in p])
+            ids, counts = self._encode_runs([x for p in parts for x in p])
             return ids, T.sums(counts, np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
-        return self._encode_cut(segments)
+        return self._encode_runs(segments)
+
+    def _encode_runs(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_encode_cut over runs of at most INDEX_CHARS characters, or one longer segment that can't be cut."""
+        done, at = [], 0
+        while at < len(segments) or not done:
+            to, size = at, 0
+            while to < len(segments) and (to == at or size + len(segments[to]) <= INDEX_CHARS):
+                size += len(segments[to])
+                to += 1
+            done.append(self._encode_cut(segments[at:to]))
+            at = max(to, 1)
+        ids, counts = zip(*done, strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _encode_cut(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)

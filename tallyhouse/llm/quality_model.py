@@ -164,6 +164,10 @@ def score(docs: DataFrame, machine: FactorisationMachine, doc: str = "doc_id", t
 
 
 def keep_predicted(docs: DataFrame, machine: FactorisationMachine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score of threshold or more, with all their columns."""
+    """The documents with a score of threshold or more, with all their columns.
+
+    Null and empty texts are scored by their statistics. Repeated rows are judged
+    alike, an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return T.filter_text(docs, text, lambda chunk: shared.value.scores(*features(chunk)) >= threshold)

@@ -122,10 +122,11 @@ def quality_rules(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | N
     """One row per document: doc, the base measures, the fertility measures, base_failed, kept.
 
     A null text counts as empty and fails the base rules; a language without a
-    band (null too) takes the default band. Repeated rows give repeated results;
-    other columns are ignored.
+    band (null too) takes the band of the empty key, which is BANDS' own if bands has
+    none. Repeated rows give repeated results, an empty table an empty one; other
+    columns are ignored, whatever their names.
     """
-    bands = BANDS if bands is None else bands
+    bands = {"": BANDS[""]} | (BANDS if bands is None else bands)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(doc), F.col(lang).cast("string").alias("__lang"), F.col(text))
 
@@ -139,8 +140,12 @@ def quality_rules(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | N
 
 
 def keep_quality(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns."""
-    bands = BANDS if bands is None else bands
+    """The documents that quality_rules keeps, with all their columns.
+
+    Null, empty and short texts go, as the base rules have it. Repeated rows are
+    judged alike, an empty table gives an empty one.
+    """
+    bands = {"": BANDS[""]} | (BANDS if bands is None else bands)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 

@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from tallyhouse.llm.shared import lasting_in_order
 
 
-
-
 def byte_size(text: str, overhead: int = 8):
     """UTF-8 bytes of a text column plus a fixed overhead; null counts as empty."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
@@ -38,8 +36,11 @@ def shard_by_bytes(rows: DataFrame, n_shards: int, order: str, size: str, partit
     rows = rows.drop("shard", "slot")
     spark = rows.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.withColumn("__row", F.monotonically_increasing_id())
-    placed = placed.repartitionByRange(partitions, order, "__row").sortWithinPartitions(order, "__row").drop("__row")
+    row = "__row"
+    while row in rows.columns:
+        row += "_"
+    placed = rows.withColumn(row, F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(partitions, order, row).sortWithinPartitions(order, row).drop(row)
     placed = lasting_in_order(placed)
     totals = {r[0]: r[1] for r in placed.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(size, F.lit(0)))).collect()}
     starts, total = {}, 0
