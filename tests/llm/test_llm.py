@@ -196,6 +196,27 @@ def test_near_duplicates_odd(odd_docs):
     assert ids == Counter({i: 1 for i in [*range(len(ODD)), None] if i != 12})
 
 
+def test_near_duplicates_without_ids(spark):
+    """A text that only rows without an id hold is a node like others, also as the hub of its group."""
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(500)}" for _ in range(120)]
+    rows = [(None, " ".join(base)), (None, " ".join(base))]
+    for k in range(8):
+        rows.append((k, " ".join([*base, *(f"n{k}x{j}" for j in range(12))])))
+    rows += [(None, "only ones without an id know these words"), (None, "only ones without an id know these words")]
+    got = near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_classes(rows) and brute_classes(rows)[None, 0] == 2
+
+
+def test_near_duplicates_leave_no_tables(spark, docs):
+    from tallyhouse.functions.lasting import file_system, shared_folder
+
+    files, at = file_system(spark, shared_folder(spark))
+    before = {f.getPath().getName() for f in files.listStatus(at)}
+    assert near_duplicates.near_duplicate_classes(docs).count() == docs.count()
+    assert len({f.getPath().getName() for f in files.listStatus(at)} - before) == 1
+
+
 def test_prob_min_hash_estimates():
     rng = np.random.default_rng(1)
     codes = arrow_text.mix(np.arange(60, dtype=np.uint64))
@@ -236,7 +257,7 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_WINDOWS, 7])
+@pytest.mark.parametrize("block", [decontamination.BLOCK_WINDOWS, 2])
 def test_contamination(spark, odd_docs, no_docs, block):
     items = [(7, "The same TEXT here, twice"), (10, "a b c d e f g h i j k l m"), (9, None), (8, "..."), (11, "c d e f g h i j k l"), (10, "one")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -250,11 +271,35 @@ def test_contamination(spark, odd_docs, no_docs, block):
     assert kept.columns == rows.columns and Counter(r.doc_id for r in kept.collect()) == clean
     cut = decontamination.strip_contaminated(rows, benchmark, block_windows=block).select("doc_id", "text").collect()
     assert len(cut) == len(texts) and dict(cut)[0] is None and dict(cut)[50].split() == ["x", ",", "n"]
+    alike = lambda **size: sorted((r.asDict(recursive=True) for r in decontamination.contamination(rows, benchmark, **size).collect()), key=str)
+    assert alike(block_windows=block) == alike()
     empty = benchmark.limit(0)
     assert decontamination.contamination(rows, empty, block_windows=block).filter("contaminated").count() == 0
     assert decontamination.contamination(no_docs, benchmark, block_windows=block).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 5])
+def test_contamination_of_many_blocks(spark, block):
+    rng = random.Random(9)
+    run = [f"w{k}" for k in range(14)]
+    items = [(1, " ".join(run)), (2, "p q r"), (3, "p q r"), (4, " ".join(run[:12]))]
+    rows = [(0, "x " + " ".join(run) + " y"), (1, "a p q r p q r b"), (2, " ".join(run[:9])), (3, None), (4, "P, Q! r; " + " ".join(run)), (4, "x"), (None, "p q r")]
+    rows += [(10 + k, " ".join(rng.choice(["p", "q", "r", *run]) for _ in range(60))) for k in range(30)]
+    docs = spark.createDataFrame([(i, t, 7, "s", [1]) for i, t in rows], "doc_id long, text string, __row long, spans string, items array<int>").repartition(5, F.rand(1))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    with decontamination.Scratch(spark) as scratch:
+        assert decontamination._Blocks(benchmark, "item_id", "text", 10, block, scratch).count > 1
+    plain = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=str)
+    whole = decontamination.contamination(docs, benchmark)
+    assert plain(decontamination.contamination(docs, benchmark, block_windows=block)) == plain(whole)
+    assert Counter(map(tuple, whole.drop("spans").collect())) == Counter((i, *brute_hits(t, items)) for i, t in rows)
+    for operator in (decontamination.drop_contaminated, decontamination.strip_contaminated):
+        out = operator(docs, benchmark, block_windows=block)
+        assert out.columns == docs.columns and plain(out) == plain(operator(docs, benchmark))
+    cut = dict(decontamination.strip_contaminated(docs, benchmark, block_windows=block).filter("doc_id < 4").select("doc_id", "text").collect())
+    assert cut[0].split() == ["x", "y"] and cut[1].split() == ["a", "b"] and cut[2] == rows[2][1] and cut[3] is None
+
+
 # --- 4: sharding ----------------------------------------------------------
 
 
@@ -277,6 +322,8 @@ def test_sharding_laws(spark, sf_small, odd_docs, no_docs):
     hot = spark.range(1000).select(F.lit(1).alias("doc_id"), F.lit(10).cast("long").alias("size"))
     assert sorted(r["count"] for r in sharding.shard_by_bytes(hot, 4, "doc_id", "size").groupBy("shard").count().collect()) == [250] * 4
     assert sharding.shard_by_bytes(no_docs.withColumn("size", F.lit(1)), 4, "doc_id", "size").count() == 0
+    clash = sharding.shard_by_bytes(hot.withColumn("__row", F.lit("mine")), 4, "doc_id", "size")
+    assert clash.columns == ["doc_id", "size", "__row", "shard", "slot"] and clash.filter("__row = 'mine'").count() == 1000
 
 
 # --- 5: quality rules -----------------------------------------------------
@@ -296,6 +343,30 @@ def brute_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def brute_kept(text, lang, library, bands=quality_rules.BANDS):
+    n_words, *_, failed = brute_base(text)
+    ids = library.encode(text or "")
+    n, pieces_ = max(len(ids), 1), [library.id_to_piece(i) for i in ids]
+    shares = np.array(list(Counter(ids).values())) / n
+    band = bands.get(lang, bands.get("", quality_rules.BANDS[""]))
+    x = min(max(np.log2(n), 6), 15)
+    entropy = -(shares * np.log2(shares)).sum() - (band.curve[0] + band.curve[1] * x + band.curve[2] * x * x)
+    by_byte = sum(library.is_byte(i) and p not in ("<0x0A>", "<0x0D>") for i, p in zip(ids, pieces_)) / n
+    values = {"chars_per_token": len(text or "") / n, "tokens_per_word": len(ids) / max(n_words, 1), "byte_share": by_byte, "entropy": entropy}
+    return not failed and all(getattr(band, k)[0] <= v <= getattr(band, k)[1] for k, v in values.items())
+
+
+def test_quality_rules_kept(odd_docs, docs, model):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_file())
+    rows = odd_docs.union(docs.select(*docs.columns, F.lit(1.0), F.lit(1), F.lit(1)))
+    for bands in (None, {"en": quality_rules.BANDS["en"]}):  # without a default band too
+        got = Counter((r.doc_id, r.kept) for r in quality_rules.quality_rules(rows, model, bands).collect())
+        assert got == Counter((r.doc_id, brute_kept(r.text, r.lang, library, bands or quality_rules.BANDS)) for r in rows.collect())
+    assert len({k for _, k in got}) == 2
+
+
 def test_quality_rules(odd_docs, no_docs, docs, model):
     rows = odd_docs.union(docs.select(*docs.columns, F.lit(1.0), F.lit(1), F.lit(1)))
     out = quality_rules.quality_rules(rows, model)
@@ -380,6 +451,24 @@ def test_quality_model_held_out(spark, sf_mid, odd_docs, no_docs):
     assert quality_model.score(docs, quality_model.fit(docs, labels.limit(0))).count() == docs.count()
 
 
+def test_scores_by_all_pairs(odd_docs, docs, spark, sf_small):
+    machine = quality_model.fit(docs, spark.read.parquet(f"{sf_small}/labels.parquet"))
+    rows = odd_docs.union(docs.limit(30).select(*docs.columns, F.lit(1.0), F.lit(1), F.lit(1)))
+    k, expected = len(quality_model.STATISTICS), []
+    for doc_id, text in rows.select("doc_id", "text").collect():
+        raw = (text or "").encode()
+        stats, values, buckets, _ = quality_model.features(arrow_text.Chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        own = re.findall(rb"[^\x20\x09-\x0D]+", raw.translate(bytes(range(65)) + b"abcdefghijklmnopqrstuvwxyz" + bytes(range(91, 256))))
+        hashed = arrow_text.words(arrow_text.Chunk(np.frombuffer(b" ".join(own), np.uint8), np.array([0, len(b" ".join(own))])), arrow_text.SPACED, True).hashes >> np.uint64(64 - quality_model.BUCKET_BITS)
+        assert dict(zip(buckets.tolist(), values.tolist())) == pytest.approx({int(b): c / len(own) for b, c in Counter(hashed.tolist()).items()})
+        x, at = np.concatenate([stats[0], values]).astype(float), np.concatenate([np.arange(k), buckets + k])
+        v = machine.factors[at].astype(float) * x[:, None]
+        z = (machine.linear[at] * x).sum() + (np.triu(v @ v.T, 1)).sum()
+        expected.append((doc_id if doc_id is not None else -1, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in quality_model.score(rows, machine).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(expected)] and [x for _, x in got] == pytest.approx([x for _, x in sorted(expected)], abs=1e-4)
+
+
 def test_machine_interactions_identity():
     rng = np.random.default_rng(0)
     k = len(quality_model.STATISTICS)
@@ -406,6 +495,21 @@ def test_pieces_equal_the_library(odd_docs, no_docs, docs, model):
     assert pieces.encode(no_docs, model).count() == 0
 
 
+def test_pieces_of_long_texts_without_spaces(spark, model, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_file())
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh漢字かな0123,.") for _ in range(120_000)), "ab" * 3000, "", "x"]
+    monkeypatch.setattr(pieces, "INDEX_CHARS", 1000)
+    encoder = pieces.PieceEncoder(model)
+    sizes, cut = [], encoder._encode_cut
+    monkeypatch.setattr(encoder, "_encode_cut", lambda segments: sizes.append((sum(map(len, segments)), len(segments))) or cut(segments))
+    ids, bounds = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t) for t in texts]
+    assert len(sizes) > 50 and all(n <= 1000 or k == 1 for n, k in sizes)
+
+
 def test_unigram_relaxation_is_best_path():
     rng = random.Random(4)
     for case in range(15):
@@ -438,6 +542,15 @@ def test_licences(spark, no_docs):
     assert licences.scan_licenses(no_docs).count() == 0
 
 
+def test_notices_of_any_words(spark):
+    rows = [(1, "Released under the GPL\nx"), (2, "x\nDas gehört allen.\nDAS GEHÖRT  allen"), (3, "the gpl"), (4, "Some organization, favoured"), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    notices = {"GPL": ["Released under the GPL"], "PD": ["Das gehört allen"], "X": ["some organisation favoured", "..."]}
+    got = {r.doc_id: (r.n_notices, r.notices) for r in licences.scan_licenses(frame, notices=notices).collect()}
+    assert got == {1: (1, "GPL"), 2: (2, "PD"), 3: (0, ""), 4: (1, "X"), 5: (0, "")}
+    assert {r.n_notices for r in licences.scan_licenses(frame, notices={}).collect()} == {0}
+
+
 def test_long_licences_are_known(spark):
     wanted = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"]
     texts = [(n, licences.TEXTS[n][0]) for n in wanted]
@@ -490,6 +603,132 @@ def test_main_text_of_suspicious_names():
     assert [main_text.main_text(page) for page in cases] == list(cases.values())
 
 
+def brute_main_text(page, threshold):
+    """The same by nested tag paths as tuples, every sum taken anew; for pages of plain elements."""
+    open_, leaves, block = [], [], 0  # elements: (label, tag, factor, boilerplate, number)
+    for k, part in enumerate(re.split(r"(<[^>]*>)", page)):
+        if not part.startswith("<"):
+            if part and not any(e[3] for e in open_):
+                leaves.append((tuple(e for e in open_ if e[1] not in main_text._INLINE), block, part, any(e[1] == "a" for e in open_)))
+            continue
+        tag = re.match(r"</?([a-z0-9]+)", part)
+        if not tag or tag[1] in ("br", "meta"):
+            if tag and tag[1] == "br" and leaves:
+                leaves.append((tuple(e for e in open_ if e[1] not in main_text._INLINE), block, " ", False))
+            continue
+        tag = tag[1]
+        block += tag not in main_text._INLINE
+        if part[1] == "/":
+            if any(e[1] == tag for e in open_):
+                while open_.pop()[1] != tag:
+                    pass
+            continue
+        if tag in main_text._CLOSES_P and any(e[1] == "p" for e in open_):
+            while open_.pop()[1] != "p":
+                pass
+        names = re.findall(r'(?:class|id)="([^"]*)"', part)
+        words, inside = set(re.split(r"[^a-z]+", " ".join(names))), any(e[1] in ("article", "main") for e in open_)
+        factor = 1.0 if tag in main_text._UNNAMED else 0.05 if words & main_text._STRANGE else (0.5 if inside else 0.2) if words & main_text._DOUBTFUL else 1.0
+        open_.append((" ".join([tag, *names]), tag, factor, tag in main_text._BOILERPLATE or tag in ("script", "style", "title"), k))
+    units = []  # [elements, block, raw, length in links, length]
+    for elements, block, raw, link in leaves:
+        if not units or units[-1][1] != block:
+            units.append([elements, block, "", 0, 0])
+        units[-1][2] += raw
+        units[-1][3] += len(raw.strip()) if link else 0
+        units[-1][4] += len(raw.strip())
+    shown = lambda raw: " ".join(html.unescape(raw).split())
+    units = [u for u in units if shown(u[2])]
+    path = lambda elements: tuple(e[0] for e in elements)
+    tag_of = lambda p: p[-1].split(" ")[0] if p else ""
+    names = {path(u[0][:n]) for u in units for n in range(len(u[0]) + 1)}
+    of = {p: [u for u in units if path(u[0]) == p] for p in names}
+    factor = {path(u[0][:n]): float(np.prod([e[2] for e in u[0][:n]])) for u in units for n in range(len(u[0]) + 1)}
+    chars = {p: sum(len(shown(u[2])) for u in us) for p, us in of.items()}
+    link = {p: sum(len(shown(u[2])) * u[3] / u[4] for u in us) * (0.5 if tag_of(p) in main_text._HEADINGS else 1.0) for p, us in of.items()}
+    points = {p: sum(len(main_text._PUNCTUATION.findall(shown(u[2]))) for u in us) for p, us in of.items()}
+    ratio = {p: np.log1p(chars[p] / len(us)) * (1 + np.log1p(min(points[p] / len(us), main_text.MOST_POINTS))) * (1 - link[p] / chars[p]) for p, us in of.items() if us}
+    fused = defaultdict(list)
+    for i, u in enumerate(units):
+        weights = {i: 1.0}
+        for j in range(max(0, i - main_text.WINDOW), min(len(units), i + main_text.WINDOW + 1)):
+            if j != i:
+                shared = next((n for n, (a, b) in enumerate(zip(u[0], units[j][0])) if a != b), min(len(u[0]), len(units[j][0])))
+                weights[j] = np.exp(-0.5 * (i - j) ** 2) * 0.5 ** max(0, len(u[0]) + len(units[j][0]) - 2 * shared - 2)
+        smooth = sum(w * ratio[path(units[j][0])] for j, w in weights.items()) / sum(weights.values())
+        fused[path(u[0])].append(np.sqrt(ratio[path(u[0])] * smooth))
+    under = lambda p: [q for q in names if q[: len(p)] == p]
+    mass = lambda p: sum((chars[q] - link[q]) * factor[q] for q in under(p)) * (4.0 if tag_of(p) in ("article", "main") else 1.0)
+    beside, at = {}, ()
+    while tag_of(at) != "article":
+        children = [p for p in names if p[:-1] == at and len(p) == len(at) + 1]
+        held = [p for p in children if (tag_of(p) not in main_text._OF_TEXT and sum(len(of[q]) for q in under(p)) > max(1, len(of[p]))) or tag_of(p) in ("article", "main")]
+        own = (chars[at] - link[at]) * factor[at]
+        best = max(held, key=mass, default=None)
+        if best is None or mass(best) <= 0 or mass(best) < 0.5 * (own + sum(map(mass, children))):
+            break
+        beside |= {p: min(1.0, np.sqrt(mass(p) / mass(best))) for p in children if p != best and tag_of(p) not in main_text._HEADINGS}
+        beside[at, "own"] = min(1.0, np.sqrt(own / mass(best)))
+        at = best
+    score = {p: np.mean(fused[p]) * factor[p] * np.prod([beside.get(p[:n], 1.0) for n in range(len(p) + 1)]) * beside.get((p, "own"), 1.0) for p in ratio}
+    kept = [shown(u[2]) for u in units if score[path(u[0])] >= threshold * max(score.values())]
+    return "\n".join(kept)
+
+
+def test_main_text_brute_force(spark, sf_small):
+    pages = [r.html for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()]
+    plain = [re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>|(?<=<script>)[^<]*(?:<(?!/script)[^<]*)*", "", p) for p in pages[:60]]
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["word", "one,", "two.", "a", "longer", "&amp;"]) for _ in range(rng.choice((1, 3, 10, 40))))
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice((text(), f"<p>{text()}</p>", f"<h2>{text()}</h2>", f"<p>{text()} <a>{text()}</a></p>", f"<ul><li><a>{text()}</a></li><li>{text()}</li></ul>", f"{text()}<br>{text()}"))
+        name = rng.choice(("", "", ' class="ad"', ' id="x"', ' class="sidebar b"', ' class="related"'))
+        tag = rng.choice(("div", "div", "section", "article", "main", "footer"))
+        return f"<{tag}{name}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    plain += ["<body>" + "".join(part(3) for _ in range(3)) + "</body>" for _ in range(150)]
+    differ = 0
+    for threshold in (0.05, main_text.THRESHOLD, 0.5):
+        got = [main_text.main_text(p, threshold) for p in plain]
+        assert got == [brute_main_text(p, threshold) for p in plain]
+        differ += len(set(got))
+    assert len({tuple(main_text.main_text(p, t) for p in plain) for t in (0.0, 0.05, 0.5, 0.95)}) == 4
+
+
+def test_main_text_without_article(spark, sf_small):
+    """The ratios alone find the text where nothing names it."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_small}/pages.parquet").collect()}
+    named = {r.page_id: r.text for r in queries.op10_main_text(spark, sf_small).collect()}
+    for k, page in pages.items():
+        assert main_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == named[k]
+
+
+def test_main_text_loses_nothing_of_an_article():
+    prose = "A paragraph of the text, with some clauses, and full stops. It goes on for a while, as prose does."
+    cases = {
+        f'<article><p>{prose}</p><p class="legal">{prose}</p><p class="social-history">Short one.</p><p id="search-theory">{prose}</p><div class="related-work"><p>{prose}</p></div></article>': [prose, prose, "Short one.", prose, prose],
+        f'<article><p>{prose}</p><svg width="3"/><p>{prose}</p><p><math><mi>x</mi></math> is.</p><object>Fallback text here.</object></article>': [prose, prose, "x is.", "Fallback text here."],
+        f"<article><section><h2>A</h2><p>{prose}</p></section><section><h2>B</h2><p>{prose}</p><p>{prose}</p></section></article>": ["A", prose, "B", prose, prose],
+        f'<body><div id="page"><div class="sidebar"><p>{prose}</p></div><div><p>{prose}</p><p>{prose}</p><blockquote>Quote.</blockquote><pre>x = 1</pre><ul><li>apples and pears</li><li>bread</li></ul></div></div></body>': [prose, prose, "Quote.", "x = 1", "apples and pears", "bread"],
+        f'<article><h1>T</h1><p>{prose}</p><div class="ad">Buy now, cheap things.</div><p>{prose}</p></article>': ["T", prose, prose],
+    }
+    assert [main_text.main_text(page).split("\n") for page in cases] == list(cases.values())
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    for page in (lambda n: "<div>" * n + "deep text", lambda n: "<div><p>word one, two" * n, lambda n: "<p>word, and more.</p>" * n, lambda n: "<ul>" + "<div>" * n + "<li>x</li>" * n):
+        took = []
+        for n in (4_000, 16_000):
+            at = time.process_time()
+            main_text.main_text(page(n))
+            took.append(time.process_time() - at)
+        assert took[1] < 12 * max(took[0], 0.02)
+
+
 # --- pipeline -------------------------------------------------------------
 
 
@@ -504,3 +743,40 @@ def test_pipeline_stages(spark, sf_mid, tmp_path):
         left.append(docs.count())
         assert k == 4 or docs.columns == columns
     assert left[0] > left[1] > left[2] > left[3] > left[4] == left[5] > 0 and docs.filter("not round_trip").count() == 0
+
+
+def test_pipeline_brute_force(spark, sf_small):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    machine = quality_model.fit(docs, spark.read.parquet(f"{sf_small}/labels.parquet"))
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_file())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
+    rows = []
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        if machine.scores(*quality_model.features(arrow_text.Chunk(raw, np.array([0, len(raw)]))))[0] >= 0.3 and brute_kept(r.text, r.lang, library):
+            rows.append((r.doc_id, r.text))
+    gone = {i for (i, c), _ in brute_classes(rows).items() if i != c}
+    kept = [(i, t) for i, t in rows if i not in gone and not brute_hits(t, items)[4]]
+    expected = {i: library.encode(t) for i, t in kept}
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf_small).collect()}
+    assert got == expected and 0 < len(got) < len(rows) < docs.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_small, odd_docs, no_docs):
+    """Nulls, odd and repeated texts, an empty table and columns named like the operators' own: no stage fails,
+    the filters keep whole rows, encoding gives a row for each."""
+    import corpus_pipeline
+
+    own = odd_docs.withColumns({"k1": F.lit("mine"), "node": F.lit(1), "ids": F.lit("x"), "__row": F.lit(2), "spans": F.lit(None).cast("string"), "size": F.lit(0)})
+    for docs in (own, own.limit(0), no_docs):
+        known = Counter(map(str, docs.collect()))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_small)
+            if k == 4:
+                assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+            else:
+                assert out.columns == docs.columns and not Counter(map(str, out.collect())) - known
