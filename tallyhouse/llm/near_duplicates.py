@@ -139,7 +139,7 @@ def compare(left: T.Chunk, right: T.Chunk, size: int = SHINGLE) -> tuple[np.ndar
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (a, b) with linked, whether they are similar enough; short, how many more shared
-    shingles that takes; and beyond, b's shingles outside a."""
+    shingles that takes; size, b's shingles; and beyond, those outside a."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -152,11 +152,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
                 a, b = (next(T.chunks(part.column(k), 1 << 62))[1] for k in (2, 3))
                 shared, size_a, size_b, beyond = compare(a, b, size)
                 short = np.ceil(similarity / (1 + similarity) * (size_a + size_b) - 1e-9).astype(np.int64) - shared
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(short <= 0), pa.array(short), beyond], names=["a", "b", "linked", "short", "beyond"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(short <= 0), pa.array(short), pa.array(size_b), beyond], names=["a", "b", "linked", "short", "size", "beyond"])
                 at += rows
 
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return found.mapInArrow(run, "a long, b long, linked boolean, short long, beyond array<long>")
+    return found.mapInArrow(run, "a long, b long, linked boolean, short long, size long, beyond array<long>")
 
 
 def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = lasting) -> DataFrame:
@@ -165,23 +165,23 @@ def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = lastin
     Each round lets every node follow its first neighbour, in an order drawn anew
     by hash, twice over; links whose ends then coincide are settled and leave. A
     fixed share of the nodes goes each round, whatever the shape of the graph (a
-    long chain too), so later rounds work on ever fewer links. What a round writes
-    is deleted once the next has read it.
+    long chain too), so later rounds work on ever fewer links. What the rounds write
+    is deleted at the end.
     """
     with Scratch(links.sparkSession) as scratch:
         edges = scratch.keep(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        labels = scratch.keep(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node")))
+        labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("comp", F.col("node"))
         k = 0
-        while edges.limit(1).count():
+        while not edges.isEmpty():
             place = lambda node: F.struct(F.xxhash64(node, F.lit(k)).alias("at"), F.col(node).alias("node"))  # noqa: B023, E731
             both = edges.union(edges.select("b", "a"))
-            first = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).select("node", F.least("first", place("node")).getField("node").alias("next")))
+            first = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first")).select("node", F.least("first", place("node")).getField("node").alias("next"))
             step = scratch.keep(first.join(first.select(F.col("node").alias("next"), F.col("next").alias("to")), "next").select("node", "to"))
-            passed = scratch.keep(labels.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
             ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
-            left = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-            scratch.drop(edges, first, step, labels)
-            edges, labels, k = left, passed, k + 1
+            edges = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            labels = labels.join(step.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            k += 1
+        labels = scratch.keep(labels)
         least = labels.groupBy("comp").agg(F.min("node").alias("least"))
         return keep(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
@@ -223,7 +223,7 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
         labels = keep(degrees.select("node").join(components(tested.filter("linked").select("a", "b"), keep), "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
         met = _meetings(tested, labels, scratch)
         done = tested.select("a", "b")
-        for choose in (*(partial(_hub_pairs, hubs=k) for k in MEETING_HUBS), partial(_class_pairs, scratch=scratch)):
+        for choose in (*(partial(_hub_pairs, hubs=k, similarity=similarity) for k in MEETING_HUBS), partial(_class_pairs, scratch=scratch, similarity=similarity)):
             pairs = keep(choose(_named(met, labels)).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
             if pairs.limit(1).count():
                 found = keep(_verified(pairs, texts, similarity, size).filter("linked").select("a", "b"))
@@ -240,22 +240,22 @@ def near_duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "te
 
 def _meetings(tested: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Where nodes of different classes that were verified against one hub meet: (a, the hub; shingle; b, a
-    node; need; outside). Nodes that may be linked meet.
+    node; need; size; outside). Nodes that may be linked meet.
 
     A node can only be linked past its hub by short shared shingles outside it (one
     at least), so all but short - 1 of them, the rarest in the hub's group, must
     hold one that is shared.
     """
     own = labels.select(F.col("node").alias("b"), "comp")
-    named = tested.join(own, "b").select("a", "b", "comp", F.greatest("short", F.lit(1)).alias("need"), "beyond")
+    named = tested.join(own, "b").select("a", "b", "comp", F.greatest("short", F.lit(1)).alias("need"), "size", "beyond")
     divided = named.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a")
-    spread = named.filter(F.size("beyond") >= F.col("need")).join(divided, "a").select("a", "b", "comp", "need", F.size("beyond").alias("outside"), F.explode("beyond").alias("shingle"))
+    spread = named.filter(F.size("beyond") >= F.col("need")).join(divided, "a").select("a", "b", "comp", "need", "size", F.size("beyond").alias("outside"), F.explode("beyond").alias("shingle"))
     spread = scratch.keep(spread)
     common = spread.groupBy("a", "shingle").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("held > 1")
     met = spread.join(common, ["a", "shingle"])
     order = Window.partitionBy("a", "b").orderBy("held", "shingle")  # a text's shingles
     met = met.withColumn("place", F.row_number().over(order) + F.col("outside") - F.count("*").over(Window.partitionBy("a", "b")))
-    met = scratch.keep(met.filter("low < high and place <= outside - need + 1").select("a", "shingle", "b", "need", "outside"))
+    met = scratch.keep(met.filter("low < high and place <= outside - need + 1").select("a", "shingle", "b", "need", "size", "outside"))
     scratch.drop(spread)
     return met
 
@@ -266,15 +266,20 @@ def _named(met: DataFrame, labels: DataFrame) -> DataFrame:
     return met.join(labels.withColumnRenamed("node", "b").join(sizes, "comp"), "b")
 
 
-def _hub_pairs(met: DataFrame, hubs: int) -> DataFrame:
+def _may_link(x: str, y: str, similarity: float) -> str:
+    """Whether two nodes at a meeting can be linked, by how many shingles they need in common and by their sizes."""
+    return f"greatest({x}need, {y}need) <= least({x}outside, {y}outside) and least({x}size, {y}size) >= {similarity - 1e-9} * greatest({x}size, {y}size)"
+
+
+def _hub_pairs(met: DataFrame, hubs: int, similarity: float) -> DataFrame:
     """At each meeting the nodes outside its largest class, each with that many nodes of that class, drawn by hash."""
-    draw = lambda k: F.max(F.struct("members", "comp", F.xxhash64("b", "shingle", F.lit(k)).alias("at"), "b", "need", "outside"))
+    draw = lambda k: F.max(F.struct("members", "comp", F.xxhash64("b", "shingle", F.lit(k)).alias("at"), "b", "need", "size", "outside"))
     found = met.join(met.groupBy("a", "shingle").agg(F.array(*map(draw, range(hubs))).alias("hubs")), ["a", "shingle"])
-    found = found.filter(F.col("comp") != F.col("hubs")[0]["comp"]).withColumn("hub", F.explode("hubs")).filter("greatest(need, hub.need) <= least(outside, hub.outside)")
+    found = found.filter(F.col("comp") != F.col("hubs")[0]["comp"]).withColumn("hub", F.explode("hubs")).filter(_may_link("", "hub.", similarity))
     return found.select(F.least("b", "hub.b").alias("a"), F.greatest("b", "hub.b").alias("b")).distinct()
 
 
-def _class_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
+def _class_pairs(met: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
     """All pairs of nodes of different classes that meet.
 
     A pair that meets at many shingles is brought out at the least of those among the
@@ -282,14 +287,14 @@ def _class_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
     meets, and distinct merges the rest.
     """
     divided = met.groupBy("a", "shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("a", "shingle")
-    met = met.join(divided, ["a", "shingle"]).select("a", "shingle", "b", "comp", "need", "outside")
+    met = met.join(divided, ["a", "shingle"]).select("a", "shingle", "b", "comp", "need", "size", "outside")
     met = met.withColumn("__place", F.row_number().over(Window.partitionBy("a", "b").orderBy("shingle")))
     listed = F.collect_list(F.when(F.col("__place") <= LISTED, F.col("shingle"))).over(Window.partitionBy("a", "b"))
     met = scratch.keep(met.withColumn("listed", listed).drop("__place"))
     x, y = met.alias("x"), met.alias("y")
     once = F.coalesce(F.array_min(F.array_intersect("x.listed", "y.listed")) == F.col("shingle"), F.lit(True))
     # few bytes, much work: shuffled, so that it spreads, however small the table
-    pairs = x.join(y.hint("merge"), ["a", "shingle"]).filter("x.comp < y.comp and greatest(x.need, y.need) <= least(x.outside, y.outside)").filter(once)
+    pairs = x.join(y.hint("merge"), ["a", "shingle"]).filter(f"x.comp < y.comp and {_may_link('x.', 'y.', similarity)}").filter(once)
     return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
