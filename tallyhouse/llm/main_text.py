@@ -117,7 +117,12 @@ class Page:
             if k > nearest(until):
                 cut(k)
 
+        last = page.rfind(">")
         while at < n:
+            if at > last:  # no tag ends from here on
+                to = page.find("<!--", at)
+                text(page[at:] if to < 0 else page[at:to])
+                break
             m = _TAG.search(page, at)
             if m is None:
                 text(page[at:])
