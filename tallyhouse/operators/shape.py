@@ -22,9 +22,13 @@ ROW_TYPES = ["detail", "subtotal_by_vendor", "subtotal_by_bottle_volume", "subto
 
 
 def ordered(report: DataFrame, *by: str) -> DataFrame:
-    """A report's rows as they are printed: by kind, totals last, then by columns, nulls last; -column is descending."""
-    kind = F.element_at(F.create_map(*[F.lit(x) for pair in zip(ROW_TYPES, range(len(ROW_TYPES)), strict=True) for x in pair]), F.col("row_type")) if report.schema["row_type"].dataType.typeName() == "string" else F.col("row_type")
-    return report.orderBy(kind, *(F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in by))
+    """A report's rows as they are printed: by row_type, where there is one, totals last, then by columns, nulls
+    last; -column is descending."""
+    kind = []
+    if "row_type" in report.columns:
+        text = report.schema["row_type"].dataType.typeName() == "string"
+        kind = [F.array_position(F.array(*map(F.lit, ROW_TYPES)), F.col("row_type")) if text else F.col("row_type")]
+    return report.orderBy(*kind, *(F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in by))
 
 
 def top_n_plus_other(df: DataFrame, label: str, n: int, other: str = "Other") -> DataFrame:

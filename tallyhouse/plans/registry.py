@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import measures
@@ -21,6 +21,39 @@ _CATEGORIES = ["LARGE CLASS 0", "LARGE CLASS 1", "LARGE CLASS 2"]
 _TREND = (date(2000, 1, 1), MONTH)
 
 
+# The columns that each report is printed by, after its kinds of rows; -column is descending.
+ORDERS = {
+    "q1_family_growth": ("-sales_t12m", "category_family"),
+    "q2_family_drilldown": ("-sales_t12m",),
+    "q3_vendor_volume_growth": ("-sales_t12m", "vendor_number", "bottle_volume_ml"),
+    "q4_family_vendor_growth": ("-sales_t12m", "vendor_number"),
+    "q5_category_item_growth": ("-sales_t12m", "vendor_name", "item_description"),
+    "q6_family_item_growth": ("-sales_t12m", "vendor_name", "item_description"),
+    "q7_chain_growth": ("-sales_t12m", "chain"),
+    "q8_vendor_category_mix": ("vendor_rank", "-sales_t12m", "category_name"),
+    "q9_price_segment_mix": ("vendor_rank", "-sales_t12m", "price_position_segment"),
+    "q10_grouped_segment_mix": ("vendor_rank", "-sales_t12m", "price_position_segment"),
+    "q11_segment_mix_compare": ("-period_order", "vendor_rank", "-sales_t12m", "price_position_segment"),
+    "q12_store_channel_mix": ("vendor_rank", "-sales_t12m", "store_channel"),
+    "q13_channel_mix_compare": ("-period_order", "vendor_rank", "-sales_t12m", "store_channel"),
+    "q14_vendor_share": ("period_order", "-sales_t12m", "vendor_name", "vendor_number"),
+    "q15_family_vendor_trend": ("sales_month", "vendor_rank", "-sales_dollars"),
+    "q16_category_vendor_trend": ("sales_month", "vendor_rank", "-sales_dollars"),
+    "q17_sku_tier_summary": ("dimension", "tier"),
+    "q18_sku_tier_matrix": ("volume_tier", "revenue_tier"),
+    "q19_tier_by_family": ("dimension", "category_family", "tier"),
+    "q20_divergent_skus": ("-total_revenue",),
+    "q21_full_scatter": ("scatter_group", "-total_revenue"),
+    "q22_chain_performance": ("-total_sales",),
+    "q23_channel_performance": ("-total_sales",),
+}
+
+
+def printed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report in the order in which it is printed."""
+    return shape.ordered(QUERIES[name](spark, sf_dir), *ORDERS[name])
+
+
 def _add(name: str, build: Callable[[Model], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(Model(spark, sf_dir))
 
@@ -117,7 +150,7 @@ _add("c10_family_tiers", lambda m: shape.family_tiers(velocity.tier_by_family(_l
 _add("c11_family_cagr", lambda m: growth.with_cagr(growth.family_growth(m.fact, m.items, MONTH), 2))
 _add("p26_vendor_labels", lambda m: m.items.groupBy(measures.vendor_label(F.col("vendor_name")).alias("vendor")).agg(F.count("*").alias("n_items")))
 _add("p27_bottle_labels", lambda m: velocity.full_scatter(_labelled(m)).groupBy("scatter_group", measures.bottle_label(F.col("bottle_volume_ml")).alias("size_label")).agg(F.count("*").alias("sku_count")))
-_add("o1_chain_growth_ordered", lambda m: shape.ordered(_chains(m), "-sales_t12m", "chain"))
+_add("o1_chain_growth_ordered", lambda m: shape.ordered(_chains(m), *ORDERS["q7_chain_growth"]))
 
 
 def _check(name: str, rows: Callable[[Model], DataFrame]) -> None:
@@ -150,4 +183,4 @@ _add("h5a_recent_failed", lambda m: monitoring.recent_runs(m.runs, 20, "failed")
 _add("h5b_duration_by_source", lambda m: monitoring.duration_by_source(m.runs))
 _add("h5c_success_rate", lambda m: monitoring.success_rate(m.runs, datetime(2024, 1, 30), 10))
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "ORDERS", "QUERIES", "printed"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import calendar, ladders, measures
 from tallyhouse.operators import growth, history, monitoring, quality, shape, staging, velocity
+from tallyhouse.plans import registry
 from tallyhouse.plans.registry import ORACLE_SQL, QUERIES
 from tallyhouse.sources import landing
 from tallyhouse.streaming import late_data
@@ -245,6 +246,27 @@ def test_reports_are_ordered_totals_last(spark, sf_small, con):
     assert [(r.row_type, r.v, r.n) for r in shape.ordered(rows, "-v", "n").collect()] == [("detail", 1, "a"), ("detail", 1, "b"), ("detail", None, "a"), ("subtotal_by_vendor", 7, "x"), ("subtotal_by_category", 5, "x"), ("grand_total", 9, "x")]
 
 
+@pytest.mark.parametrize("name", ["q1_family_growth", "q3_vendor_volume_growth", "q13_channel_mix_compare", "q15_family_vendor_trend", "q21_full_scatter"])
+def test_reports_are_printed_in_order(spark, sf_small, name):
+    rows = registry.printed(name, spark, sf_small).collect()
+    assert len(rows) > 5
+
+    def before(x, y):
+        for c in (*(["row_type"] if "row_type" in x else []), *registry.ORDERS[name]):
+            a, b = x[c.lstrip("-")], y[c.lstrip("-")]
+            if c == "row_type":
+                a, b = shape.ROW_TYPES.index(a), shape.ROW_TYPES.index(b)
+            if a != b:
+                return b is None or (a is not None and (a > b if c[0] == "-" else a < b))
+        return True
+
+    assert all(before(x, y) for x, y in zip(rows, rows[1:]))
+
+
+def test_every_report_has_an_order():
+    assert set(registry.ORDERS) == {q for q in QUERIES if q[0] == "q" and q != "q9_price_segment_mix_standard"}
+
+
 def test_merge_takes_the_newest_of_repeated_keys(spark):
     frame = lambda *rows: spark.createDataFrame([(k, D.datetime(2024, 1, n), v) for k, n, v in rows], "invoice_item_number string, loaded_at timestamp_ntz, v int")
     merged = history.merge_incremental(frame(("a", 1, 1)), frame(("a", 2, 2), ("a", 3, 3), ("b", 2, 4), ("b", 2, 4)))
