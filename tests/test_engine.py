@@ -209,6 +209,13 @@ def test_landed_window_goes_whole(spark, tmp_path):
     assert sorted(r.invoice_item_number for r in landing.read_raw(spark, path).collect()) == ["d", "f", "g"]
 
 
+def test_tables_are_rebuilt_whole(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    for n in (5, 3):
+        landing.write_table(spark.range(n), path)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(n))
+
+
 #: Digests of the rule values, which were compared with their source.
 FIXED = {
     "CHAIN_RULES": "bbe2c9547af3bcc0",
