@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,9 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         delete(self.spark, self.path)
+        # Spark deletes the shuffle files of finished queries when the driver next collects garbage; else that may be in half an hour
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
