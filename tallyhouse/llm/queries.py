@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, decontamination, licences, main_text, near_duplicates, pieces, quality_model, quality_rules, sharding, token_counts
+from tallyhouse.llm import chat, decontamination, licences, line_dedup, main_text, near_duplicates, pieces, quality_model, quality_rules, sharding, token_counts
 
 
 def piece_file() -> str:
@@ -69,7 +69,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = line_dedup.line_cuts(_table(spark, sf_dir, "documents"))
+    return cuts.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text, op11_line_dedup)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -128,3 +133,15 @@ found as (select r, license from (select r, sha256({_canonical_sql("l")}) as d f
 total as (select r, count(*) as n_notices, string_agg(distinct license, ',' order by license) as notices from found group by r)
 select doc_id, case when form <> '' then sha256(form) end as text_digest, whole.license, cast(coalesce(n_notices, 0) as bigint) as n_notices, coalesce(notices, '') as notices
 from doc left join total using (r) left join whole on whole.known = case when form <> '' then sha256(form) end"""
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE_SQL["op11_line_dedup"] = rf"""
+with doc as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+line as (
+  select r, i, l[cast(i as bigint)] as line, trim(translate(l[cast(i as bigint)], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_BLANK}) as key
+  from (select *, unnest(range(1, len(l) + 1)) as i from doc)),
+common as (select key from line where key <> '' group by key having count(distinct r) >= 10),
+cut as (
+  select r, count(*) as n_lines, count(common.key) as n_dropped, coalesce(string_agg(case when common.key is null then line end, chr(10) order by i), '') as kept
+  from line left join common on line.key = common.key group by r)
+select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from doc join cut using (r)"""
