@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, decontamination, licences, line_dedup, main_text, near_duplicates, pieces, quality_model, quality_rules, sharding, token_counts
+from tallyhouse.llm import chat, decontamination, licences, line_dedup, main_text, near_duplicates, periodic_runs, pieces, quality_model, quality_rules, sharding, token_counts
 
 
 def piece_file() -> str:
@@ -74,7 +74,20 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text, op11_line_dedup)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_tails(_table(spark, sf_dir, "documents")))
+    # the longest run; of equals the first to start, then the one of the least period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("less"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    rows = found.withColumn("longest", longest)
+    start, length, period = -F.col("longest.back"), F.col("longest.length"), -F.col("longest.less")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.expr("(1000 * longest.length) div (-longest.less)").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text, op11_line_dedup, op12_periodic_runs)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
