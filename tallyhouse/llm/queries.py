@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, decontamination, licences, line_dedup, main_text, near_duplicates, periodic_runs, pieces, quality_model, quality_rules, sharding, token_counts
+from tallyhouse.llm import chat, decontamination, licences, line_dedup, main_text, near_duplicates, periodic_runs, pieces, quality_model, quality_rules, ranked_search, sharding, token_counts
 
 
 def piece_file() -> str:
@@ -87,7 +87,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text, op11_line_dedup, op12_periodic_runs)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_minhash, op3_decontamination, op4_sharding, op5_quality_rules, op6_chat, op7_quality_model, op8_pieces, op9_licences, op10_main_text, op11_line_dedup, op12_periodic_runs, op13_ranked_search)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -158,3 +162,17 @@ cut as (
   select r, count(*) as n_lines, count(common.key) as n_dropped, coalesce(string_agg(case when common.key is null then line end, chr(10) order by i), '') as kept
   from line left join common on line.key = common.key group by r)
 select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from doc join cut using (r)"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op13_ranked_search"] = rf"""
+with doc as (select row_number() over () as r, doc_id, {_TERMS} as w from documents),
+item as (select row_number() over () as q, item_id, {_TERMS} as w from benchmark),
+size as (select r, doc_id, len(w) as n from doc where len(w) > 0),
+total as (select count(*) as docs, sum(n)::bigint as terms from size),
+tf as (select r, term, count(*) as tf from (select r, unnest(w) as term from doc) group by r, term),
+weight as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from tf group by term), total),
+scored as (
+  select q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+  from (select q, item_id, unnest(w) as term from item) join weight using (term) join tf using (term) join size using (r), total group by all),
+placed as (select *, row_number() over (partition by q order by score desc, doc_id nulls last, r) as place from scored where score > 0)
+select item_id, place::int as rank, doc_id, score from placed where place <= 20"""
