@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import add_months, annual_periods, cagr_years, period_bounds
 from tallyhouse.functions.measures import cagr_pct, in_list, total, yoy_pct
+from tallyhouse.sources.months import in_days
 
 UNKNOWN = {"vendor_number": "Unknown Vendor Number", "vendor_name": "Unknown Vendor", "item_description": "Unknown Item", "bottle_volume_ml": "Unknown Bottle Volume", "chain": "Unknown Chain"}
 T12M = ("t12m",)
@@ -125,7 +126,7 @@ def vendor_category_mix(fact: DataFrame, items: DataFrame, month_start: date, fa
 def vendor_share_by_year(fact: DataFrame, items: DataFrame, month_start: date, family: str, trend_years: int = 3) -> DataFrame:
     """Trailing-year sales of a family's vendors at each anchor year; one pass, unpivoted; zeros are left out."""
     periods = annual_periods(month_start, trend_years)
-    lines = labelled_lines(fact, items).filter((F.col("category_family") == family) & within((periods[-1][0], periods[0][1])))
+    lines = labelled_lines(in_days(fact, (periods[-1][0], periods[0][1])), items).filter(F.col("category_family") == family)
     sums = lines.groupBy("vendor_number", "vendor_name").agg(*period_sums({str(k): w for k, w in enumerate(periods)}))
     anchor = [add_months(month_start, -12 * k) for k in range(trend_years)]
     rows = F.array(*(F.struct(F.lit(k).alias("period_order"), F.lit(d.year).alias("period_year"), F.date_format(F.lit(d), "MMM yyyy").alias("period_label"), F.col(f"sales_{k}").alias("sales_t12m")) for k, d in enumerate(anchor)))
@@ -134,7 +135,7 @@ def vendor_share_by_year(fact: DataFrame, items: DataFrame, month_start: date, f
 
 def vendor_monthly_trend(fact: DataFrame, items: DataFrame, start: date, end: date, scope: str, value: str, top_n: int = 5) -> DataFrame:
     """Monthly sales of the top vendors of a family or category; end is the last month's first day."""
-    lines = labelled_lines(fact, items).filter((F.col(scope) == value) & within((start, add_months(end, 1))))
+    lines = labelled_lines(in_days(fact, (start, add_months(end, 1))), items).filter(F.col(scope) == value)
     by_vendor = lines.groupBy("vendor_number", "vendor_name").agg(F.sum("sale_dollars").alias("t"))
     top = top_n_rows(by_vendor, [F.col("t").desc(), F.col("vendor_name").asc(), F.col("vendor_number").asc()], top_n, "vendor_rank").drop("t")
     return lines.join(F.broadcast(top), ["vendor_number", "vendor_name"]).groupBy(F.trunc("order_date", "month").alias("sales_month"), F.col(scope).alias("scope_name"), "vendor_number", "vendor_name", "vendor_rank").agg(total("sale_dollars").alias("sales_dollars"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import ladders
 from tallyhouse.operators.staging import latest_per_key
+from tallyhouse.sources.months import MONTH
 
 ITEM = ["item_description", "category", "category_name", "vendor_number", "vendor_name", "bottle_volume_ml", "pack", "state_bottle_cost", "state_bottle_retail"]
 STORE = ["store_name", "address", "city", "zip_code", "store_location", "county_number", "county"]
@@ -92,6 +93,50 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, from_col: st
     return left.join(valid, (F.col(key) == F.col(f"__{key}")) & (F.col(at) >= F.col(from_col)) & (F.col(to_col).isNull() | upper), how).drop(f"__{key}")
 
 
+def asof_merge(left: DataFrame, right: DataFrame, key: str, at: str, from_col: str, to_col: str, closed: bool = True, how: str = "inner") -> DataFrame:
+    """asof_join for history whose versions of a key don't overlap, in time and rows linear in both sides.
+
+    Lines and version starts are put together, sorted by key and time, and each line takes the version
+    last seen. Keys are cut by months, so that one with very many lines is sorted by several tasks: a version
+    comes again at the start of each later month in which it is valid and lines can be. Of overlapping versions a line gets
+    the one that started last, if that is valid. With how="left" lines without a version, a key or a time
+    stay. The months in question are looked up at once.
+    """
+    month = F.col(MONTH) if MONTH in left.columns else F.trunc(at, "month")
+    low, high = left.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).agg(F.min(month), F.max(month)).first()
+    named = [c for c in right.columns if c != key]
+    version = F.struct(*named)
+    empty = F.lit(None).cast(right.select(version.alias("v")).schema["v"].dataType)
+    if low is None:
+        lines = left.withColumn("__r", empty) if how == "left" else left.limit(0).withColumn("__r", empty)
+        return lines.select(*left.columns, *(F.col(f"__r.{c}").alias(c) for c in named))
+    placed = left.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    lines = placed.select(F.col(key).alias("__k"), F.trunc(at, "month").alias("__month"), F.col(at).cast("timestamp_ntz").alias("__t"), F.lit(1).alias("__line"), F.struct(*left.columns).alias("__l"), empty.alias("__r"))
+    first, last = F.trunc(from_col, "month"), F.coalesce(F.trunc(to_col, "month"), F.lit(high))
+    spans = right.filter(F.col(key).isNotNull() & (first <= F.lit(high)) & (last >= F.lit(low)) & (last >= first))
+    each = F.explode(F.sequence(F.greatest(first, F.lit(low)), F.least(last, F.lit(high)), F.expr("interval 1 month")))
+    starts = spans.select(F.col(key).alias("__k"), each.alias("__month"), F.col(from_col).cast("timestamp_ntz").alias("__t"), F.lit(0).alias("__line"), F.lit(None).cast(lines.schema["__l"].dataType).alias("__l"), version.alias("__r"))
+    along = Window.partitionBy("__k", "__month").orderBy("__t", "__line").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lines.unionByName(starts).withColumn("__r", F.last("__r", ignorenulls=True).over(along)).filter("__line = 1")
+    end = F.col(f"__r.{to_col}").cast("timestamp_ntz")
+    valid = F.col("__r").isNotNull() & (end.isNull() | (F.col("__t") <= end if closed else F.col("__t") < end))
+    found = (seen.withColumn("__r", F.when(valid, F.col("__r"))) if how == "left" else seen.filter(valid)).select("__l", "__r")
+    if how == "left":
+        found = found.unionByName(left.filter(F.col(key).isNull() | F.col(at).isNull()).select(F.struct(*left.columns).alias("__l"), empty.alias("__r")))
+    return found.select("__l.*", *(F.col(f"__r.{c}").alias(c) for c in named))
+
+
+#: An as-of join fans out to this many versions of a key at most.
+FAN_OUT = 64
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, from_col: str, to_col: str, closed: bool = True, how: str = "inner") -> DataFrame:
+    """asof_join while no key has more than FAN_OUT versions (counted at once, on right alone), else asof_merge. The same rows
+    come of both if versions of a key don't overlap."""
+    most = right.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return (asof_join if most <= FAN_OUT else asof_merge)(left, right, key, at, from_col, to_col, closed, how)
+
+
 def snapshot_check(existing: DataFrame | None, current: DataFrame, key: str, columns: list[str], as_of: datetime) -> DataFrame:
     """The snapshot after a run at as_of.
 

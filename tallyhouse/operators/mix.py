@@ -12,17 +12,22 @@ from tallyhouse.functions.calendar import annual_periods, ends_of, period_bounds
 from tallyhouse.functions.lasting import lasting
 from tallyhouse.functions.measures import selling_price, total, units, yoy_pct
 from tallyhouse.operators.growth import UNKNOWN, period_sums, top_n_rows, within
-from tallyhouse.operators.history import asof_join
+from tallyhouse.operators.history import asof
+from tallyhouse.sources.months import in_days
 
 
-def historic_lines(fact: DataFrame, history: DataFrame, family: str, package_size: str = "", grouped: bool = False) -> DataFrame:
-    """Lines of a family with the vendor and segment that were valid on their day; grouped merges more segments."""
+def historic_lines(fact: DataFrame, history: DataFrame, family: str, package_size: str = "", grouped: bool = False, windows: list[tuple[date, date]] | None = None) -> DataFrame:
+    """Lines of a family with the vendor and segment that were valid on their day; grouped merges more segments.
+
+    With windows (ends exclusive) other days aren't read.
+    """
     valid = history.filter(F.col("category_family") == family)
     if package_size:
         valid = valid.filter(F.col("package_size_tier") == package_size)
     segment = ladders.ladder(ladders.GROUPED_SEGMENTS if grouped else ladders.MERGED_SEGMENTS, F.col("price_position_segment"))
     valid = valid.select("item_number", "business_valid_from", "business_valid_to", segment.alias("price_position_segment"), *(F.coalesce(c, F.lit(UNKNOWN[c])).alias(c) for c in ("vendor_number", "vendor_name")))
-    return asof_join(fact.select("item_number", "store_number", "order_date", "sale_dollars", "bottles_sold"), valid, "item_number", "order_date", "business_valid_from", "business_valid_to")
+    lines = in_days(fact, *windows) if windows else fact
+    return asof(lines.select("item_number", "store_number", "order_date", "sale_dollars", "bottles_sold"), valid, "item_number", "order_date", "business_valid_from", "business_valid_to")
 
 
 def with_channel(lines: DataFrame, stores: DataFrame) -> DataFrame:
@@ -43,7 +48,8 @@ def _price(sales: str, units_: str) -> Column:
 def vendor_mix(lines: DataFrame, by: str, month_start: date) -> DataFrame:
     """Trailing-year sales, units and price by vendor and segment or channel, with the total.
 
-    The lines are read once: their sums by vendor, vendor name and by are kept, and all else is taken from those.
+    The lines are read once: their sums by vendor, vendor name and by are written when this is called, and all else is
+    taken from those.
     """
     bounds = period_bounds(month_start)
     windows = {n: bounds[n] for n in ("t12m", "t12m_prior")}
@@ -59,13 +65,18 @@ def vendor_mix(lines: DataFrame, by: str, month_start: date) -> DataFrame:
     return detail.unionByName(grand, allowMissingColumns=True).withColumns({"avg_selling_price": _price("sales_t12m", "units_t12m"), "t12m_yoy_pct": yoy_pct(F.col("sales_t12m"), F.col("sales_t12m_prior"))})
 
 
+def compared(month_start: date, trend_years: int = 3) -> list[tuple[date, date]]:
+    """The trailing years that vendor_mix_compare looks at."""
+    return ends_of(annual_periods(month_start, trend_years))
+
+
 def vendor_mix_compare(lines: DataFrame, by: str, month_start: date, trend_years: int = 3, top_n: int = 3) -> DataFrame:
     """The first and last trailing year by segment or channel: the last year's top vendors, the rest as Other.
 
-    As in vendor_mix the lines are read once.
+    As in vendor_mix the lines are read once; the sums are written when this is called.
     """
     periods = annual_periods(month_start, trend_years)
-    wanted = [(periods.index(w), month_start.year - periods.index(w), *w) for w in ends_of(periods)]
+    wanted = [(periods.index(w), month_start.year - periods.index(w), *w) for w in compared(month_start, trend_years)]
     table = lines.sparkSession.createDataFrame(wanted, "period_order int, period_year int, period_start date, period_end date")
     inside = lines.join(F.broadcast(table), (F.col("order_date") >= F.col("period_start")) & (F.col("order_date") < F.col("period_end")))  # two rows
     sums = [F.sum("sale_dollars").alias("sale_dollars"), F.sum("bottles_sold").alias("bottles_sold"), F.count("*").alias("n_lines")]

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.sources.months import in_days, newest_day
+
 
 def weekly_depletions(sales: DataFrame, weeks: int = 8) -> DataFrame:
     """Units of each active item in each of the full weeks before the newest, zero where none were sold.
 
-    Items are active if they sold within those weeks. Weeks start on Monday.
+    Items are active if they sold within those weeks. Weeks start on Monday. The newest day is looked up at once.
     """
-    sold = sales.filter(~F.col("is_return"))
-    newest = sales.agg(F.trunc(F.max("order_date"), "week").alias("__this_week"))
-    recent = sold.join(F.broadcast(newest), (F.col("order_date") >= F.date_sub("__this_week", 7 * weeks)) & (F.col("order_date") < F.col("__this_week")))  # one row
-    sums = recent.groupBy("item_number", F.trunc("order_date", "week").alias("week_start")).agg(F.sum("bottles_sold").cast("long").alias("weekly_units_sold"), F.first("__this_week").alias("__this_week"))
-    by_item = sums.groupBy("item_number").agg(F.map_from_entries(F.collect_list(F.struct("week_start", "weekly_units_sold"))).alias("__sold"), F.first("__this_week").alias("__this_week"))  # as many entries as weeks
-    spine = by_item.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(weeks)))).withColumn("week_start", F.date_sub("__this_week", F.col("__k") * 7))
+    newest = newest_day(sales)
+    this_week = (newest or date(1970, 1, 5)) - timedelta(days=newest.weekday() if newest else 0)
+    recent = in_days(sales, (this_week - timedelta(weeks=weeks), this_week)).filter(~F.col("is_return"))
+    sums = recent.groupBy("item_number", F.trunc("order_date", "week").alias("week_start")).agg(F.sum("bottles_sold").cast("long").alias("weekly_units_sold"))
+    by_item = sums.groupBy("item_number").agg(F.map_from_entries(F.collect_list(F.struct("week_start", "weekly_units_sold"))).alias("__sold"))  # as many entries as weeks
+    spine = by_item.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(weeks)))).withColumn("week_start", F.date_sub(F.lit(this_week), F.col("__k") * 7))
     return spine.select("item_number", "week_start", F.coalesce(F.try_element_at("__sold", F.col("week_start")), F.lit(0)).cast("long").alias("weekly_units_sold"))
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import trailing_weeks
 from tallyhouse.functions.measures import ratio, selling_price
-from tallyhouse.operators.growth import top_n_rows, within
+from tallyhouse.operators.growth import top_n_rows
+from tallyhouse.sources.months import in_days
 
 
 def _stores(daily: DataFrame, stores: DataFrame, day: date, weeks: int, column: str, missing: str) -> DataFrame:
-    sums = daily.filter(within(trailing_weeks(day, weeks))).groupBy("store_number").agg(F.sum("total_sales_dollars").cast("decimal(20,2)").alias("sales"))
+    sums = in_days(daily, trailing_weeks(day, weeks)).groupBy("store_number").agg(F.sum("total_sales_dollars").cast("decimal(20,2)").alias("sales"))
     return sums.join(stores.select("store_number", column), "store_number", "left").withColumn(column, F.coalesce(column, F.lit(missing)))
 
 

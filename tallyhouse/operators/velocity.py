@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import trailing_weeks
 from tallyhouse.functions.lasting import lasting
 from tallyhouse.functions.measures import ratio, selling_price
+from tallyhouse.sources.months import in_days, newest_day
 
 CORE, NICHE, ZOMBIE = "Tier 1: Core", "Tier 2: Niche", "Tier 3: Zombie"
 
@@ -35,16 +36,15 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
 
 
 def velocity_base(sales: DataFrame, weeks: int = 12) -> DataFrame:
-    """Units and revenue of each item since the newest day less weeks, without returns."""
-    newest = sales.agg(F.max("order_date").alias("__newest"))
-    recent = sales.join(F.broadcast(newest), F.col("order_date") >= F.date_sub("__newest", 7 * weeks))  # one row
+    """Units and revenue of each item since the newest day less weeks, without returns. The newest day is looked up at once."""
+    newest = newest_day(sales)
+    recent = in_days(sales, (newest - timedelta(weeks=weeks), None)) if newest else sales.limit(0)
     return item_totals(recent.filter(~F.col("is_return")))
 
 
 def velocity_window(fact: DataFrame, day: date, weeks: int) -> DataFrame:
     """The same for the weeks up to a given day."""
-    start, end = trailing_weeks(day, weeks)
-    return item_totals(fact.filter((F.col("order_date") >= F.lit(start)) & (F.col("order_date") < F.lit(end)) & ~F.col("is_return")))
+    return item_totals(in_days(fact, trailing_weeks(day, weeks)).filter(~F.col("is_return")))
 
 
 def item_totals(lines: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.lasting import exists, file_system, shared_folder, written
-from tallyhouse.operators import history, replenishment, staging, velocity
-from tallyhouse.sources import sales
+from tallyhouse.operators import history, replenishment, rollup, staging, velocity
+from tallyhouse.sources import months, sales
 
 #: Parameters of the registered reports.
 MONTH, DAY = date(2001, 10, 1), date(2001, 10, 29)
@@ -47,11 +47,17 @@ class Model:
                 found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
         return self.spark.sparkContext.applicationId, *sorted(found)
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _once(self, name: str, build: Callable[[], DataFrame], sort: list[str] | None = None) -> DataFrame:
+        """The model's table; with sort in month folders, sorted by those columns within files."""
         key = (name, self.version)
         if key not in Model._saved or not exists(self.spark, Model._saved[key][0]):
-            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-            Model._saved[key] = path, written(build(), path)
+            path, rows = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}", build()
+            if sort:
+                months.write_by_month(rows, path, sort)
+                table = self.spark.read.schema(rows.withColumn(months.MONTH, F.current_date()).schema).parquet(path)
+            else:
+                table = written(rows, path)
+            Model._saved[key] = path, table
         return Model._saved[key][1]
 
     @cached_property
@@ -68,15 +74,20 @@ class Model:
 
     @cached_property
     def deduped(self) -> DataFrame:
-        return self._once("deduped", lambda: staging.dedupe_latest(self.sales))
+        return self._once("deduped", lambda: staging.dedupe_latest(self.sales), ["item_number"])
 
     @cached_property
     def fact(self) -> DataFrame:
-        return staging.fact_sales(self.deduped)
+        return self.deduped.select(*staging.FACT, months.MONTH)
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        """Sums by item, store and month, which reports over whole months read in place of the fact."""
+        return self._once("monthly", lambda: rollup.monthly_sales(self.fact), rollup.KEYS)
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self._once("daily", lambda: staging.store_daily_sales(self.fact))
+        return self._once("daily", lambda: staging.store_daily_sales(self.fact), ["store_number"])
 
     @cached_property
     def items(self) -> DataFrame:

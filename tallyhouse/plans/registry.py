@@ -12,6 +12,7 @@ from tallyhouse.functions import measures
 from tallyhouse.operators import growth, history, mix, monitoring, quality, replenishment, shape, staging, stores, velocity
 from tallyhouse.plans.model import AS_OF, BATCH, CATEGORY, DAY, FAMILY, MONTH, WINDOW, Model
 from tallyhouse.plans.oracle import ORACLE_SQL
+from tallyhouse.sources import months
 
 QUERIES: dict[str, Callable] = {}
 _LINES = ["invoice_item_number", "order_date", "store_number", "item_number", "sale_dollars", "loaded_at", "anomaly"]
@@ -67,11 +68,11 @@ def _grouped(m: Model) -> DataFrame:
 
 
 def _categories(m: Model) -> DataFrame:
-    return growth.vendor_category_mix(m.fact, m.items, MONTH, FAMILY)
+    return growth.vendor_category_mix(m.monthly, m.items, MONTH, FAMILY)
 
 
-def _channels(m: Model) -> DataFrame:
-    return mix.with_channel(mix.historic_lines(m.fact, m.priced, FAMILY), m.stores)
+def _channels(m: Model, windows=None) -> DataFrame:
+    return mix.with_channel(mix.historic_lines(m.fact, m.priced, FAMILY, windows=windows), m.stores)
 
 
 def _labelled(m: Model) -> DataFrame:
@@ -79,11 +80,11 @@ def _labelled(m: Model) -> DataFrame:
 
 
 def _chains(m: Model) -> DataFrame:
-    return growth.chain_growth(m.fact, m.items, m.stores, MONTH, CATEGORY)
+    return growth.chain_growth(m.monthly, m.items, m.stores, MONTH, CATEGORY)
 
 
 _add("m2_enriched_sales", lambda m: m.sales.select("invoice_item_number", "tie_supp", "gross_profit_per_bottle", "estimated_total_cost", "estimated_gross_profit", "revenue_per_bottle"))
-_add("m3_deduped_sales", lambda m: m.deduped.drop("revenue_per_bottle", "revenue_per_liter"))
+_add("m3_deduped_sales", lambda m: m.deduped.drop("revenue_per_bottle", "revenue_per_liter", months.MONTH))
 _add("m3a_duplicate_audit", lambda m: staging.duplicate_audit(m.sales))
 _add("m3b_anomalous_returns", lambda m: staging.anomalous_returns(m.deduped).select(_LINES))
 _add("m3c_unlabeled_negatives", lambda m: staging.unlabeled_negative_returns(m.deduped).select(_LINES))
@@ -95,10 +96,10 @@ _add("m5_item_snapshot", lambda m: m.snapshots("item"))
 _add("m5_store_snapshot", lambda m: m.snapshots("store"))
 _add("m5a_dim_item", lambda m: history.current_rows(m.snapshots("item")))
 _add("m5a_dim_store", lambda m: history.current_rows(m.snapshots("store")))
-_add("m5b_asof_snapshot", lambda m: history.asof_join(m.fact.select("invoice_item_number", "item_number", "order_date"), m.snapshots("item").select("item_number", "item_description", "dbt_valid_from", "dbt_valid_to"), "item_number", "order_date", "dbt_valid_from", "dbt_valid_to", closed=False).select("invoice_item_number", "order_date", "item_description", "dbt_valid_from"))
-_add("m6_merge", lambda m: history.merge_incremental(_early(m), m.fact))
-_add("m7_replace_window", lambda m: history.replace_window(_early(m), m.fact.filter(F.col("order_date").between(*map(F.lit, WINDOW))), *WINDOW))
-_add("m8_store_daily_sales", lambda m: m.daily)
+_add("m5b_asof_snapshot", lambda m: history.asof(m.fact.select("invoice_item_number", "item_number", "order_date"), m.snapshots("item").select("item_number", "item_description", "dbt_valid_from", "dbt_valid_to"), "item_number", "order_date", "dbt_valid_from", "dbt_valid_to", closed=False).select("invoice_item_number", "order_date", "item_description", "dbt_valid_from"))
+_add("m6_merge", lambda m: history.merge_incremental(_early(m), m.fact).drop(months.MONTH))
+_add("m7_replace_window", lambda m: history.replace_window(_early(m), m.fact.filter(F.col("order_date").between(*map(F.lit, WINDOW))), *WINDOW).drop(months.MONTH))
+_add("m8_store_daily_sales", lambda m: m.daily.drop(months.MONTH))
 _add("m9_velocity_base", lambda m: m.velocity)
 _add("m9a_velocity_ranked", lambda m: velocity.velocity_ranked(m.velocity))
 _add("m9b_velocity_classified", lambda m: m.classified)
@@ -107,26 +108,26 @@ _add("m10_weekly_depletions", lambda m: m.weekly)
 _add("m10a_rolling_metrics", lambda m: replenishment.rolling_metrics(m.weekly))
 _add("m10b_baseline_forecast", lambda m: m.forecast)
 _add("m10c_replenishment_forecast", lambda m: replenishment.replenishment_forecast(m.forecast, m.items))
-_add("m11_fact_sales", lambda m: m.fact)
+_add("m11_fact_sales", lambda m: m.fact.drop(months.MONTH))
 _add("m12_category_family", lambda m: history.category_family(m.fact.select("category"), m.families).groupBy("category", "category_family").agg(F.count("*").alias("n")))
 
-_add("q1_family_growth", lambda m: growth.family_growth(m.fact, m.items, MONTH))
-_add("q2_family_drilldown", lambda m: growth.family_drilldown(m.fact, m.items, MONTH, FAMILY))
-_add("q3_vendor_volume_growth", lambda m: growth.vendor_volume_growth(m.fact, m.items, MONTH, CATEGORY, " 1, 002,3 ", "all"))
-_add("q4_family_vendor_growth", lambda m: growth.family_vendor_growth(m.fact, m.items, MONTH, FAMILY))
-_add("q5_category_item_growth", lambda m: growth.item_growth(m.fact, m.items, MONTH, "category_name", CATEGORY, ["001", "4"]))
-_add("q6_family_item_growth", lambda m: growth.item_growth(m.fact, m.items, MONTH, "category_family", FAMILY))
+_add("q1_family_growth", lambda m: growth.family_growth(m.monthly, m.items, MONTH))
+_add("q2_family_drilldown", lambda m: growth.family_drilldown(m.monthly, m.items, MONTH, FAMILY))
+_add("q3_vendor_volume_growth", lambda m: growth.vendor_volume_growth(m.monthly, m.items, MONTH, CATEGORY, " 1, 002,3 ", "all"))
+_add("q4_family_vendor_growth", lambda m: growth.family_vendor_growth(m.monthly, m.items, MONTH, FAMILY))
+_add("q5_category_item_growth", lambda m: growth.item_growth(m.monthly, m.items, MONTH, "category_name", CATEGORY, ["001", "4"]))
+_add("q6_family_item_growth", lambda m: growth.item_growth(m.monthly, m.items, MONTH, "category_family", FAMILY))
 _add("q7_chain_growth", _chains)
 _add("q8_vendor_category_mix", _categories)
 _add("q9_price_segment_mix", lambda m: mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY), "price_position_segment", MONTH))
 _add("q9_price_segment_mix_standard", lambda m: mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY, "standard"), "price_position_segment", MONTH))
 _add("q10_grouped_segment_mix", _grouped)
-_add("q11_segment_mix_compare", lambda m: mix.vendor_mix_compare(mix.historic_lines(m.fact, m.priced, FAMILY, grouped=True), "price_position_segment", MONTH))
+_add("q11_segment_mix_compare", lambda m: mix.vendor_mix_compare(mix.historic_lines(m.fact, m.priced, FAMILY, grouped=True, windows=mix.compared(MONTH)), "price_position_segment", MONTH))
 _add("q12_store_channel_mix", lambda m: mix.vendor_mix(_channels(m), "store_channel", MONTH))
-_add("q13_channel_mix_compare", lambda m: mix.vendor_mix_compare(_channels(m), "store_channel", MONTH))
-_add("q14_vendor_share", lambda m: growth.vendor_share_by_year(m.fact, m.items, MONTH, FAMILY))
-_add("q15_family_vendor_trend", lambda m: growth.vendor_monthly_trend(m.fact, m.items, *_TREND, "category_family", FAMILY))
-_add("q16_category_vendor_trend", lambda m: growth.vendor_monthly_trend(m.fact, m.items, *_TREND, "category_name", CATEGORY, 3))
+_add("q13_channel_mix_compare", lambda m: mix.vendor_mix_compare(_channels(m, mix.compared(MONTH)), "store_channel", MONTH))
+_add("q14_vendor_share", lambda m: growth.vendor_share_by_year(m.monthly, m.items, MONTH, FAMILY))
+_add("q15_family_vendor_trend", lambda m: growth.vendor_monthly_trend(m.monthly, m.items, *_TREND, "category_family", FAMILY))
+_add("q16_category_vendor_trend", lambda m: growth.vendor_monthly_trend(m.monthly, m.items, *_TREND, "category_name", CATEGORY, 3))
 _add("q17_sku_tier_summary", lambda m: velocity.tier_summary(m.window_classified))
 _add("q18_sku_tier_matrix", lambda m: velocity.tier_matrix(m.window_classified))
 _add("q19_tier_by_family", lambda m: velocity.tier_by_family(_labelled(m)))
@@ -135,19 +136,19 @@ _add("q21_full_scatter", lambda m: velocity.full_scatter(_labelled(m)))
 _add("q22_chain_performance", lambda m: stores.chain_performance(m.daily, m.stores, DAY))
 _add("q23_channel_performance", lambda m: stores.channel_performance(m.daily, m.stores, DAY))
 
-_add("c1_top_n_plus_other", lambda m: shape.top_n_plus_other(growth.labelled_lines(m.fact, m.items).groupBy("category_name").agg(*growth.period_sums({n: w for n, w in growth.period_bounds(MONTH).items() if n.startswith("t12m")})), "category_name", 5))
+_add("c1_top_n_plus_other", lambda m: shape.top_n_plus_other(growth.labelled_lines(m.monthly, m.items).groupBy("category_name").agg(*growth.period_sums({n: w for n, w in growth.period_bounds(MONTH).items() if n.startswith("t12m")})), "category_name", 5))
 _add("c2_top_vendors_plus_other", lambda m: shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3))
 _add("c3_segment_pivot", lambda m: shape.pivot_mix(shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3), shape.VENDOR, "price_position_segment", _SEGMENTS))
 _add("c2_category_vendors_plus_other", lambda m: shape.top_vendors_plus_other(_categories(m), "category_name", 3))
 _add("c3_category_pivot", lambda m: shape.pivot_mix(shape.top_vendors_plus_other(_categories(m), "category_name", 3), shape.VENDOR, "category_name", _CATEGORIES))
 _add("c4_vendor_totals", lambda m: shape.vendor_totals(shape.top_vendors_plus_other(_grouped(m), "price_position_segment", 3)))
 _add("c5_chain_tail", lambda m: shape.chains_with_tail(_chains(m).filter("row_type = 'detail'"), 4, "Small/Ind Chain"))
-_add("c6_rolling_mean", lambda m: shape.rolling_mean(growth.vendor_monthly_trend(m.fact, m.items, *_TREND, "category_family", FAMILY)))
-_add("c7_period_shares", lambda m: shape.period_shares(growth.vendor_share_by_year(m.fact, m.items, MONTH, FAMILY), 3))
+_add("c6_rolling_mean", lambda m: shape.rolling_mean(growth.vendor_monthly_trend(m.monthly, m.items, *_TREND, "category_family", FAMILY)))
+_add("c7_period_shares", lambda m: shape.period_shares(growth.vendor_share_by_year(m.monthly, m.items, MONTH, FAMILY), 3))
 _add("c8_brand_cagr", lambda m: shape.brand_cagr(growth.labelled_lines(m.fact, m.items), "gift", 1996, 2000))
 _add("c9_tier_grid", lambda m: shape.tier_grid(velocity.tier_matrix(m.window_classified), _TIERS, "revenue"))
 _add("c10_family_tiers", lambda m: shape.family_tiers(velocity.tier_by_family(_labelled(m)), _TIERS, 4))
-_add("c11_family_cagr", lambda m: growth.with_cagr(growth.family_growth(m.fact, m.items, MONTH), 2))
+_add("c11_family_cagr", lambda m: growth.with_cagr(growth.family_growth(m.monthly, m.items, MONTH), 2))
 _add("p26_vendor_labels", lambda m: m.items.groupBy(measures.vendor_label(F.col("vendor_name")).alias("vendor")).agg(F.count("*").alias("n_items")))
 _add("p27_bottle_labels", lambda m: velocity.full_scatter(_labelled(m)).groupBy("scatter_group", measures.bottle_label(F.col("bottle_volume_ml")).alias("size_label")).agg(F.count("*").alias("sku_count")))
 _add("o1_chain_growth_ordered", lambda m: shape.ordered(_chains(m), *ORDERS["q7_chain_growth"]))
