@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ def _status(days):
 
 
 def pipeline_health(raw: DataFrame, fact: DataFrame, daily: DataFrame, snap_item: DataFrame, snap_store: DataFrame, velocity: DataFrame, forecast: DataFrame, as_of: datetime) -> DataFrame:
-    """One row of counts, bounds, lags and states; a snapshot without rows passes."""
+    """One row of counts, bounds, lags and states as observed at as_of; a snapshot without rows passes."""
     live = lambda df, n: df.agg(F.count_if(F.col("dbt_valid_to").isNull()).alias(f"snap_{n}_current_row_count"), F.max("dbt_valid_from").alias(f"snap_{n}_max_valid_from"))
     parts = [
         raw.agg(F.max("loaded_at").alias("raw_max_loaded_at"), F.count("*").alias("raw_row_count")),
@@ -29,7 +29,7 @@ def pipeline_health(raw: DataFrame, fact: DataFrame, daily: DataFrame, snap_item
     ]
     one = reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # each is one row
     one = one.withColumns({"raw_lag_days": lag_days(F.col("raw_max_loaded_at"), as_of), "snapshot_lag_days": greatest_or_null(lag_days(F.col("snap_item_max_valid_from"), as_of), lag_days(F.col("snap_store_max_valid_from"), as_of))})
-    return one.withColumns({"freshness_status": _status(F.col("raw_lag_days")), "snapshot_status": _status(F.col("snapshot_lag_days"))})
+    return one.withColumns({"observed_at": F.lit(as_of).cast("timestamp_ntz"), "freshness_status": _status(F.col("raw_lag_days")), "snapshot_status": _status(F.col("snapshot_lag_days"))})
 
 
 def landed_window_contract(raw: DataFrame, start: date, end: date, as_of: datetime, max_lag_hours: int = 24) -> DataFrame:
@@ -57,13 +57,18 @@ def recent_runs(runs: DataFrame, n: int = 20, state: str | None = None) -> DataF
     return (runs.filter(F.col("final_dag_state") == state) if state else runs).orderBy(F.col("created_at").desc(), "run_id").limit(n)
 
 
+def troubled_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The newest runs that are degraded or have a warning."""
+    return run_status(runs).filter("is_degraded or has_warn").orderBy(F.col("created_at").desc(), "run_id").limit(n)
+
+
 def duration_by_source(runs: DataFrame) -> DataFrame:
-    """Runs and their mean duration by source."""
-    return runs.groupBy("source").agg(F.count("*").alias("runs"), F.round(F.avg("duration_seconds"), 4).alias("avg_duration_seconds"))
+    """Successful runs and their mean duration by source."""
+    return runs.filter("final_dag_state = 'success'").groupBy("source").agg(F.count("*").alias("runs"), F.round(F.avg("duration_seconds"), 4).alias("avg_duration_seconds"))
 
 
 def success_rate(runs: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """One row: runs of the last days, successes and their share in percent."""
-    recent = runs.filter(F.col("created_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
-    counted = recent.agg(F.count("*").alias("runs"), F.count_if(F.col("final_dag_state") == "success").alias("successes"))
+    """By source: runs since so many days before as_of's day, successes and their share in percent."""
+    recent = runs.filter(F.col("created_at") >= F.lit(as_of.date() - timedelta(days=days)).cast("timestamp_ntz"))
+    counted = recent.groupBy("source").agg(F.count("*").alias("runs"), F.count_if(F.col("final_dag_state") == "success").alias("successes"))
     return counted.withColumn("success_rate_pct", F.round(ratio(F.col("successes") * 100, F.col("runs")), 2))

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.staging import unlabeled_negative_returns
+
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
@@ -41,6 +43,11 @@ def freshness(df: DataFrame, column: str, as_of: datetime, warn: int = 7, error:
 
 
 def history_coverage(fact: DataFrame, history: DataFrame) -> DataFrame:
+    """Items of the fact without any version; null counts as one. Days don't matter, see uncovered_lines."""
+    return fact.select("item_number").distinct().join(history.select("item_number"), "item_number", "left_anti")
+
+
+def uncovered_lines(fact: DataFrame, history: DataFrame) -> DataFrame:
     """Lines without a version that was valid on their day."""
     on = (F.col("f.item_number") == F.col("h.item_number")) & (F.col("f.order_date") >= F.col("h.business_valid_from")) & (F.col("h.business_valid_to").isNull() | (F.col("f.order_date") <= F.col("h.business_valid_to")))
     return fact.alias("f").join(history.alias("h"), on, "left_anti")
@@ -66,7 +73,8 @@ def one_current_row(history: DataFrame, key: str = "item_number") -> DataFrame:
 
 
 def negative_only_on_returns(sales: DataFrame) -> DataFrame:
-    return sales.filter(~F.col("is_return") & ((F.col("bottles_sold") < 0) | (F.col("sale_dollars") < 0)))
+    """Lines that aren't returns with a negative amount, units, litres or gallons."""
+    return unlabeled_negative_returns(sales).drop("anomaly")
 
 
 def days_lost(raw: DataFrame, staged: DataFrame, raw_column: str = "order_date") -> DataFrame:
@@ -74,6 +82,7 @@ def days_lost(raw: DataFrame, staged: DataFrame, raw_column: str = "order_date")
 
 
 def retail_below_cost(df: DataFrame) -> DataFrame:
+    """Staged lines whose retail price is below their cost; a missing price breaks no rule."""
     return df.filter("state_bottle_retail < state_bottle_cost")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.measures import cagr_pct, ratio, selling_price, vendor_label, yoy_pct
+from tallyhouse.functions.measures import ratio, selling_price, vendor_label, yoy_pct
 from tallyhouse.operators.growth import top_n_rows
 
 _D = "decimal(20,2)"
@@ -75,21 +75,30 @@ def rolling_mean(trend: DataFrame, months: int = 3) -> DataFrame:
     return monthly.withColumn("rolling_sales", F.round(F.sum(F.col("sales").cast(_D)).over(back).cast("double") / F.count("*").over(back), 4))
 
 
+def first_and_last(share: DataFrame) -> DataFrame:
+    """The rows of the first and the last period; one, if they are the same."""
+    ends = share.agg(F.min("period_order").alias("__last"), F.max("period_order").alias("__first"))
+    return share.join(F.broadcast(ends), F.col("period_order").isin(F.col("__first"), F.col("__last"))).drop("__first", "__last")  # one row
+
+
 def period_shares(share: DataFrame, n: int) -> DataFrame:
-    """Each period's n largest vendors with rank and share, the others as one row."""
-    ranked = share.withColumn("rank", F.row_number().over(Window.partitionBy("period_order").orderBy(F.col("sales_t12m").desc(), "vendor_name", "vendor_number")))
+    """The first and the last period's n largest vendors with rank and share, the others of the period as one row."""
+    ranked = first_and_last(share).withColumn("rank", F.row_number().over(Window.partitionBy("period_order").orderBy(F.col("sales_t12m").desc(), "vendor_name", "vendor_number")))
     top = F.col("rank") <= n
     folded = ranked.groupBy("period_order", "period_year", F.when(top, F.col("vendor_name")).otherwise("Other").alias("vendor_name"), F.when(top, F.col("rank")).otherwise(n + 1).alias("rank")).agg(money_sum("sales_t12m").alias("sales_t12m"))
     own = F.sum(F.col("sales_t12m").cast(_D)).over(Window.partitionBy("period_order"))
     return folded.withColumn("share_pct", F.round(ratio(F.col("sales_t12m") * 100, own), 4))
 
 
-def brand_cagr(lines: DataFrame, pattern: str, first_year: int, last_year: int) -> DataFrame:
-    """Sales of items whose description holds a name, in two years, and their compound growth."""
-    found = lines.filter(F.upper("item_description").contains(pattern.upper()))
-    year = lambda y, name: F.coalesce(F.sum(F.when(F.year("order_date") == y, F.col("sale_dollars"))), F.lit(0)).cast("double").alias(name)
-    sums = found.agg(year(first_year, "sales_first"), year(last_year, "sales_last"))
-    return sums.withColumns({"brand": F.lit(pattern), "cagr_pct": cagr_pct(F.col("sales_first"), F.col("sales_last"), last_year - first_year)})
+def brand_cagr(share: DataFrame, brands: list[tuple[str, str]]) -> DataFrame:
+    """A row for each (brand, text): trailing-year sales of the vendors whose name holds the text, in any case, in the first
+    and the last period, and their compound growth a year; null with fewer than two years, or without sales in both."""
+    listed = share.sparkSession.createDataFrame([(b, t.upper()) for b, t in brands], "brand string, __text string")
+    sums = first_and_last(share).join(F.broadcast(listed), F.upper("vendor_name").contains(F.col("__text"))).groupBy("brand", "period_year").agg(money_sum("sales_t12m").alias("s"))  # the brands listed
+    by_brand = sums.groupBy("brand").agg(F.min("period_year").alias("first_year"), F.max("period_year").alias("last_year"), F.min_by("s", "period_year").alias("sales_first"), F.max_by("s", "period_year").alias("sales_last"))
+    grown = (F.col("sales_first") > 0) & (F.col("sales_last") > 0) & (F.col("last_year") > F.col("first_year"))
+    rate = F.pow(F.col("sales_last") / F.col("sales_first"), F.lit(1.0) / (F.col("last_year") - F.col("first_year")))
+    return F.broadcast(listed.select("brand")).join(by_brand, "brand", "left").withColumn("cagr_pct", F.when(grown, F.round((rate - 1) * 100, 4)))
 
 
 def tier_grid(matrix: DataFrame, tiers: list[str], measure: str) -> DataFrame:
@@ -98,10 +107,10 @@ def tier_grid(matrix: DataFrame, tiers: list[str], measure: str) -> DataFrame:
     return F.broadcast(axis).join(pivot_mix(matrix, "volume_tier", "revenue_tier", tiers, measure), "volume_tier", "left").fillna(0.0)
 
 
-def family_tiers(by_family: DataFrame, tiers: list[str], n: int) -> DataFrame:
-    """The n families of most SKUs with their share of SKUs in each volume tier."""
-    volume = by_family.filter("dimension = 'volume'")
-    sizes = volume.groupBy("category_family").agg(F.sum("sku_count").cast("long").alias("skus"))
+def family_tiers(by_family: DataFrame, tiers: list[str], n: int, dimension: str = "volume") -> DataFrame:
+    """The n families of most SKUs with their share of SKUs in each tier of a dimension, volume or revenue."""
+    own = by_family.filter(F.col("dimension") == dimension)
+    sizes = own.groupBy("category_family").agg(F.sum("sku_count").cast("long").alias("skus"))
     top = sizes.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("skus").desc(), "category_family"))).filter(F.col("__rank") <= n).drop("__rank")
-    shares = volume.groupBy("category_family").pivot("tier", tiers).agg(F.max("sku_share")).fillna(0.0)
+    shares = own.groupBy("category_family").pivot("tier", tiers).agg(F.max("sku_share")).fillna(0.0)
     return F.broadcast(top).join(shares, "category_family").orderBy(F.col(tiers[-1]).desc(), "category_family")

@@ -356,16 +356,21 @@ q["c6_rolling_mean"] = BASE + _trend("category_family", FAMILY, 5) + """, lab as
   from trend), m as (select vendor, sales_month, cast(sum(cast(sales_dollars as decimal(20,2))) as double) as sales
   from lab group by 1, 2) select *, round(cast(sum(cast(sales as decimal(20,2))) over w as double) / count(*) over w, 4) as rolling_sales
   from m window w as (partition by vendor order by sales_month rows between 2 preceding and current row)"""
-q["c7_period_shares"] = BASE + SHARE + f""", r as (select *, row_number() over (partition by period_order order by sales_t12m desc, vendor_name, vendor_number) as k
-  from share), f as (select period_order, period_year, case when k <= 3 then vendor_name else 'Other' end as vendor_name, cast(case when k <= 3 then k else 4 end as int) as rank,
+_ENDS = ", ends as (select * from share where period_order in ((select min(period_order) from share), (select max(period_order) from share)))"
+q["c7_period_shares"] = BASE + SHARE + _ENDS + f""", r as (select *, row_number() over (partition by period_order order by sales_t12m desc, vendor_name, vendor_number) as k
+  from ends), f as (select period_order, period_year, case when k <= 3 then vendor_name else 'Other' end as vendor_name, cast(case when k <= 3 then k else 4 end as int) as rank,
     {_money('sales_t12m')} from r group by 1, 2, 3, 4) select *, round(sales_t12m * 100 / cast(sum(cast(sales_t12m as decimal(20,2))) over (partition by period_order) as double), 4) as share_pct
   from f"""
-q["c8_brand_cagr"] = BASE + """, b as (select cast(coalesce(sum(case when year(order_date) = 1996 then sale_dollars end), 0) as double) as sales_first, cast(coalesce(sum(case when year(order_date) = 2000 then sale_dollars end), 0) as double) as sales_last
-  from labelled where contains(upper(item_description), 'GIFT')) select *, 'gift' as brand, case when sales_first > 0 and sales_last > 0 then round((pow(sales_last / sales_first, 0.25) - 1) * 100, 4) end as cagr_pct
-  from b"""
+q["c8_brand_cagr"] = BASE + SHARE + _ENDS + """, brands as (select * from (values ('First', 'VENDOR 1'), ('Limited', 'LLC'), ('Nobody', 'NO SUCH VENDOR')) v(brand, wanted)),
+annual as (select brand, period_year, cast(sum(cast(sales_t12m as decimal(20,2))) as double) as s from ends join brands on contains(upper(vendor_name), wanted) group by 1, 2),
+spans as (select brand, min(period_year) as first_year, max(period_year) as last_year, arg_min(s, period_year) as sales_first, arg_max(s, period_year) as sales_last from annual group by 1)
+select brand, first_year, last_year, sales_first, sales_last,
+  case when last_year > first_year and sales_first > 0 and sales_last > 0 then round((pow(sales_last / sales_first, 1.0 / (last_year - first_year)) - 1) * 100, 4) end as cagr_pct
+from brands left join spans using (brand)"""
 _T3 = ["Tier 1: Core", "Tier 2: Niche", "Tier 3: Zombie"]
 q["c9_tier_grid"] = BASE + TRAIL + MATRIX + " select t.tier as volume_tier, " + ", ".join(f"cast(coalesce(sum(case when revenue_tier = '{t}' then cast(revenue as decimal(20,2)) end), 0) as double) as \"{t}\"" for t in _T3) + " from (values " + ", ".join(f"('{t}')" for t in _T3) + ") t(tier) left join matrix on matrix.volume_tier = t.tier group by 1"
-q["c10_family_tiers"] = BASE + TRAIL + BYFAM + """, v as (select * from bf where dimension = 'volume'), top as (select category_family, cast(sum(sku_count) as bigint) as skus
+for _name, _dimension in (("c10_family_tiers", "volume"), ("c10_family_tiers_revenue", "revenue")):
+    q[_name] = BASE + TRAIL + BYFAM + f""", v as (select * from bf where dimension = '{_dimension}'), top as (select category_family, cast(sum(sku_count) as bigint) as skus
   from v group by 1 qualify row_number() over (order by sum(sku_count) desc, category_family) <= 4) select category_family, skus, """ + ", ".join(f"coalesce(max(case when tier = '{t}' then sku_share end), 0) as \"{t}\"" for t in _T3) + " from top join v using (category_family) group by 1, 2"
 q["c11_family_cagr"] = BASE + GROWTH1 + f""" select *, {_yoys}, case when sales_cagr_start_year > 0 and sales_cagr_end_year > 0 then round((pow(sales_cagr_end_year / sales_cagr_start_year,
     0.5) - 1) * 100, 4) end as cagr_pct
@@ -383,7 +388,8 @@ for _name, _rows, *_ctes in (
     ("t2_unique", "select invoice_item_number from sales group by 1 having count(*) > 1"),
     ("t3_accepted_values", "select category_family from items group by 1 having category_family not in ('Whiskies', 'Rum', 'Gin')"),
     ("t4_relationships", "select 1 from ded where category not in ('" + _ECON + "')"),
-    ("t6_history_coverage", "select 1 from ded f where not exists (select 1 from hist h where h.item_number = f.item_number and f.order_date >= h.business_valid_from and (h.business_valid_to is null or f.order_date <= h.business_valid_to))"),
+    ("t6_history_coverage", "select distinct f.item_number from ded f where not exists (select 1 from hist h where h.item_number = f.item_number)"),
+    ("t6b_uncovered_lines", "select 1 from ded f where not exists (select 1 from hist h where h.item_number = f.item_number and f.order_date >= h.business_valid_from and (h.business_valid_to is null or f.order_date <= h.business_valid_to))"),
     ("t7_reconciliation", """select 1 from (
   select order_date, store_number, sum(bottles_sold) as b, sum(sale_dollars) as s, sum(volume_sold_liters) as l, sum(volume_sold_gallons) as g,
     sum(estimated_total_cost) as c, sum(estimated_gross_profit) as p, count(*) as n from sales group by 1, 2) a
@@ -394,9 +400,9 @@ where coalesce(b, 0) <> coalesce(total_bottles_sold, 0) or coalesce(s, 0) <> coa
     ("t8_composite_key", "select item_number, order_date from ded group by 1, 2 having count(*) > 1"),
     ("t9_overlaps", "select 1 from hist a where exists (select 1 from hist b where a.item_number = b.item_number and b.business_valid_from < a.business_valid_from and coalesce(b.business_valid_to, date '9999-12-31') >= a.business_valid_from)"),
     ("t10_one_current", "select item_number from hist group by 1 having sum(case when is_current then 1 else 0 end) <> 1"),
-    ("t11_negative_sales", "select 1 from ded where not is_return and (bottles_sold < 0 or sale_dollars < 0)"),
+    ("t11_negative_sales", "select 1 from ded where (sale_dollars < 0 or bottles_sold < 0 or volume_sold_liters < 0 or volume_sold_gallons < 0) and upper(invoice_item_number) not like 'RINV-%'"),
     ("t12_days_lost", "select distinct order_date from sales where order_date not in (select order_date from ded where not is_return)"),
-    ("t13_retail_below_cost", "select 1 from hist where state_bottle_retail < state_bottle_cost"),
+    ("t13_retail_below_cost", "select 1 from sales where state_bottle_retail is not null and state_bottle_cost is not null and state_bottle_retail < state_bottle_cost"),
     ("t14_negative_velocity", "select 1 from cls where total_units_sold < 0 or total_revenue < 0", MART),
     ("t15_share_bounds", "select 1 from cls where cumulative_units_pct < 0 or cumulative_units_pct > 1 or cumulative_revenue_pct < 0 or cumulative_revenue_pct > 1", MART),
     ("t16_negative_shipment", "select 1 from fc where recommended_ship_qty < 0", WEEKLY),
@@ -412,7 +418,7 @@ q["t17_critical_suite"] = BASE + """select name, severity, tag, n_fail, case whe
 
 _d = lambda c: f"cast(date_diff('day', cast({c} as date), date '2002-01-01') as int)"
 _st = lambda e: f"case when {e} > 14 then 'ERROR' when {e} > 7 then 'WARN' else 'PASS' end"
-q["h1_pipeline_health"] = BASE + SNAP_ITEM + SNAP_STORE + MART + WEEKLY + f""", h as (select (select max(loaded_at) from sales) as raw_max_loaded_at, (select count(*) from sales) as raw_row_count,
+q["h1_pipeline_health"] = BASE + SNAP_ITEM + SNAP_STORE + MART + WEEKLY + f""", h as (select timestamp '2002-01-01' as observed_at, (select max(loaded_at) from sales) as raw_max_loaded_at, (select count(*) from sales) as raw_row_count,
 (select count(*) from item_snap where dbt_valid_to is null) as snap_item_current_row_count, (select max(dbt_valid_from) from item_snap) as snap_item_max_valid_from,
     (select count(*) from store_snap where dbt_valid_to is null) as snap_store_current_row_count, (select max(dbt_valid_from) from store_snap) as snap_store_max_valid_from,
 (select count(*) from ded) as fact_row_count, (select min(order_date) from ded) as fact_min_order_date, (select max(order_date) from ded) as fact_max_order_date,
@@ -429,8 +435,9 @@ q["h4_final_states"] = """
 with tasks as (select strftime(ts, '%Y-%m-%d') || '/' || cast(user_id as varchar) as run_id, event_type = 'error' as failed, event_type = 'signup' as warned from events)
 select run_id, case when bool_or(failed) then 'failed' when bool_or(warned) then 'degraded' else 'success' end as final_dag_state from tasks group by 1"""
 q["h5a_recent_failed"] = RUNS + f"select {_RUN} from runs where final_dag_state = 'failed' order by created_at desc, run_id limit 20"
-q["h5b_duration_by_source"] = RUNS + "select source, count(*) as runs, round(cast(sum(duration_seconds) as double) / count(*), 4) as avg_duration_seconds from runs group by 1"
-q["h5c_success_rate"] = RUNS + """select count(*) as runs, count(case when final_dag_state = 'success' then 1 end) as successes, round(count(case when final_dag_state = 'success' then 1 end) * 100.0 / count(*), 2) as success_rate_pct
-  from runs where created_at >= timestamp '2024-01-30' - interval 10 day"""
+q["h5b_duration_by_source"] = RUNS + "select source, count(*) as runs, round(cast(sum(duration_seconds) as double) / count(*), 4) as avg_duration_seconds from runs where final_dag_state = 'success' group by 1"
+q["h5c_success_rate"] = RUNS + """select source, count(*) as runs, cast(sum(case when final_dag_state = 'success' then 1 else 0 end) as bigint) as successes, round(100.0 * sum(case when final_dag_state = 'success' then 1 else 0 end) / count(*), 2) as success_rate_pct
+  from runs where created_at >= date '2024-01-30' - 10 group by 1"""
+q["h5d_troubled_runs"] = f"select * from ({q['h3_run_status']}) where is_degraded or has_warn order by created_at desc, run_id limit 20"
 
 ORACLE_SQL = q

@@ -19,6 +19,7 @@ _LINES = ["invoice_item_number", "order_date", "store_number", "item_number", "s
 _TIERS = [velocity.CORE, velocity.NICHE, velocity.ZOMBIE]
 _SEGMENTS = ["budget_standard", "premium_plus", "bulk_or_bundle", "trial_size", "other"]
 _CATEGORIES = ["LARGE CLASS 0", "LARGE CLASS 1", "LARGE CLASS 2"]
+_BRANDS = [("First", "vendor 1"), ("Limited", "llc"), ("Nobody", "no such vendor")]
 _TREND = (date(2000, 1, 1), MONTH)
 
 
@@ -145,9 +146,10 @@ _add("c4_vendor_totals", lambda m: shape.vendor_totals(shape.top_vendors_plus_ot
 _add("c5_chain_tail", lambda m: shape.chains_with_tail(_chains(m).filter("row_type = 'detail'"), 4, "Small/Ind Chain"))
 _add("c6_rolling_mean", lambda m: shape.rolling_mean(growth.vendor_monthly_trend(m.monthly, m.items, *_TREND, "category_family", FAMILY)))
 _add("c7_period_shares", lambda m: shape.period_shares(growth.vendor_share_by_year(m.monthly, m.items, MONTH, FAMILY), 3))
-_add("c8_brand_cagr", lambda m: shape.brand_cagr(growth.labelled_lines(m.fact, m.items), "gift", 1996, 2000))
+_add("c8_brand_cagr", lambda m: shape.brand_cagr(growth.vendor_share_by_year(m.monthly, m.items, MONTH, FAMILY), _BRANDS))
 _add("c9_tier_grid", lambda m: shape.tier_grid(velocity.tier_matrix(m.window_classified), _TIERS, "revenue"))
 _add("c10_family_tiers", lambda m: shape.family_tiers(velocity.tier_by_family(_labelled(m)), _TIERS, 4))
+_add("c10_family_tiers_revenue", lambda m: shape.family_tiers(velocity.tier_by_family(_labelled(m)), _TIERS, 4, "revenue"))
 _add("c11_family_cagr", lambda m: growth.with_cagr(growth.family_growth(m.monthly, m.items, MONTH), 2))
 _add("p26_vendor_labels", lambda m: m.items.groupBy(measures.vendor_label(F.col("vendor_name")).alias("vendor")).agg(F.count("*").alias("n_items")))
 _add("p27_bottle_labels", lambda m: velocity.full_scatter(_labelled(m)).groupBy("scatter_group", measures.bottle_label(F.col("bottle_volume_ml")).alias("size_label")).agg(F.count("*").alias("sku_count")))
@@ -163,18 +165,19 @@ _check("t2_unique", lambda m: quality.unique(m.sales, "invoice_item_number"))
 _check("t3_accepted_values", lambda m: quality.accepted_values(m.items, "category_family", ["Whiskies", "Rum", "Gin"]))
 _check("t4_relationships", lambda m: quality.relationships(m.fact, "category", m.families, "category"))
 _check("t6_history_coverage", lambda m: quality.history_coverage(m.fact, m.history))
+_check("t6b_uncovered_lines", lambda m: quality.uncovered_lines(m.fact, m.history))
 _check("t7_reconciliation", lambda m: quality.reconcile(staging.store_daily_sales(m.sales), m.daily, ["order_date", "store_number"], staging.DAILY))
 _check("t8_composite_key", lambda m: quality.unique(m.fact, "item_number", "order_date"))
 _check("t9_overlaps", lambda m: quality.overlapping_windows(m.history))
 _check("t10_one_current", lambda m: quality.one_current_row(m.history))
 _check("t11_negative_sales", lambda m: quality.negative_only_on_returns(m.deduped))
 _check("t12_days_lost", lambda m: quality.days_lost(m.sales, m.deduped.filter("not is_return")))
-_check("t13_retail_below_cost", lambda m: quality.retail_below_cost(m.history))
+_check("t13_retail_below_cost", lambda m: quality.retail_below_cost(m.sales))
 _check("t14_negative_velocity", lambda m: quality.negative_velocity(m.classified))
 _check("t15_share_bounds", lambda m: quality.share_out_of_bounds(m.classified))
 _check("t16_negative_shipment", lambda m: quality.negative_shipment(m.forecast))
 _add("t5_freshness", lambda m: quality.freshness(m.sales, "loaded_at", AS_OF))
-_add("t17_critical_suite", lambda m: quality.run_suite([quality.Check("unique_invoice", quality.unique(m.fact, "invoice_item_number"), "error", ["critical"]), quality.Check("unique_raw_invoice", quality.unique(m.sales, "invoice_item_number"), "warn", ["critical", "raw"]), quality.Check("retail", quality.retail_below_cost(m.history), "warn", [])], ["critical"]))
+_add("t17_critical_suite", lambda m: quality.run_suite([quality.Check("unique_invoice", quality.unique(m.fact, "invoice_item_number"), "error", ["critical"]), quality.Check("unique_raw_invoice", quality.unique(m.sales, "invoice_item_number"), "warn", ["critical", "raw"]), quality.Check("retail", quality.retail_below_cost(m.sales), "warn", [])], ["critical"]))
 
 _add("h1_pipeline_health", lambda m: monitoring.pipeline_health(m.sales, m.fact, m.daily, m.snapshots("item"), m.snapshots("store"), m.velocity, m.forecast, AS_OF))
 _add("h2_landed_window", lambda m: monitoring.landed_window_contract(m.sales, *WINDOW, AS_OF))
@@ -182,6 +185,7 @@ _add("h3_run_status", lambda m: monitoring.run_status(m.runs))
 _add("h4_final_states", lambda m: monitoring.final_states(m.tasks))
 _add("h5a_recent_failed", lambda m: monitoring.recent_runs(m.runs, 20, "failed"))
 _add("h5b_duration_by_source", lambda m: monitoring.duration_by_source(m.runs))
+_add("h5d_troubled_runs", lambda m: monitoring.troubled_runs(m.runs))
 _add("h5c_success_rate", lambda m: monitoring.success_rate(m.runs, datetime(2024, 1, 30), 10))
 
 __all__ = ["ORACLE_SQL", "ORDERS", "QUERIES", "printed"]
