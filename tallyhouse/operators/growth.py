@@ -138,7 +138,16 @@ def vendor_monthly_trend(fact: DataFrame, items: DataFrame, start: date, end: da
     lines = labelled_lines(in_days(fact, (start, add_months(end, 1))), items).filter(F.col(scope) == value)
     by_vendor = lines.groupBy("vendor_number", "vendor_name").agg(F.sum("sale_dollars").alias("t"))
     top = top_n_rows(by_vendor, [F.col("t").desc(), F.col("vendor_name").asc(), F.col("vendor_number").asc()], top_n, "vendor_rank").drop("t")
-    return lines.join(F.broadcast(top), ["vendor_number", "vendor_name"]).groupBy(F.trunc("order_date", "month").alias("sales_month"), F.col(scope).alias("scope_name"), "vendor_number", "vendor_name", "vendor_rank").agg(total("sale_dollars").alias("sales_dollars"))
+    return lines.join(few(top, top_n), ["vendor_number", "vendor_name"]).groupBy(F.trunc("order_date", "month").alias("sales_month"), F.col(scope).alias("scope_name"), "vendor_number", "vendor_name", "vendor_rank").agg(total("sale_dollars").alias("sales_dollars"))
+
+
+#: So many rows of a known count are broadcast at most; for more Spark decides by size.
+FEW = 10_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df, which has n rows at most, with a broadcast hint if they are few."""
+    return F.broadcast(df) if n <= FEW else df
 
 
 def top_n_rows(df: DataFrame, order: list[Column], n: int, rank: str, by: list[str] | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ def _newest(df: DataFrame) -> list[Column]:
 
 
 def category_family(df: DataFrame, families: DataFrame, default: str | None = "Other") -> DataFrame:
-    """Adds category_family; categories in no family get the default. The map is a seed of a few dozen rows."""
-    return df.join(F.broadcast(families.select("category", "category_family")), "category", "left").withColumn("category_family", F.coalesce("category_family", F.lit(default)))
+    """Adds category_family; categories in no family get the default. Spark broadcasts the map, a seed of a few dozen rows, by its size."""
+    return df.join(families.select("category", "category_family"), "category", "left").withColumn("category_family", F.coalesce("category_family", F.lit(default)))
 
 
 def item_attributes_current(sales: DataFrame, families: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def scd2_from_changes(sales: DataFrame, key: str = "item_number", day: str = "or
 def price_position(history: DataFrame, families: DataFrame) -> DataFrame:
     """Adds family, bundle flag, effective size, size and price tiers and the price segment."""
     volume = F.col("bottle_volume_ml")
-    sized = category_family(history, families, None).withColumns({
+    sized = category_family(history, families).withColumns({
         "is_bundle_pack": ladders.is_bundle(F.col("item_description")),
         "effective_bottle_volume_ml": F.when(volume <= 0, None).when(volume.between(680, 720), 750).otherwise(volume),
         "package_size_tier": ladders.ladder(ladders.PACKAGE_SIZES, "jumbo_value"),

@@ -11,7 +11,7 @@ from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import annual_periods, ends_of, period_bounds
 from tallyhouse.functions.lasting import lasting
 from tallyhouse.functions.measures import selling_price, total, units, yoy_pct
-from tallyhouse.operators.growth import UNKNOWN, period_sums, top_n_rows, within
+from tallyhouse.operators.growth import UNKNOWN, few, period_sums, top_n_rows, within
 from tallyhouse.operators.history import asof
 from tallyhouse.sources.months import in_days
 
@@ -84,6 +84,6 @@ def vendor_mix_compare(lines: DataFrame, by: str, month_start: date, trend_years
     names = modal_label(inside, "vendor_number", "vendor_name", "n_lines")
     latest = inside.filter("period_order = 0").groupBy("vendor_number").agg(F.sum("sale_dollars").alias("t")).join(names, "vendor_number")
     top = top_n_rows(latest, [F.col("t").desc(), F.col("vendor_name").asc(), F.col("vendor_number").asc()], top_n, "vendor_rank").select("vendor_number", "vendor_name", "vendor_rank")
-    folded = inside.drop("vendor_name").join(F.broadcast(top), "vendor_number", "left")
+    folded = inside.drop("vendor_name").join(few(top, top_n), "vendor_number", "left")
     keys = [F.when(F.col("vendor_rank").isNull(), "Other").otherwise(F.col("vendor_number")).alias("vendor_number"), F.coalesce("vendor_name", F.lit("Other Vendors")).alias("vendor_name"), F.coalesce("vendor_rank", F.lit(top_n + 1)).alias("vendor_rank")]
     return folded.groupBy("period_order", "period_year", *keys, by).agg(total("sale_dollars").alias("sales_t12m"), units("bottles_sold").alias("units_t12m")).withColumn("avg_selling_price", _price("sales_t12m", "units_t12m"))

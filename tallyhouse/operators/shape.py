@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.measures import ratio, selling_price, vendor_label, yoy_pct
-from tallyhouse.operators.growth import top_n_rows
+from tallyhouse.operators.growth import few, top_n_rows
 
 _D = "decimal(20,2)"
 
@@ -34,7 +34,7 @@ def ordered(report: DataFrame, *by: str) -> DataFrame:
 def top_n_plus_other(df: DataFrame, label: str, n: int, other: str = "Other") -> DataFrame:
     """The n largest rows by sales_t12m and one for all others; growth is taken from the sums."""
     top = top_n_rows(df, [F.col("sales_t12m").desc_nulls_last(), F.col(label).asc()], n, "__rank").select(F.col(label).alias("__label"), F.lit(True).alias("__top"))
-    ranked = df.join(F.broadcast(top), F.col(label).eqNullSafe(F.col("__label")), "left").withColumn("is_other", F.col("__top").isNull())  # n rows
+    ranked = df.join(few(top, n), F.col(label).eqNullSafe(F.col("__label")), "left").withColumn("is_other", F.col("__top").isNull())
     folded = ranked.groupBy(F.when(F.col("is_other"), other).otherwise(F.col(label)).alias(label), "is_other").agg(money_sum("sales_t12m").alias("sales_t12m"), money_sum("sales_t12m_prior").alias("sales_t12m_prior"))
     return folded.withColumn("t12m_yoy_pct", yoy_pct(F.col("sales_t12m"), F.col("sales_t12m_prior")))
 

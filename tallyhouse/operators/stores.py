@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import trailing_weeks
 from tallyhouse.functions.measures import ratio, selling_price
-from tallyhouse.operators.growth import top_n_rows
+from tallyhouse.operators.growth import few, top_n_rows
 from tallyhouse.sources.months import in_days
 
 
@@ -28,7 +28,7 @@ def chain_performance(daily: DataFrame, stores: DataFrame, day: date, weeks: int
     lines = _stores(daily, stores, day, weeks, "chain", "UNKNOWN")
     chains = lines.groupBy("chain").agg(F.sum("sales").cast("decimal(20,2)").alias("sales"), F.count_distinct("store_number").alias("store_count"))
     top = top_n_rows(chains, [F.col("sales").desc(), F.col("chain").asc()], top_n, "__rank").select(F.col("chain").alias("__top"))
-    ranked = chains.join(F.broadcast(top), F.col("chain") == F.col("__top"), "left")  # top_n rows
+    ranked = chains.join(few(top, top_n), F.col("chain") == F.col("__top"), "left")
     groups = ranked.groupBy(F.coalesce("__top", F.lit(other)).alias("chain_group")).agg(F.sum("sales").alias("sales"), F.sum("store_count").alias("store_count"))
     return _productivity(groups, "chain_group", chains.agg(F.sum("sales").alias("market")))
 

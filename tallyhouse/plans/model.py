@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.lasting import exists, file_system, shared_folder, written
-from tallyhouse.operators import history, replenishment, rollup, staging, velocity
+from tallyhouse.operators import history, monitoring, replenishment, rollup, staging, velocity
 from tallyhouse.sources import months, sales
 
 #: Parameters of the registered reports.
@@ -138,6 +138,21 @@ class Model:
     def forecast(self) -> DataFrame:
         return replenishment.baseline_forecast(replenishment.rolling_metrics(self.weekly))
 
+    @cached_property
+    def health(self) -> DataFrame:
+        return monitoring.pipeline_health(self.sales, self.fact, self.daily, self.snapshots("item"), self.snapshots("store"), self.velocity, self.forecast, AS_OF)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The models by the names that declared checks know."""
+        return {
+            "category_family_map": self.families, "staged_sales": self.sales, "deduped_sales": self.deduped, "anomalous_returns": staging.anomalous_returns(self.deduped),
+            "unlabeled_negatives": staging.unlabeled_negative_returns(self.deduped), "stores_current": self.stores, "item_history": self.history, "priced_history": self.priced,
+            "weekly_depletions": self.weekly, "rolling_metrics": replenishment.rolling_metrics(self.weekly), "baseline_forecast": self.forecast, "velocity_base": self.velocity,
+            "velocity_ranked": self.classified, "velocity_classified": self.classified, "pipeline_health": self.health, "dim_store": history.current_rows(self.snapshots("store")),
+            "dim_item": history.current_rows(self.snapshots("item")), "dim_item_history": self.priced, "fact_sales": self.fact, "store_daily_sales": self.daily,
+            "sku_velocity": self.sku_velocity, "replenishment_forecast": replenishment.replenishment_forecast(self.forecast, self.items),
+        }
+
     @cached_property
     def runs(self) -> DataFrame:
         """A run history derived from events."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 
 from tallyhouse.functions import ladders
+from tallyhouse.plans.declared import DECLARED
 from tallyhouse.sources.sales import LINES_SQL
 
 _Q = lambda s: s.replace("'", "''")
@@ -52,7 +53,7 @@ day_item as (select item_number, order_date, loaded_at, {_ITEM} from (select *,
 lagged as (select *, {", ".join(f"lag({c}) over w as p_{c}" for c in _ITEM.split(", "))} from day_item window w as (partition by item_number order by order_date)),
 points as (select item_number, {_ITEM}, order_date as business_valid_from, loaded_at as source_loaded_at from lagged where p_item_description is null or {_changed}),
 hist as (select *, business_valid_to is null as is_current from (select *, cast(lead(business_valid_from) over (partition by item_number order by business_valid_from) - interval 1 day as date) as business_valid_to from points)),
-sized as (select *, {_FAMILY} as category_family, {_BUNDLE} as is_bundle_pack, cast(case when bottle_volume_ml <= 0 then null when bottle_volume_ml between 680 and 720 then 750 else bottle_volume_ml end as int) as effective_bottle_volume_ml,
+sized as (select *, coalesce({_FAMILY}, 'Other') as category_family, {_BUNDLE} as is_bundle_pack, cast(case when bottle_volume_ml <= 0 then null when bottle_volume_ml between 680 and 720 then 750 else bottle_volume_ml end as int) as effective_bottle_volume_ml,
     {_case(ladders.PACKAGE_SIZES, "'jumbo_value'")} as package_size_tier from hist),
 tiered as (select *, case when not is_bundle_pack and effective_bottle_volume_ml > 0 then cast(floor((state_bottle_retail * 20000 + effective_bottle_volume_ml) / (2 * effective_bottle_volume_ml)) / 100 as decimal(12,2)) end as price_per_100ml,
     {_case(ladders.RETAIL_TIERS, "'1000_plus'")} as retail_price_tier, {_case(ladders.PRICE_TIERS, "'20_plus'")} as price_per_100ml_tier from sized),
@@ -440,4 +441,35 @@ q["h5c_success_rate"] = RUNS + """select source, count(*) as runs, cast(sum(case
   from runs where created_at >= date '2024-01-30' - 10 group by 1"""
 q["h5d_troubled_runs"] = f"select * from ({q['h3_run_status']}) where is_degraded or has_warn order by created_at desc, run_id limit 20"
 
+# declared checks, one plain count each
+_SEED = ", ".join(f"('{k}-{n}', '{k} CLASS {n}', '{f}')" for k, f in (("ECONOMY", "Vodkas"), ("STANDARD", "Rum"), ("MEDIUM", "Tequilas"), ("LARGE", "Whiskies"), ("PROMO", "Gin")) for n in range(3))
+_CHECKED = {
+    "category_family_map": f"(from (values {_SEED}) v(category, category_name, category_family))", "staged_sales": "sales", "deduped_sales": "ded", "stores_current": "stores", "item_history": "hist",
+    "anomalous_returns": f"(select invoice_item_number, 'positive_return' as anomaly from ded where is_return and ({_any('>')}))", "unlabeled_negatives": f"(select invoice_item_number, 'unlabeled_negative' as anomaly from ded where not is_return and ({_any('<')}))",
+    "priced_history": "priced", "weekly_depletions": "weekly", "rolling_metrics": "roll", "baseline_forecast": "fc", "velocity_base": "base", "velocity_ranked": "ranked", "velocity_classified": "cls", "pipeline_health": "health",
+    "dim_store": "(from store_snap where dbt_valid_to is null)", "dim_item": "(from item_snap where dbt_valid_to is null)", "dim_item_history": "priced", "fact_sales": "ded", "store_daily_sales": "daily", "sku_velocity": "lab", "replenishment_forecast": "fc",
+}
+
+
+def _declared_sql(checks):
+    health = ", health as (" + q["h1_pipeline_health"].split(WEEKLY)[1].replace(", h as (", "with h as (", 1) + ")"
+    parts = []
+    for c in checks:
+        table, column = _CHECKED[c.table], c.column
+        if c.rule == "not_null":
+            count = f"select count(*) from {table} where {column} is null"
+        elif c.rule == "unique":
+            count = f"select count(*) from (select {column} from {table} where {column} is not null group by 1 having count(*) > 1)"
+        elif c.rule == "accepted_values":
+            values = ", ".join(f"'{_Q(v)}'" for v in c.values)
+            count = f"select count(distinct {column}) from {table} where {column} not in ({values})"
+        else:
+            count = f"select count(*) from {table} where {column} is not null and {column} not in (select {c.parent[1]} from {_CHECKED[c.parent[0]]})"
+        parts.append(f"select '{c.table}' as table_name, '{column}' as column_name, '{c.rule}' as rule, '{c.severity}' as severity, '{','.join(c.tags)}' as tag, ({count}) as n_fail")
+    return BASE + SNAP_ITEM + SNAP_STORE + MART + WEEKLY + health + " select *, case when n_fail = 0 then 'pass' else severity end as status from (" + "\nunion all ".join(parts) + ")"
+
+
+q["t18_declared_checks"] = _declared_sql(DECLARED)
+q["t18_critical_checks"] = _declared_sql([c for c in DECLARED if "critical" in c.tags])
+
 ORACLE_SQL = q

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import measures
-from tallyhouse.operators import growth, history, mix, monitoring, quality, replenishment, shape, staging, stores, velocity
+from tallyhouse.operators import checks, growth, history, mix, monitoring, quality, replenishment, shape, staging, stores, velocity
+from tallyhouse.plans.declared import DECLARED
 from tallyhouse.plans.model import AS_OF, BATCH, CATEGORY, DAY, FAMILY, MONTH, WINDOW, Model
 from tallyhouse.plans.oracle import ORACLE_SQL
 from tallyhouse.sources import months
@@ -179,7 +180,9 @@ _check("t16_negative_shipment", lambda m: quality.negative_shipment(m.forecast))
 _add("t5_freshness", lambda m: quality.freshness(m.sales, "loaded_at", AS_OF))
 _add("t17_critical_suite", lambda m: quality.run_suite([quality.Check("unique_invoice", quality.unique(m.fact, "invoice_item_number"), "error", ["critical"]), quality.Check("unique_raw_invoice", quality.unique(m.sales, "invoice_item_number"), "warn", ["critical", "raw"]), quality.Check("retail", quality.retail_below_cost(m.sales), "warn", [])], ["critical"]))
 
-_add("h1_pipeline_health", lambda m: monitoring.pipeline_health(m.sales, m.fact, m.daily, m.snapshots("item"), m.snapshots("store"), m.velocity, m.forecast, AS_OF))
+_add("t18_declared_checks", lambda m: checks.run_declared(m.tables(), DECLARED))
+_add("t18_critical_checks", lambda m: checks.run_declared(m.tables(), DECLARED, ["critical"]))
+_add("h1_pipeline_health", lambda m: m.health)
 _add("h2_landed_window", lambda m: monitoring.landed_window_contract(m.sales, *WINDOW, AS_OF))
 _add("h3_run_status", lambda m: monitoring.run_status(m.runs))
 _add("h4_final_states", lambda m: monitoring.final_states(m.tasks))
