@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import ladders
+from tallyhouse.functions.lasting import lasting
 from tallyhouse.operators.staging import latest_per_key
-from tallyhouse.sources.months import MONTH
+from tallyhouse.sources.months import MONTH, in_days, replace_months
 
 ITEM = ["item_description", "category", "category_name", "vendor_number", "vendor_name", "bottle_volume_ml", "pack", "state_bottle_cost", "state_bottle_retail"]
 STORE = ["store_name", "address", "city", "zip_code", "store_location", "county_number", "county"]
@@ -46,19 +47,67 @@ def scd2_from_changes(sales: DataFrame, key: str = "item_number", day: str = "or
     after a null first attribute always starts a version. Versions end the day
     before the next; the last has no end and is_current. One shuffle serves all windows.
     """
+    points = _change_points(_last_of_days(sales, key, day, attributes), key, day, attributes)
+    return _with_ends(points.select(key, *attributes, F.col(day).alias("business_valid_from"), F.col("loaded_at").alias("source_loaded_at")), key)
+
+
+def _last_of_days(sales: DataFrame, key: str, day: str, attributes: list[str]) -> DataFrame:
     ties = [F.col(c).desc_nulls_last() for c in ("invoice_item_number", "tie_supp") if c in sales.columns]
-    daily = latest_per_key(sales.filter(F.col(key).isNotNull()), [key, day], [F.col("loaded_at").desc_nulls_first(), *ties]).select(key, day, "loaded_at", *attributes)
-    along = Window.partitionBy(key).orderBy(day)
-    before = F.lag(F.struct(*attributes)).over(along)
-    kind = {f.name: f.dataType.typeName() for f in sales.schema.fields}
+    return latest_per_key(sales.filter(F.col(key).isNotNull()), [key, day], [F.col("loaded_at").desc_nulls_first(), *ties]).select(key, day, "loaded_at", *attributes)
+
+
+def _change_points(daily: DataFrame, key: str, day: str, attributes: list[str]) -> DataFrame:
+    """The days on which a key's attributes are others than on its day before."""
+    before = F.lag(F.struct(*attributes)).over(Window.partitionBy(key).orderBy(day))
+    kind = {f.name: f.dataType.typeName() for f in daily.schema.fields}
     blank = lambda c, name: F.coalesce(c, F.lit("") if kind[name] == "string" else F.lit(-1))
     seen = daily.withColumn("__before", before)
     changed = reduce(lambda a, b: a | b, (blank(F.col(a), a) != blank(F.col(f"__before.{a}"), a) for a in attributes), F.col(f"__before.{attributes[0]}").isNull())
-    points = seen.filter(changed).select(key, *attributes, F.col(day).alias("business_valid_from"), F.col("loaded_at").alias("source_loaded_at"))
+    return seen.filter(changed).drop("__before")
+
+
+def _with_ends(points: DataFrame, key: str) -> DataFrame:
+    """Versions end the day before the next of their key; the last is current."""
     ends = F.date_sub(F.lead("business_valid_from").over(Window.partitionBy(key).orderBy("business_valid_from")), 1)
     return points.withColumn("business_valid_to", ends).withColumn("is_current", F.col("business_valid_to").isNull())
 
 
+def touched_items(before: DataFrame, load: DataFrame, key: str = "item_number", day: str = "order_date", line: str = "invoice_item_number") -> DataFrame:
+    """key and first_day of the items that a load touches: the earliest day of its lines and of the lines in before that they
+    replace, or null if one of them has no day."""
+    replaced = before.select(line, key, day).join(load.select(line), line, "left_semi")
+    days = load.select(line, key, day).unionByName(replaced).filter(F.col(key).isNotNull())
+    first = F.when(F.count_if(F.col(day).isNull()) == 0, F.min(day))
+    return days.groupBy(key).agg(first.alias("first_day"))
+
+
+def update_history(history: DataFrame, sales: DataFrame, touched: DataFrame, key: str = "item_number", day: str = "order_date", attributes: list[str] = ITEM) -> DataFrame:
+    """scd2_from_changes of sales, made from the history before a load and the lines of touched items alone.
+
+    touched has key and first_day (null: the whole item). A touched item keeps its versions from before that day; the last
+    of them is the state that the item's lines of that day and later are compared with. A state whose first
+    attribute is '' doesn't tell whether a null followed it, so such items are made anew from all their lines. Other
+    items' versions are passed on as they are, and their lines aren't shuffled; with sales in month folders only
+    months from the earliest touched day on are opened, unless an item is made anew. That day is looked up at once.
+    """
+    old = history.join(touched.withColumn("__touched", F.lit(True)), key, "left")
+    untouched = old.filter(F.col("__touched").isNull()).select(history.columns)
+    earlier = old.filter(F.col("__touched") & (F.col("business_valid_from") < F.col("first_day")))
+    state = F.max_by(attributes[0], "business_valid_from")
+    unclear = earlier.groupBy(key).agg(state.alias("__state")).filter(F.col("__state") == "").select(key, F.lit(True).alias("__anew"))
+    since = lasting(touched.join(unclear, key, "left").select(key, F.when(F.col("__anew").isNull(), F.col("first_day")).alias("first_day")))
+    first, anew = since.agg(F.min("first_day"), F.count_if(F.col("first_day").isNull())).first()
+    lines = sales if anew or first is None else in_days(sales, (first, None), day=day)
+    later = lines.join(since, key).filter(F.col("first_day").isNull() | (F.col(day) >= F.col("first_day")))
+    kept = earlier.drop("first_day", "__touched").join(since, key).filter(F.col("first_day").isNotNull()).select(history.columns)
+    newest = Window.partitionBy(key).orderBy(F.col("business_valid_from").desc())
+    states = kept.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").select(key, F.col("business_valid_from").alias(day), F.col("source_loaded_at").alias("loaded_at"), *attributes, F.lit(True).alias("__state"))
+    daily = _last_of_days(later, key, day, attributes).withColumn("__state", F.lit(False)).unionByName(states)
+    points = _change_points(daily, key, day, attributes).filter(~F.col("__state"))
+    fresh = points.select(key, *attributes, F.col(day).alias("business_valid_from"), F.col("loaded_at").alias("source_loaded_at"))
+    return untouched.unionByName(_with_ends(kept.select(fresh.columns).unionByName(fresh), key).select(history.columns))
+
+
 def price_position(history: DataFrame, families: DataFrame) -> DataFrame:
     """Adds family, bundle flag, effective size, size and price tiers and the price segment."""
     volume = F.col("bottle_volume_ml")
@@ -159,15 +208,19 @@ def current_rows(snapshot: DataFrame) -> DataFrame:
     return snapshot.filter("dbt_valid_to is null").drop("dbt_valid_from", "dbt_valid_to")
 
 
+def _fresh(source: DataFrame, newest: datetime | None, key: str, lookback_days: int | None) -> DataFrame:
+    """One row of each key that was loaded since newest less lookback: the one loaded last."""
+    rows = source if newest is None else source.filter(F.col("loaded_at") >= F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lookback_days} days"))
+    return latest_per_key(rows, [key], [F.col("loaded_at").desc_nulls_last(), F.xxhash64(*rows.columns).asc()])
+
+
 def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_item_number", lookback_days: int | None = 3, delete_missing: tuple | None = None) -> DataFrame:
     """target with source rows loaded since its newest load less lookback, put in by key; with lookback None all of them.
 
     Of several source rows of a key the one loaded last counts. Nothing is deleted, unless delete_missing names a (column, start, end) window
     in which target rows without a source row go. New source columns are added.
     """
-    newest = None if lookback_days is None else target.agg(F.max("loaded_at")).first()[0]
-    fresh = source if newest is None else source.filter(F.col("loaded_at") >= F.lit(newest).cast("timestamp_ntz") - F.expr(f"interval {lookback_days} days"))
-    fresh = latest_per_key(fresh, [key], [F.col("loaded_at").desc_nulls_last(), F.xxhash64(*fresh.columns).asc()])
+    fresh = _fresh(source, None if lookback_days is None else target.agg(F.max("loaded_at")).first()[0], key, lookback_days)
     kept = target.join(fresh.select(key), key, "left_anti")
     if delete_missing:
         column, start, end = delete_missing
@@ -176,6 +229,33 @@ def merge_incremental(target: DataFrame, source: DataFrame, key: str = "invoice_
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def located_months(target: DataFrame, keys: DataFrame, key: str = "invoice_item_number") -> list[date | None]:
+    """The months of a table in month folders that hold one of the keys; of the target only the key column is read."""
+    found = target.select(key, MONTH).join(keys.select(key), key, "left_semi").select(MONTH).distinct()
+    return [r[0] for r in found.collect()]  # a number of months
+
+
+def merge_months(path: str, source: DataFrame, schema: str, sort: list[str], key: str = "invoice_item_number", day: str = "order_date", lookback_days: int | None = 3) -> list[date | None]:
+    """merge_incremental into the table in month folders at path; returns the months written.
+
+    Only the months that source rows go to, and those that hold an older row of their keys, are read whole and
+    written anew; all other folders keep their files. A key may move between months. Rows
+    without a day are a month of their own. A load that broke off can be repeated: the merge takes rows by key.
+    """
+    spark = source.sparkSession
+    target = spark.read.schema(f"{schema}, {MONTH} date").parquet(path)
+    newest = None if lookback_days is None else target.agg(F.max("loaded_at")).first()[0]
+    fresh = lasting(_fresh(source, newest, key, lookback_days))
+    touched = set(located_months(target, fresh, key)) | {r[0] for r in fresh.select(F.trunc(day, "month")).distinct().collect()}
+    dated = [m for m in touched if m is not None]
+    inside = F.col(MONTH).isin(dated) if dated else F.lit(False)
+    if None in touched:
+        inside = F.coalesce(inside, F.lit(False)) | F.col(MONTH).isNull()
+    merged = lasting(target.filter(inside).drop(MONTH).join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*(c for c in target.columns if c != MONTH))))
+    replace_months(merged, path, sort, list(touched), day)
+    return sorted(touched, key=lambda m: (m is None, m))
+
+
 def replace_days(target: DataFrame, batch: DataFrame, column: str = "order_date") -> DataFrame:
     """target without its rows of the days that batch holds, and batch added; rows without a day stay."""
     return target.join(batch.select(column).distinct(), column, "left_anti").unionByName(batch, allowMissingColumns=True)

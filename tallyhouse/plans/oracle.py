@@ -202,6 +202,7 @@ q["m3a_duplicate_audit"] = BASE + """select invoice_item_number, count(*) as row
 q["m3b_anomalous_returns"] = BASE + f"select {_LINES}, 'positive_return' as anomaly from ded where is_return and ({_any('>')})"
 q["m3c_unlabeled_negatives"] = BASE + f"select {_LINES}, 'unlabeled_negative' as anomaly from ded where not is_return and ({_any('<')})"
 q["m4_item_history"] = BASE + "select * from hist"
+q["m4_updated_history"] = BASE + "select * from hist"
 q["m4b_dim_item_history"] = BASE + f"select {_HIST} from priced"
 q["m4c_items_current"] = BASE + "select * from items"
 q["m4d_stores_current"] = BASE + "select * from stores"

@@ -65,6 +65,13 @@ def _early(m: Model) -> DataFrame:
     return m.fact.filter(F.col("loaded_at") < F.lit(BATCH).cast("timestamp_ntz"))
 
 
+def _updated_history(m: Model) -> DataFrame:
+    """The history of the loads before BATCH, brought up to date with the later ones."""
+    later = F.coalesce(F.col("loaded_at") >= F.lit(BATCH).cast("timestamp_ntz"), F.lit(True))
+    before, load = staging.dedupe_latest(m.sales.filter(~later)), m.sales.filter(later)
+    return history.update_history(history.scd2_from_changes(before), m.deduped, history.touched_items(before, load))
+
+
 def _grouped(m: Model) -> DataFrame:
     return mix.vendor_mix(mix.historic_lines(m.fact, m.priced, FAMILY, grouped=True), "price_position_segment", MONTH)
 
@@ -91,6 +98,7 @@ _add("m3a_duplicate_audit", lambda m: staging.duplicate_audit(m.sales))
 _add("m3b_anomalous_returns", lambda m: staging.anomalous_returns(m.deduped).select(_LINES))
 _add("m3c_unlabeled_negatives", lambda m: staging.unlabeled_negative_returns(m.deduped).select(_LINES))
 _add("m4_item_history", lambda m: m.history)
+_add("m4_updated_history", _updated_history)
 _add("m4b_dim_item_history", lambda m: m.priced)
 _add("m4c_items_current", lambda m: m.items)
 _add("m4d_stores_current", lambda m: m.stores)

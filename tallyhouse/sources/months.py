@@ -29,7 +29,7 @@ def write_by_month(rows: DataFrame, path: str, sort: list[str], day: str = "orde
     by_month(rows, sort, day).write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
-def replace_months(rows: DataFrame, path: str, sort: list[str], months: list[date], day: str = "order_date") -> None:
+def replace_months(rows: DataFrame, path: str, sort: list[str], months: list[date | None], day: str = "order_date") -> None:
     """Puts rows in place of the table's given months, to which all rows belong; other folders keep their files.
 
     Months without rows lose their folder. Spark swaps the folders that rows fill, then the others are deleted; a
@@ -40,7 +40,7 @@ def replace_months(rows: DataFrame, path: str, sort: list[str], months: list[dat
     filled = {r[0] for r in rows.select(F.trunc(day, "month")).distinct().collect()}  # a number of months
     for month in months:
         if month not in filled:
-            delete(spark, f"{path}/{MONTH}={month.isoformat()}")
+            delete(spark, f"{path}/{MONTH}={month.isoformat() if month else '__HIVE_DEFAULT_PARTITION__'}")
 
 
 def months_of(spark, path: str) -> list[date]:
