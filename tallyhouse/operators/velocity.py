@@ -12,6 +12,7 @@ from tallyhouse.functions import ladders
 from tallyhouse.functions.calendar import trailing_weeks
 from tallyhouse.functions.lasting import lasting
 from tallyhouse.functions.measures import ratio, selling_price
+from tallyhouse.operators import pareto
 from tallyhouse.sources.months import in_days, newest_day
 
 CORE, NICHE, ZOMBIE = "Tier 1: Core", "Tier 2: Niche", "Tier 3: Zombie"
@@ -70,6 +71,23 @@ def classify(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns({"cumulative_units_pct": ratio(F.col("cumulative_units"), F.col("state_units")), "cumulative_revenue_pct": ratio(F.col("cumulative_revenue"), F.col("state_revenue")), "volume_tier": pareto_tier("cumulative_units", "state_units"), "revenue_tier": pareto_tier("cumulative_revenue", "state_revenue")})
 
 
+def tiered(base: DataFrame, shares: tuple[float, float] = (0.80, 0.95)) -> DataFrame:
+    """base with the tiers of classify, the totals of all items and their number, by selection instead of running totals.
+
+    Same tiers, in a few small aggregates: for reports that don't show running shares. base is read several times
+    when this is called, so it should be a written table. Sums that aren't above zero have no crossing to look for and are
+    left to classify.
+    """
+    units, cents = F.col("total_units_sold").cast("long"), (F.col("total_revenue") * 100).cast("long")
+    n, all_units, all_cents, most_units, most_cents = base.agg(F.count("*"), F.sum(units), F.sum(cents), F.max(units), F.max(cents)).first()
+    totals = {"state_units": F.lit(all_units).cast("long"), "state_revenue": (F.lit(all_cents).cast("decimal(22,0)") / 100).cast("decimal(20,2)"), "active_sku_count": F.lit(n).cast("long")}
+    if not (all_units and all_cents) or all_units < 0 or all_cents < 0:
+        return classify(velocity_ranked(base)).select(*base.columns, *totals, "volume_tier", "revenue_tier")
+    measures = {"volume_tier": pareto.Measure(units, all_units, most_units), "revenue_tier": pareto.Measure(cents, all_cents, most_cents)}
+    found, names = pareto.cuts(base, "item_number", measures, shares), (CORE, NICHE, ZOMBIE)
+    return base.withColumns(totals | {name: pareto.tier([found[name, s] for s in shares], names, m.value, F.col("item_number")) for name, m in measures.items()})
+
+
 def with_item_labels(df: DataFrame, items: DataFrame) -> DataFrame:
     return df.join(items.select("item_number", "item_description", "category_name", "category_family", "vendor_name", "bottle_volume_ml"), "item_number", "left")
 

@@ -127,8 +127,7 @@ class Model:
 
     @cached_property
     def window_classified(self) -> DataFrame:
-        build = lambda: velocity.classify(velocity.velocity_ranked(velocity.velocity_window(self.fact, DAY, 12)))
-        return self._once("window_classified", build)
+        return velocity.tiered(self._once("window_velocity", lambda: velocity.velocity_window(self.fact, DAY, 12)))
 
     @cached_property
     def weekly(self) -> DataFrame:
