@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that go when the driver ends.
+_going: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Lets the shuffle files of a query go when it ends, not when the driver next collects garbage: for queries whose
+    result is written, and so isn't computed from those files again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local session that names none gets a folder of its own."""
+    """The application's folder in the cluster's spark.checkpoint.dir, which goes with the application. Only a local session
+    that names none gets a folder of its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    path = context._jsc.sc().getCheckpointDir().get()  # of this application alone
+    if path not in _going:
+        files, at = file_system(spark, path)
+        files.deleteOnExit(at)
+        _going.add(path)
+    return path
 
 
 def file_system(spark: SparkSession, path: str):
@@ -39,7 +66,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df, written to a new folder and reread."""
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,7 +77,7 @@ def lasting(df: DataFrame) -> DataFrame:
     Unlike a checkpoint, which keeps the size that its plan was guessed to have (a
     product over all joins, so it explodes in loops), a written table has its true
     size: Spark broadcasts it only when small, and later readers take the columns
-    they need. Partitions and the order of rows aren't kept. The files stay.
+    they need. Partitions and the order of rows aren't kept. The files stay until the application ends.
     """
     return written(df, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
 
@@ -66,9 +94,6 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         delete(self.spark, self.path)
-        # Spark deletes the shuffle files of finished queries when the driver next collects garbage; else that may be in half an hour
-        gc.collect()
-        self.spark._jvm.System.gc()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
