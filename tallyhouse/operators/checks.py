@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.lasting import Scratch, lasting
+from tallyhouse.functions.lasting import Scratch, lasting, shuffles_end
 
 RULES = ("not_null", "unique", "accepted_values", "relationships")
 
@@ -76,7 +76,11 @@ def run_declared(tables: dict[str, DataFrame], checks: list[Declared], tags: lis
     with Scratch(spark) as scratch:
         keyed = {t: _keyed(wanted, t) for t in used}
         filled = {t: list(dict.fromkeys(c.column for c in wanted if c.table == t and c.rule == "not_null")) for t in used}
-        found = {t: scratch.keep(distinct_values(tables[t], keyed[t], filled[t])) for t in used}
+        every = [distinct_values(tables[t], keyed[t], filled[t]).withColumn("t", F.lit(i)) for i, t in enumerate(used)]
+        with shuffles_end(spark):  # one job; a folder for each table
+            reduce(DataFrame.unionByName, every).write.partitionBy("t").parquet(f"{scratch.path}/values")
+        values = spark.read.schema("part int, value string, n long, nulls array<long>, t int").parquet(f"{scratch.path}/values")
+        found = {t: values.filter(F.col("t") == i) for i, t in enumerate(used)}
         parts = []
         for t in used:
             own = [(i, c) for i, c in enumerate(wanted) if c.table == t and c.rule != "relationships"]

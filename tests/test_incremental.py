@@ -23,7 +23,7 @@ def line(rng, k, load, days=40):
     return (f"i{k}", day, D.datetime(2024, 3, load), rng.choice(["a", "b", "c", "d", "e", "f", None]), rng.choice(["x", "x", "x", "y", "", None]), "c", rng.choice(["n", "n", None, ""]), "1", "v", rng.choice([750, 750, -1, None]), 6, price, price * 2)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_history_after_late_loads(spark, seed):
     """Loads bring new lines, replace lines (also with another item or day) and take lines away; each update equals a rebuild."""
     rng = random.Random(seed)
