@@ -190,18 +190,28 @@ def snapshot_check(existing: DataFrame | None, current: DataFrame, key: str, col
     """The snapshot after a run at as_of.
 
     A changed row closes its version and opens one, a new key opens one, a key
-    that is gone stays as it is. Without an existing snapshot all rows open.
+    that is gone stays as it is. Without an existing snapshot all rows open. Each key is
+    once in current and has one open version at most; rows with a null key match nothing. Open versions and current rows
+    meet in one full outer join, so each side is shuffled once; closed versions are passed on unshuffled.
     """
-    at = F.lit(as_of).cast("timestamp_ntz")
-    opened = lambda df: df.select(key, *columns).withColumns({"dbt_valid_from": at, "dbt_valid_to": F.lit(None).cast("timestamp_ntz")})
+    at, never = F.lit(as_of).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
     if existing is None:
-        return opened(current)
-    live = existing.filter("dbt_valid_to is null")
-    same = reduce(lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in columns))
-    differs = live.alias("l").join(current.alias("c"), key).filter(~same).select(key)
-    closed = existing.join(differs.withColumn("__changed", F.lit(True)), key, "left").withColumn("dbt_valid_to", F.when(F.col("__changed") & F.col("dbt_valid_to").isNull(), at).otherwise(F.col("dbt_valid_to"))).drop("__changed")
-    unchanged = live.join(differs, key, "left_anti").select(key)
-    return closed.unionByName(opened(current.join(unchanged, key, "left_anti")), allowMissingColumns=True)
+        return current.select(key, *columns).withColumns({"dbt_valid_from": at, "dbt_valid_to": never})
+    names = existing.columns + [c for c in columns if c not in existing.columns]
+    types = {f.name: f.dataType for f in [*current.schema.fields, *existing.schema.fields]}
+    held = lambda c: F.col(f"__l.{c}") if c in existing.columns else F.lit(None).cast(types[c])
+    live = existing.filter("dbt_valid_to is null").select(F.col(key).alias("__key"), F.struct(*existing.columns).alias("__l"))
+    now = current.select(F.col(key).alias("__key"), F.struct(key, *columns).alias("__c"))
+    met = live.join(now, "__key", "full_outer")
+    was, come = F.col("__l").isNotNull(), F.col("__c").isNotNull()
+    changed = was & come & ~reduce(lambda a, b: a & b, (held(c).eqNullSafe(F.col(f"__c.{c}")) for c in columns), F.lit(True))
+    end = {"dbt_valid_to": F.when(changed, at)}
+    start = {"dbt_valid_from": at, "dbt_valid_to": never}
+    kept = F.struct(*(end.get(c, held(c)).cast(types[c]).alias(c) for c in names))
+    fresh = F.struct(*((start[c] if c in start else F.col(f"__c.{c}") if c in (key, *columns) else F.lit(None)).cast(types[c]).alias(c) for c in names))
+    rows = F.filter(F.array(F.when(was, kept), F.when(come & (~was | changed), fresh)), lambda r: r.isNotNull())
+    closed = existing.filter("dbt_valid_to is not null")
+    return closed.unionByName(met.select(F.inline(rows)), allowMissingColumns=True)
 
 
 def current_rows(snapshot: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.lasting import exists, file_system, shared_folder, written
 from tallyhouse.operators import history, monitoring, replenishment, rollup, staging, velocity
-from tallyhouse.sources import months, sales
+from tallyhouse.sources import months, rejects, sales
 
 #: Parameters of the registered reports.
 MONTH, DAY = date(2001, 10, 1), date(2001, 10, 29)
@@ -72,6 +72,11 @@ class Model:
     def sales(self) -> DataFrame:
         return self._once("sales", lambda: staging.enrich_sales(staging.stage_sales(self.lines)))
 
+    @cached_property
+    def payload(self) -> DataFrame:
+        """The sales lines as an API would send them, every 40th order with a fault of its own, parsed and judged."""
+        return rejects.judged(sales.payload_lines(self.sales), AS_OF)
+
     @cached_property
     def deduped(self) -> DataFrame:
         return self._once("deduped", lambda: staging.dedupe_latest(self.sales), ["item_number"])

@@ -194,6 +194,16 @@ RUNS = """with runs as (select cast(event_id as varchar) as run_id, event_type a
 _RUN = "run_id, source, created_at, duration_seconds, final_dag_state, freshness_status, snapshot_status"
 
 q = {}
+# payload records as sources.sales.payload_lines words them, every 40th order with a fault of its own
+_PAYLOAD = """, numbered as (select *, cast(split_part(invoice_item_number, '-', 2) as bigint) % 40 as k from sales),
+records as (select *, case k when 3 then null else cast(order_date as varchar) || 'T00:00:00.000' end as date_text,
+    case when k in (1, 4) then 'six' else cast(pack as varchar) end as pack_text, case k when 4 then '12345678901234' else cast(sale_dollars as varchar) end as dollars_text from numbered),
+worded as (select *, cast(to_json({invoice_line_no: invoice_item_number, date: case k when 2 then strftime(order_date, '%Y') || '-02-30' else date_text end, store: store_number, itemno: item_number, pack: pack_text,
+    bottle_volume_ml: cast(bottle_volume_ml as varchar), sale_bottles: cast(bottles_sold as varchar), sale_dollars: dollars_text}) as varchar) as whole from records),
+payload as (select *, case k when 0 then substring(whole, 1, length(whole) // 2) when 5 then '[' || whole || ']' else whole end as record from worded)"""
+q["s1_landed"] = BASE + _PAYLOAD + """ select invoice_item_number, case k when 3 then null else order_date end as date, store_number, item_number, pack, bottle_volume_ml, bottles_sold, sale_dollars
+  from payload where k not in (0, 1, 2, 4, 5)"""
+q["s1_rejected"] = BASE + _PAYLOAD + """ select case k when 0 then 'malformed' when 5 then 'malformed' when 1 then 'cast:pack' when 2 then 'cast:date' else 'cast:pack,sale_dollars' end as reason, record from payload where k in (0, 1, 2, 4, 5)"""
 q["m2_enriched_sales"] = BASE + """select invoice_item_number, tie_supp, gross_profit_per_bottle, estimated_total_cost, estimated_gross_profit, case when bottles_sold <> 0 then cast(sale_dollars as double) / bottles_sold end as revenue_per_bottle
   from sales"""
 q["m3_deduped_sales"] = BASE + "select * from ded"
@@ -396,6 +406,13 @@ for _name, _rows, *_ctes in (
   select order_date, store_number, sum(bottles_sold) as b, sum(sale_dollars) as s, sum(volume_sold_liters) as l, sum(volume_sold_gallons) as g,
     sum(estimated_total_cost) as c, sum(estimated_gross_profit) as p, count(*) as n from sales group by 1, 2) a
 full join daily d using (order_date, store_number)
+where coalesce(b, 0) <> coalesce(total_bottles_sold, 0) or coalesce(s, 0) <> coalesce(total_sales_dollars, 0) or coalesce(l, 0) <> coalesce(total_volume_sold_liters, 0)
+  or coalesce(g, 0) <> coalesce(total_volume_sold_gallons, 0) or coalesce(c, 0) <> coalesce(total_estimated_cost, 0)
+  or coalesce(p, 0) <> coalesce(total_estimated_gross_profit, 0) or coalesce(n, 0) <> coalesce(invoice_line_count, 0)"""),
+    ("t7b_reconciled_days", """select 1 from (
+  select order_date, store_number, sum(bottles_sold) as b, sum(sale_dollars) as s, sum(volume_sold_liters) as l, sum(volume_sold_gallons) as g,
+    sum(estimated_total_cost) as c, sum(estimated_gross_profit) as p, count(*) as n from ded where loaded_at < timestamp '2000-01-01' group by 1, 2) a
+full join daily d using (order_date, store_number)
 where coalesce(b, 0) <> coalesce(total_bottles_sold, 0) or coalesce(s, 0) <> coalesce(total_sales_dollars, 0) or coalesce(l, 0) <> coalesce(total_volume_sold_liters, 0)
   or coalesce(g, 0) <> coalesce(total_volume_sold_gallons, 0) or coalesce(c, 0) <> coalesce(total_estimated_cost, 0)
   or coalesce(p, 0) <> coalesce(total_estimated_gross_profit, 0) or coalesce(n, 0) <> coalesce(invoice_line_count, 0)"""),

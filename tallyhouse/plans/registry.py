@@ -13,7 +13,7 @@ from tallyhouse.operators import checks, growth, history, mix, monitoring, quali
 from tallyhouse.plans.declared import DECLARED
 from tallyhouse.plans.model import AS_OF, BATCH, CATEGORY, DAY, FAMILY, MONTH, WINDOW, Model
 from tallyhouse.plans.oracle import ORACLE_SQL
-from tallyhouse.sources import months
+from tallyhouse.sources import months, rejects
 
 QUERIES: dict[str, Callable] = {}
 _LINES = ["invoice_item_number", "order_date", "store_number", "item_number", "sale_dollars", "loaded_at", "anomaly"]
@@ -92,6 +92,8 @@ def _chains(m: Model) -> DataFrame:
     return growth.chain_growth(m.monthly, m.items, m.stores, MONTH, CATEGORY)
 
 
+_add("s1_landed", lambda m: rejects.landed(m.payload))
+_add("s1_rejected", lambda m: rejects.rejected(m.payload))
 _add("m2_enriched_sales", lambda m: m.sales.select("invoice_item_number", "tie_supp", "gross_profit_per_bottle", "estimated_total_cost", "estimated_gross_profit", "revenue_per_bottle"))
 _add("m3_deduped_sales", lambda m: m.deduped.drop("revenue_per_bottle", "revenue_per_liter", months.MONTH))
 _add("m3a_duplicate_audit", lambda m: staging.duplicate_audit(m.sales))
@@ -175,7 +177,8 @@ _check("t3_accepted_values", lambda m: quality.accepted_values(m.items, "categor
 _check("t4_relationships", lambda m: quality.relationships(m.fact, "category", m.families, "category"))
 _check("t6_history_coverage", lambda m: quality.history_coverage(m.fact, m.history))
 _check("t6b_uncovered_lines", lambda m: quality.uncovered_lines(m.fact, m.history))
-_check("t7_reconciliation", lambda m: quality.reconcile(staging.store_daily_sales(m.sales), m.daily, ["order_date", "store_number"], staging.DAILY))
+_check("t7_reconciliation", lambda m: quality.reconcile_days(staging.store_daily_sales(m.sales), m.daily, "order_date", ["store_number"], staging.DAILY))
+_check("t7b_reconciled_days", lambda m: quality.reconcile_days(staging.store_daily_sales(_early(m)), m.daily, "order_date", ["store_number"], staging.DAILY))
 _check("t8_composite_key", lambda m: quality.unique(m.fact, "item_number", "order_date"))
 _check("t9_overlaps", lambda m: quality.overlapping_windows(m.history))
 _check("t10_one_current", lambda m: quality.one_current_row(m.history))

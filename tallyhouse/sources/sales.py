@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Store kinds by customer key modulo 25.
 _KINDS = ["Hy-Vee Food Store", "Fareway Stores", "Sam''s Club", "Costco Wholesale", "Walmart", "Wal-Mart Supercenter", "Target Store", "Walgreens", "CVS Pharmacy", "Casey''s General Store", "Kum & Go", "Circle K", "Smokin'' Joe''s", "Tobacco Hut", "Hawkeye Convenience", "Prairie Meadows", "Valley Winery", "Central City Liquor", "Brew Oil", "Quick Shop", "Corner Food", "Main Street Hotel", "Jiffy Express", "Sip & Savor"]
@@ -35,6 +36,21 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LINES_SQL, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
+def payload_lines(lines: DataFrame) -> DataFrame:
+    """Invoice lines as JSON records (column record). By order number modulo 40: 0 is cut in the middle, 1 has a pack that is no
+    number, 2 a day that isn't in the calendar, 3 no day, 4 a bad pack and an amount too large for its column, 5 is a list."""
+    kind = F.split("invoice_item_number", "-")[1].cast("long") % 40
+    text = lambda c: F.col(c).cast("string")
+    day = F.when(kind == 2, F.concat(F.year("order_date"), F.lit("-02-30"))).when(kind != 3, F.concat(text("order_date"), F.lit("T00:00:00.000")))
+    values = {
+        "invoice_line_no": text("invoice_item_number"), "date": day, "store": text("store_number"), "itemno": text("item_number"), "pack": F.when(kind.isin(1, 4), "six").otherwise(text("pack")),
+        "bottle_volume_ml": text("bottle_volume_ml"), "sale_bottles": text("bottles_sold"), "sale_dollars": F.when(kind == 4, "12345678901234").otherwise(text("sale_dollars")),
+    }
+    whole = F.to_json(F.struct(*(v.alias(n) for n, v in values.items())), {"ignoreNullFields": "false"})
+    cut = F.substring(whole, F.lit(1), (F.length(whole) / 2).cast("int"))
+    return lines.select(F.when(kind == 0, cut).when(kind == 5, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole).alias("record"))
+
+
 def family_map(spark: SparkSession) -> DataFrame:
     """category to category_family for these lines; SMALL types are in no family."""
     families = {"ECONOMY": "Vodkas", "STANDARD": "Rum", "MEDIUM": "Tequilas", "LARGE": "Whiskies", "PROMO": "Gin"}
