@@ -7,7 +7,8 @@ smoothed over neighbouring blocks, the less the further apart they are in the
 tree, and fused with the path's own. Two more things weigh in: where one
 container holds most of the text, what stands beside it counts by its share of
 text; and a class or id that names side matter counts as a small factor. A path
-whose fused ratio reaches a share of the greatest is content. Elements that are
+whose fused ratio reaches a share of the greatest is content. Where the container so found is an article element, all its paths are
+content but those that a class or id puts in doubt: the ratios choose the article, and don't cut short or linked blocks out of it. Elements that are
 menus, forms, hidden or scripts by their tag or role are never read.
 
 Paths are numbers (a parent's number and a label), so a page takes time linear in
@@ -31,7 +32,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title noembed noframes xmp annotation annotation-xml desc metadata".split())
-_INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+_INLINE = frozenset("""a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr
     math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics
     svg g tspan textpath""".split())
 _BOILERPLATE = frozenset("nav footer aside form button select option fieldset input dialog menu head".split())
@@ -64,7 +65,7 @@ class Page:
     """A page's paths and blocks.
 
     Paths are numbered from 0, the whole page, parents before children. A block is
-    [path, number, raw texts, raw length, raw length in links, depth of the lowest
+    [path, number, texts, raw length, raw length in links, depth of the lowest
     path between it and the block before].
     """
 
@@ -100,7 +101,7 @@ class Page:
                 self.blocks.append([path, block, [], 0, 0, min(low, self.depth[path])])
                 low = self.depth[path]
             own = self.blocks[-1]
-            own[2].append(raw)
+            own[2].append(html.unescape(raw))  # references end with their text
             own[3] += size
             own[4] += size if link else 0
 
@@ -164,7 +165,8 @@ class Page:
             _, path, boilerplate, inside, link = stack[-1]
             label, factor = tag, 1.0
             if not boilerplate:
-                boilerplate = tag in _BOILERPLATE or (tag == "header" and not inside)
+                quoted = tag == "footer" and inside and bool(places["blockquote"])  # whose words they are
+                boilerplate = (tag in _BOILERPLATE and not quoted) or (tag == "header" and not inside)
                 if attributes.strip():
                     hidden, label, factor = _marks(tag, attributes, inside)
                     boilerplate = boilerplate or hidden
@@ -203,9 +205,9 @@ def _ratio(chars: float, points: float, linked: float, n: int) -> float:
     return log1p(chars / n) * (1 + log1p(min(points / n, MOST_POINTS))) * (1 - linked / chars)
 
 
-def _beside(page: Page, chars: list[float], count: list[int]) -> tuple[list[float], dict[int, float]]:
-    """The factor of each path for standing beside a container that holds most of the text, and that of
-    the text directly in a path. chars and count: unlinked text and blocks of each path itself."""
+def _beside(page: Page, chars: list[float], count: list[int]) -> tuple[list[float], dict[int, float], int]:
+    """The factor of each path for standing beside a container that holds most of the text, that of
+    the text directly in a path, and the innermost such container. chars and count: unlinked text and blocks of each path itself."""
     n = len(page.parent)
     mass, blocks, children = [c * f for c, f in zip(chars, page.factor, strict=True)], list(count), defaultdict(list)
     own = list(mass)
@@ -228,11 +230,21 @@ def _beside(page: Page, chars: list[float], count: list[int]) -> tuple[list[floa
         at = best
     for p in range(1, n):
         factor[p] *= factor[page.parent[p]]
-    return factor, direct
+    return factor, direct, at
 
 
-def path_scores(page: Page, texts: list[str]) -> dict[int, float]:
-    """The fused ratio of every path that holds text; texts are those of the page's blocks."""
+def _own_paths(page: Page, region: int) -> set[int]:
+    """The paths of an article element that no class or id puts in doubt; none of another container. An article within it (a reader's
+    comment, a teaser) is left to the ratios."""
+    own = {region} if page.tag[region] == "article" else set()
+    for p in range(region + 1, len(page.parent) if own else 0):
+        if page.parent[p] in own and page.tag[p] != "article" and page.factor[p] == page.factor[region]:
+            own.add(p)
+    return own
+
+
+def path_scores(page: Page, texts: list[str]) -> tuple[dict[int, float], int]:
+    """The fused ratio of every path that holds text, and the path of the container that holds most of it; texts are those of the page's blocks."""
     n = len(page.parent)
     chars, points, linked, count = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
     for (path, _, _, size, in_links, _), text in zip(page.blocks, texts, strict=True):
@@ -263,21 +275,23 @@ def path_scores(page: Page, texts: list[str]) -> dict[int, float]:
                 summed += weight * ratio[along[j][0]]
                 weights += weight
         total[path] += sqrt(ratio[path] * summed / weights)
-    factor, direct = _beside(page, [c - x for c, x in zip(chars, linked, strict=True)], count)
-    return {p: total[p] / count[p] * page.factor[p] * factor[p] * direct.get(p, 1.0) for p in ratio}
+    factor, direct, region = _beside(page, [c - x for c, x in zip(chars, linked, strict=True)], count)
+    return {p: total[p] / count[p] * page.factor[p] * factor[p] * direct.get(p, 1.0) for p in ratio}, region
 
 
-def main_text(markup: str | None, threshold: float = THRESHOLD) -> str:
-    """The content blocks of a page, in order, one to a line; empty if it has none."""
+def main_text(markup: str | None, threshold: float = THRESHOLD, whole_article: bool = False) -> str:
+    """The content blocks of a page, in order, one to a line; empty if it has none. With whole_article the threshold
+    decides nothing within an article element that the ratios have chosen, unless a class or id is in doubt."""
     if not markup:
         return ""
     page = Page(markup)
-    shown = lambda parts: " ".join(html.unescape("".join(parts)).split())
-    scores = path_scores(page, [shown(b[2]) for b in page.blocks])
+    shown = lambda parts: " ".join("".join(parts).split())
+    scores, region = path_scores(page, [shown(b[2]) for b in page.blocks])
     best = max(scores.values(), default=0.0)
+    own = _own_paths(page, region) if whole_article else set()
     blocks: dict[int, list[str]] = defaultdict(list)
     for path, block, parts, *_ in page.blocks:
-        if scores.get(path, -1.0) >= threshold * best:
+        if path in own or scores.get(path, -1.0) >= threshold * best:
             blocks[block].extend(parts)
     return "\n".join(filter(None, map(shown, blocks.values())))
 
@@ -285,8 +299,9 @@ def main_text(markup: str | None, threshold: float = THRESHOLD) -> str:
 def extract_main_text(pages: DataFrame, page: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """One row per page: page, url, text, n_chars (code points of text).
 
-    Null, empty and unreadable pages give the empty text. Repeated rows give
-    repeated results; other columns are ignored.
+    Null, empty and unreadable pages give the empty text, an empty table gives an empty one. A page of any length is read
+    whole, in time linear in it. Repeated rows give repeated results, in no order; other columns are ignored, also those
+    named text or n_chars.
     """
     slim = pages.select(F.col(page), F.col(url), F.col(markup).cast("string").alias("__html"))
     kinds = [f.dataType.simpleString() for f in slim.schema.fields[:2]]
@@ -295,7 +310,7 @@ def extract_main_text(pages: DataFrame, page: str = "page_id", url: str = "url",
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(x) for x in part.column(2).to_pylist()]
+                texts = [main_text(x, whole_article=True) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[page, url, "text", "n_chars"])
 
     return slim.mapInArrow(run, f"`{page}` {kinds[0]}, `{url}` {kinds[1]}, text string, n_chars long")
