@@ -125,12 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
     Only ids whose crc32 (of the id as text) isn't divisible by five are used, so
     the others stay held out. Rows with a null label or id are left out, and of
-    several labels of an id the greatest counts. Tasks turn the texts into
-    features; the driver gets the features of the sample alone.
+    several labels of an id the greatest counts, of several rows of an id the least text, null only
+    if there is no other. So an id is one row, however often it is repeated. Tasks turn the texts into
+    features; the driver gets the features of the sample alone. Without labelled rows the machine scores all alike.
     """
     ids = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull() & (F.crc32(F.col(doc).cast("string").cast("binary")) % 5 != 0))
     ids = ids.groupBy(F.col(doc).alias("__doc")).agg(F.max(F.col(label).cast("int")).alias("__label")).orderBy(F.xxhash64("__doc"), "__doc").limit(sample)
-    rows = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text")).join(F.broadcast(ids), "__doc")  # at most sample rows
+    rows = docs.select(F.col(doc).alias("__doc"), F.col(text).cast("string").alias("__text")).join(F.broadcast(ids), "__doc").groupBy("__doc", "__label").agg(F.min("__text").alias("__text"))  # at most sample rows
 
     def step(batch, chunk, at):
         stats, values, buckets, bounds = features(chunk)
@@ -149,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 def score(docs: DataFrame, machine: FactorisationMachine, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc, held_out, score (0 to 1), predicted.
 
-    A null or empty text is scored by its statistics. held_out is null for a
-    null id. Repeated rows give repeated results; other columns are ignored.
+    A null or empty text is scored by its statistics, a text of any length whole. held_out is null for a
+    null id. Repeated rows give repeated results, an empty table an empty one; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2**BUCKET_BITS * (RANK + 1) floats
 
