@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-
+import csv
+from pathlib import Path
 
 from tallyhouse.functions import ladders
 from tallyhouse.plans.declared import DECLARED
+from tallyhouse.sources import landing
 from tallyhouse.sources.sales import LINES_SQL
 
 _Q = lambda s: s.replace("'", "''")
@@ -204,6 +206,14 @@ payload as (select *, case k when 0 then substring(whole, 1, length(whole) // 2)
 q["s1_landed"] = BASE + _PAYLOAD + """ select invoice_item_number, case k when 3 then null else order_date end as date, store_number, item_number, pack, bottle_volume_ml, bottles_sold, sale_dollars
   from payload where k not in (0, 1, 2, 4, 5)"""
 q["s1_rejected"] = BASE + _PAYLOAD + """ select case k when 0 then 'malformed' when 5 then 'malformed' when 1 then 'cast:pack' when 2 then 'cast:date' else 'cast:pack,sale_dollars' end as reason, record from payload where k in (0, 1, 2, 4, 5)"""
+_SHOWN = "invoice_item_number, order_date as date, store_number, item_number, pack, bottle_volume_ml, bottles_sold, sale_dollars, cast(loaded_at as timestamp) as loaded_at"
+q["s4_replaced_window"] = BASE + f"""select {_SHOWN} from sales where loaded_at < timestamp '2000-01-01' and not order_date between date '1999-06-01' and date '1999-06-28'
+  union all select {_SHOWN} from sales where order_date between date '1999-06-01' and date '1999-06-28'"""
+with (Path(landing.__file__).parent / "category_families.csv").open(newline="") as _file:
+    _SEED = ", ".join(f"({n}, '{r[0]}', '{_Q(r[2])}')" for n, r in enumerate(sorted(list(csv.reader(_file))[1:])))
+q["s6_seed_families"] = BASE + f""", seed as (select * from (values {_SEED}) v(place, category, category_family))
+select coalesce(seed.category_family, 'Other') as category_family, count(*) as n_lines, cast(sum(sale_dollars) as double) as sales
+  from ded left join seed on cast(item_number as int) % 60 = place group by 1"""
 q["m2_enriched_sales"] = BASE + """select invoice_item_number, tie_supp, gross_profit_per_bottle, estimated_total_cost, estimated_gross_profit, case when bottles_sold <> 0 then cast(sale_dollars as double) / bottles_sold end as revenue_per_bottle
   from sales"""
 q["m3_deduped_sales"] = BASE + "select * from ded"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import measures
+from tallyhouse.functions.lasting import shared_folder
 from tallyhouse.operators import checks, growth, history, mix, monitoring, quality, replenishment, shape, staging, stores, velocity
 from tallyhouse.plans.declared import DECLARED
 from tallyhouse.plans.model import AS_OF, BATCH, CATEGORY, DAY, FAMILY, MONTH, WINDOW, Model
 from tallyhouse.plans.oracle import ORACLE_SQL
-from tallyhouse.sources import months, rejects
+from tallyhouse.sources import landing, months, rejects
 
 QUERIES: dict[str, Callable] = {}
 _LINES = ["invoice_item_number", "order_date", "store_number", "item_number", "sale_dollars", "loaded_at", "anomaly"]
@@ -65,6 +67,24 @@ def _early(m: Model) -> DataFrame:
     return m.fact.filter(F.col("loaded_at") < F.lit(BATCH).cast("timestamp_ntz"))
 
 
+def _replaced_window(m: Model) -> DataFrame:
+    """The landed table after an append of the loads before BATCH and a load of WINDOW anew from all loads, both run at once;
+    its files stay until the application ends."""
+    raw = m.sales.select(*(F.col("order_date" if c == "date" else c).alias(c) for c in landing.FIELDS), F.col("loaded_at").cast("timestamp_ntz").alias("loaded_at"))
+    path = f"{shared_folder(m.spark)}/landed-{uuid.uuid4().hex}"
+    landing.append_raw(raw.filter(F.col("loaded_at") < F.lit(BATCH).cast("timestamp_ntz")), path)
+    landing.replace_landed_window(raw.filter(F.col("date").between(*map(F.lit, WINDOW))), path, *WINDOW)
+    return landing.read_raw(m.spark, path).select(*rejects.SHOWN, "loaded_at")
+
+
+def _seed_families(m: Model) -> DataFrame:
+    """Sales by the seed's families: an item stands for the seed's category of its number modulo 60, which has no category for the last three."""
+    seed = landing.category_families(m.spark)
+    codes = F.array(*(F.lit(r.category) for r in seed.select("category").orderBy("category").collect()))  # the seed's 57
+    lines = m.fact.select(F.get(codes, F.col("item_number").cast("int") % 60).alias("category"), "sale_dollars")
+    return history.category_family(lines, seed).groupBy("category_family").agg(F.count("*").alias("n_lines"), F.sum("sale_dollars").cast("double").alias("sales"))
+
+
 def _updated_history(m: Model) -> DataFrame:
     """The history of the loads before BATCH, brought up to date with the later ones."""
     later = F.coalesce(F.col("loaded_at") >= F.lit(BATCH).cast("timestamp_ntz"), F.lit(True))
@@ -94,6 +114,8 @@ def _chains(m: Model) -> DataFrame:
 
 _add("s1_landed", lambda m: rejects.landed(m.payload))
 _add("s1_rejected", lambda m: rejects.rejected(m.payload))
+_add("s4_replaced_window", _replaced_window)
+_add("s6_seed_families", _seed_families)
 _add("m2_enriched_sales", lambda m: m.sales.select("invoice_item_number", "tie_supp", "gross_profit_per_bottle", "estimated_total_cost", "estimated_gross_profit", "revenue_per_bottle"))
 _add("m3_deduped_sales", lambda m: m.deduped.drop("revenue_per_bottle", "revenue_per_liter", months.MONTH))
 _add("m3a_duplicate_audit", lambda m: staging.duplicate_audit(m.sales))

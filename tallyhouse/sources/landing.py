@@ -45,14 +45,20 @@ def in_window(column: str, start: date | None, end: date | None):
     return found
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """rows with their folder's day, dealt out by it, so that a load writes a file or so a day and not one a day and task;
+    rebalancing splits a day that is larger than a task should be."""
+    return rows.withColumn("landed_on", F.col("date")).hint("rebalance", "landed_on")
+
+
 def append_raw(rows: DataFrame, path: str) -> None:
     """Adds rows to the landed table, in a folder per day."""
-    rows.withColumn("landed_on", F.col("date")).write.mode("append").partitionBy("landed_on").parquet(path)
+    _by_day(rows).write.mode("append").partitionBy("landed_on").parquet(path)
 
 
 def overwrite_days(rows: DataFrame, path: str) -> None:
     """Replaces exactly the days that rows hold; other days stay."""
-    rows.withColumn("landed_on", F.col("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("landed_on").parquet(path)
+    _by_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("landed_on").parquet(path)
 
 
 def landed_days(spark: SparkSession, path: str) -> list[date]:

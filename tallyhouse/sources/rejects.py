@@ -57,14 +57,18 @@ def land_checked(records: DataFrame, path: str, loaded_at: datetime) -> dict[str
     """Lands records and keeps those that can't be landed apart, in one pass and one write; returns how many of each.
 
     Both sinks are folders of path, a column of the write: outcome=landed, which holds day folders as append_raw makes
-    them, and outcome=rejected. Every record is parsed once, and the counts are taken as it passes, so
+    them, and outcome=rejected. Every record is parsed once, dealt out by day, and counted as it is written, so
     landed and rejected add up to the records. Rows are added; a load that broke off is
     repeated after taking its rows away by loaded_at.
     """
     outcome = F.when(F.col("reason").isNull(), LANDED).otherwise(REJECTED)
+    placed = judged(records, loaded_at).withColumns({"outcome": outcome, "landed_on": F.col("date")}).hint("rebalance", "outcome", "landed_on")
     seen = Observation(f"landing-{uuid.uuid4().hex}")
-    counted = judged(records, loaded_at).observe(seen, F.count_if(F.col("reason").isNull()).alias(LANDED), F.count_if(F.col("reason").isNotNull()).alias(REJECTED))
-    counted.withColumns({"outcome": outcome, "landed_on": F.col("date")}).write.mode("append").partitionBy("outcome", "landed_on").parquet(path)
+    # counted by the tasks that write, so that a repeated task before the shuffle counts nothing twice
+    counted = placed.observe(seen, *(F.count_if(F.col("outcome") == kind).alias(kind) for kind in (LANDED, REJECTED)))
+    counted.write.mode("append").partitionBy("outcome", "landed_on").parquet(path)
+    if records.isEmpty():  # then Spark drops the count
+        return {LANDED: 0, REJECTED: 0}
     return {k: int(v) for k, v in seen.get.items()}
 
 
