@@ -3,7 +3,8 @@
 A public tokeniser, trained on ordinary prose, needs more tokens for text unlike
 prose. Measured per document: characters per token, the share of tokens that
 fall back to bytes, and the entropy of the tokens. Each has an accepted band per
-language; a document outside one is rejected, as is one that fails the base
+language, or per script where the language has none or the text isn't written in
+its script; a document outside one is rejected, as is one that fails the base
 rules on length and repetition.
 """
 
@@ -25,7 +26,7 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted values of a language, ends included.
+    """Accepted values of a language or script, ends included; script is the one a language is written in.
 
     The entropy of prose grows with its length, so it is held against a curve in
     x = log2(tokens), x kept within 6 to 15: curve[0] + curve[1] x + curve[2] x^2;
@@ -37,15 +38,51 @@ class Band:
     byte_share: tuple[float, float]
     entropy: tuple[float, float]
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    script: str = ""
+
+
+#: Letters of each script as code point ranges, ends included. Where
+#: a text has as many of two scripts, the earlier one counts.
+SCRIPTS: dict[str, list[tuple[int, int]]] = {
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F)],
+    "Armenian": [(0x531, 0x586)],
+    "Hebrew": [(0x5D0, 0x5EA)],
+    "Arabic": [(0x620, 0x6FF), (0x750, 0x77F)],
+    "Devanagari": [(0x900, 0x97F)],
+    "Bengali": [(0x980, 0x9FF)],
+    "Tamil": [(0xB80, 0xBFF)],
+    "Thai": [(0xE00, 0xE7F)],
+    "Georgian": [(0x10A0, 0x10FF)],
+    "Kana": [(0x3040, 0x30FF)],
+    "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2A6DF)],
+    "Hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7A3)],
+}
 
 
-#: Bands by language for the 32,000-piece vocabulary; the empty key serves all
-#: other languages. Tokens of line ends don't count as byte fallback.
+#: Bands by language and by script for the 32,000-piece vocabulary; the empty key
+#: serves the rest. Those of scripts are wide: they come from short prose in each,
+#: as the tables hold Latin alone. Tokens of line ends don't count as byte fallback.
 BANDS: dict[str, Band] = {
-    "en": Band((1.9, 8.0), (1.0, 3.25), (0.0, 0.05), (-0.37, 1.5), (1.625, 0.859, -0.0341)),
-    "de": Band((1.9, 8.0), (1.0, 3.25), (0.0, 0.05), (-0.38, 1.5), (2.058, 0.760, -0.0301)),
-    "fr": Band((1.8, 8.0), (1.0, 3.30), (0.0, 0.05), (-0.40, 1.5), (2.685, 0.636, -0.0247)),
-    "es": Band((1.8, 8.0), (1.0, 3.65), (0.0, 0.05), (-0.39, 1.5), (2.346, 0.703, -0.0271)),
+    "en": Band((1.9, 8.0), (1.0, 3.25), (0.0, 0.05), (-0.37, 1.5), (1.625, 0.859, -0.0341), "Latin"),
+    "de": Band((1.9, 8.0), (1.0, 3.25), (0.0, 0.05), (-0.38, 1.5), (2.058, 0.760, -0.0301), "Latin"),
+    "fr": Band((1.8, 8.0), (1.0, 3.30), (0.0, 0.05), (-0.40, 1.5), (2.685, 0.636, -0.0247), "Latin"),
+    "es": Band((1.8, 8.0), (1.0, 3.65), (0.0, 0.05), (-0.39, 1.5), (2.346, 0.703, -0.0271), "Latin"),
+    "Latin": Band((1.2, 8.0), (1.0, 5.0), (0.0, 0.10), (4.0, 12.0)),
+    "Greek": Band((0.8, 2.0), (2.5, 10.0), (0.0, 0.10), (3.2, 12.0)),
+    "Cyrillic": Band((1.2, 5.0), (1.2, 6.0), (0.0, 0.10), (4.0, 12.0)),
+    "Armenian": Band((0.6, 1.6), (4.0, 14.0), (0.0, 0.45), (3.2, 12.0)),
+    "Hebrew": Band((0.8, 1.8), (2.5, 10.0), (0.0, 0.10), (3.2, 12.0)),
+    "Arabic": Band((0.8, 2.2), (2.5, 10.0), (0.0, 0.15), (3.2, 12.0)),
+    "Devanagari": Band((0.6, 1.8), (2.0, 10.0), (0.0, 0.30), (3.2, 12.0)),
+    "Bengali": Band((0.6, 1.8), (2.5, 12.0), (0.0, 0.30), (3.2, 12.0)),
+    "Tamil": Band((0.6, 1.8), (4.0, 18.0), (0.0, 0.35), (3.2, 12.0)),
+    "Thai": Band((0.6, 1.8), (1.0, 400.0), (0.0, 0.25), (3.2, 12.0)),
+    "Georgian": Band((0.6, 1.8), (4.0, 16.0), (0.0, 0.35), (3.2, 12.0)),
+    "Kana": Band((0.5, 1.6), (1.0, 400.0), (0.0, 0.50), (4.0, 12.0)),
+    "Han": Band((0.4, 1.4), (1.0, 400.0), (0.0, 0.70), (4.0, 12.0)),
+    "Hangul": Band((0.4, 1.4), (2.5, 12.0), (0.0, 0.70), (4.0, 12.0)),
     "": Band((0.4, 12.0), (0.5, 400.0), (0.0, 0.25), (4.0, 16.0)),
 }
 
@@ -100,9 +137,38 @@ def fertility(encoder, chunk: T.Chunk) -> dict[str, np.ndarray]:
     return {"n_tokens": n.astype(np.int64), "chars_per_token": chars / np.maximum(n, 1), "byte_share": share, "token_entropy": np.maximum(entropy, 0.0)}
 
 
-def _within(base: dict[str, np.ndarray], measured: dict[str, np.ndarray], langs: list[str | None], bands: dict[str, Band]) -> np.ndarray:
+_NAMES = np.array([*SCRIPTS, ""])
+_RANGES = np.array(sorted((low, high, k) for k, own in enumerate(SCRIPTS.values()) for low, high in own))
+_ASCII_LETTERS = T.byte_set([(0x41, 0x5A), (0x61, 0x7A)])
+
+
+def dominant_scripts(chunk: T.Chunk) -> np.ndarray:
+    """The script of most letters of each text, as its place in SCRIPTS; one beyond the last for a text without letters."""
+    padded = np.concatenate((chunk.data, np.zeros(3, np.uint8))).astype(np.int64)
+    at = np.flatnonzero(chunk.data >= 0xC2)
+    lead, tail = padded[at], [padded[at + i] & 0x3F for i in (1, 2, 3)]
+    two = (lead & 0x1F) << 6 | tail[0]
+    three = (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    four = (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    points = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+    which = np.searchsorted(_RANGES[:, 0], points, "right") - 1
+    known = points <= _RANGES[which, 1]
+    rows = np.searchsorted(chunk.offsets, at[known], "right") - 1
+    counts = np.bincount(_RANGES[which[known], 2] * chunk.rows + rows, minlength=len(SCRIPTS) * chunk.rows).reshape(len(SCRIPTS), chunk.rows)
+    counts[list(SCRIPTS).index("Latin")] += chunk.per_row(_ASCII_LETTERS[chunk.data])
+    return np.where(counts.max(axis=0) > 0, counts.argmax(axis=0), len(SCRIPTS))
+
+
+def _key(lang: str | None, script: str, bands: dict[str, Band]) -> str:
+    """The key of the band that holds a text: its language's if it is written in that one's script, then its script's."""
+    if lang in bands and lang not in SCRIPTS and (not script or bands[lang].script in ("", script)):
+        return lang
+    return script if script in bands else ""
+
+
+def _within(base: dict[str, np.ndarray], measured: dict[str, np.ndarray], langs: list[str | None], scripts: list[str], bands: dict[str, Band]) -> np.ndarray:
     known = sorted(bands)
-    which = np.array([known.index(x if x in bands else "") for x in langs], np.int64)
+    which = np.array([known.index(_key(*x, bands)) for x in zip(langs, scripts, strict=True)], np.int64)
     curve = np.array([bands[k].curve for k in known])[which]
     x = np.clip(np.log2(np.maximum(measured["n_tokens"], 1)), 6, 15)
     values = {
@@ -119,11 +185,12 @@ def _within(base: dict[str, np.ndarray], measured: dict[str, np.ndarray], langs:
 
 
 def quality_rules(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | None = None, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: doc, the base measures, the fertility measures, base_failed, kept.
+    """One row per document: doc, the base measures, the fertility measures, base_failed, script, kept.
 
-    A null text counts as empty and fails the base rules; a language without a
-    band (null too) takes the band of the empty key, which is BANDS' own if bands has
-    none. Repeated rows give repeated results, an empty table an empty one; other
+    A null text counts as empty and fails the base rules. A text in a language without a
+    band (null too), or not in its language's script, takes the band of the script of most of its
+    letters, and where bands has none that of the empty key, which is BANDS' own if bands lacks it.
+    script is empty for a text without letters of SCRIPTS. Repeated rows give repeated results, an empty table an empty one; other
     columns are ignored, whatever their names.
     """
     bands = {"": BANDS[""]} | (BANDS if bands is None else bands)
@@ -133,9 +200,10 @@ def quality_rules(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | N
     def step(batch, chunk, at):
         base, more = base_measures(chunk), fertility(encoder_of(shared), chunk)
         langs = batch.column(1).slice(at, chunk.rows).to_pylist()
-        return base | more | {"kept": ~base["base_failed"] & _within(base, more, langs, bands)}
+        scripts = _NAMES[dominant_scripts(chunk)].tolist()
+        return base | more | {"script": scripts, "kept": ~base["base_failed"] & _within(base, more, langs, scripts, bands)}
 
-    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, kept boolean"
+    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string, kept boolean"
     return T.map_text(slim, text, schema, step, [doc, "__lang"]).drop("__lang")
 
 
@@ -155,7 +223,8 @@ def keep_quality(docs: DataFrame, model: PieceModel, bands: dict[str, Band] | No
                 part = batch.slice(at, chunk.rows)
                 base = base_measures(chunk)
                 langs = part.column(at_lang).to_pylist()
-                kept = ~base["base_failed"] & _within(base, fertility(encoder_of(shared), chunk), langs, bands)
+                scripts = _NAMES[dominant_scripts(chunk)].tolist()
+                kept = ~base["base_failed"] & _within(base, fertility(encoder_of(shared), chunk), langs, scripts, bands)
                 yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

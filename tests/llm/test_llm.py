@@ -343,12 +343,23 @@ def brute_base(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def brute_script(text):
+    """The script of most letters, letter by letter."""
+    found = Counter()
+    for c in text or "":
+        found.update(name for name, own in quality_rules.SCRIPTS.items() if any(low <= ord(c) <= high for low, high in own))
+    return max(quality_rules.SCRIPTS, key=lambda name: found[name]) if found else ""
+
+
 def brute_kept(text, lang, library, bands=quality_rules.BANDS):
     n_words, *_, failed = brute_base(text)
     ids = library.encode(text or "")
     n, pieces_ = max(len(ids), 1), [library.id_to_piece(i) for i in ids]
     shares = np.array(list(Counter(ids).values())) / n
-    band = bands.get(lang, bands.get("", quality_rules.BANDS[""]))
+    script = brute_script(text)
+    band = bands.get(script, bands.get("", quality_rules.BANDS[""]))
+    if lang in bands and lang not in quality_rules.SCRIPTS and script in ("", bands[lang].script or script):
+        band = bands[lang]
     x = min(max(np.log2(n), 6), 15)
     entropy = -(shares * np.log2(shares)).sum() - (band.curve[0] + band.curve[1] * x + band.curve[2] * x * x)
     by_byte = sum(library.is_byte(i) and p not in ("<0x0A>", "<0x0D>") for i, p in zip(ids, pieces_)) / n
@@ -386,6 +397,33 @@ def test_quality_rules(odd_docs, no_docs, docs, model):
     assert quality_rules.quality_rules(no_docs, model).count() == 0
 
 
+PROSE = {
+    "Cyrillic": "Весной река разлилась и затопила нижние луга, поэтому жители деревни переправлялись на лодках. Старый мельник рассказывал детям, как раньше строили плотины и какие рыбы водились в омутах. Зимой дорога замерзала, и в город ездили на санях прямо по льду, потому что так было короче. Однажды учитель нашёл на чердаке старую тетрадь, где его дед записывал погоду, цены на зерно и имена всех проезжих купцов.",
+    "Greek": "Την άνοιξη το ποτάμι πλημμύρισε και οι κάτοικοι του χωριού περνούσαν απέναντι με βάρκες. Ο γέρος μυλωνάς διηγόταν στα παιδιά πώς έχτιζαν παλιά τα φράγματα και ποια ψάρια ζούσαν στα βαθιά νερά. Τον χειμώνα ο δρόμος πάγωνε και πήγαιναν στην πόλη από το βουνό. Μια μέρα ο δάσκαλος βρήκε στη σοφίτα ένα παλιό τετράδιο όπου ο παππούς του έγραφε τον καιρό και τις τιμές του σιταριού.",
+    "Latin": "Wiosną rzeka wylała i zalała niskie łąki, więc mieszkańcy wsi przeprawiali się łodziami. Stary młynarz opowiadał dzieciom, jak dawniej budowano tamy i jakie ryby żyły w głębokiej wodzie. Zimą droga zamarzała, więc do miasta jeżdżono saniami prosto przez jezioro, bo tak było bliżej. Pewnego dnia nauczyciel znalazł na strychu stary zeszyt, w którym jego dziadek zapisywał pogodę, ceny zboża i nazwiska kupców.",
+}
+
+
+def test_quality_rules_by_script(spark, model):
+    """Prose keeps to the band of its script whatever its language is said to be; ciphered prose doesn't."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_file())
+    rows = [(script, lang, text) for script, text in PROSE.items() for lang in (None, "xx", script)]
+    rows += [("Cyrillic", "en", PROSE["Cyrillic"]), ("Greek", "de", PROSE["Greek"])]
+    junk = [("Cyrillic", "ru", "".join(chr(0x400 + (ord(c) * 31 + i * i) % 0x130) if c.isalpha() else c for i, c in enumerate(PROSE["Cyrillic"])))]
+    junk += [("Cyrillic", None, " ".join("\u0440" * (3 + i % 4) for i in range(90))), ("Latin", None, " ".join("xq" + "kzvw"[i % 4] * 3 + "jqx" * (i % 3) for i in range(120)))]
+    odd = [("", "en", "1 2 3 " * 40), ("", None, None), ("", "en", ""), ("Han", "en", "\u4e2d\u6587 a \U00020000"), ("Latin", "en", "a\u03b1")]
+    given = [(k, *row) for k, row in enumerate(rows + junk + odd)]
+    docs = spark.createDataFrame(given, "doc_id long, want string, lang string, text string").repartition(3)
+    out = {r.doc_id: r for r in quality_rules.quality_rules(docs, model).collect()}
+    for k, want, lang, text in given:
+        assert out[k].script == want == brute_script(text) and out[k].kept == brute_kept(text, lang, library)
+        assert out[k].kept == (k < len(rows))
+    kept = quality_rules.keep_quality(docs, model)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(rows)))
+
+
 def test_quality_rules_tell_junk(spark, sf_mid, model):
     docs, labels = (spark.read.parquet(f"{sf_mid}/{t}.parquet") for t in ("documents", "labels"))
     out = quality_rules.quality_rules(docs, model).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
