@@ -3,11 +3,13 @@
 A word is a run of ASCII letters and digits or of anything beyond ASCII, with
 A-Z as a-z. A benchmark item gives windows of ten words, one shorter window if
 it has fewer. Windows of the corpus are looked up by a 64-bit hash and every
-hit is verified on its words. A benchmark of more windows than a block holds is
-worked through block by block over one saved copy of the corpus: a block is
-collected, broadcast, scanned for and released before the next, and the hits of
-all blocks are put together before anything is counted or cut. So driver and
-tasks hold one block at most, and results don't depend on the block size.
+hit is verified on its words. A benchmark of more (window, item) pairs than a
+block holds is worked through block by block over one saved copy of the corpus: a
+block of windows, without their items, is collected, broadcast, scanned for and
+released before the next, and the hits of all blocks are put together before
+anything is counted or cut. The items of the windows found are joined to the hits.
+So driver and tasks hold one block at most, however many items share a window, and
+results don't depend on the block size.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from tallyhouse.llm import arrow_text as T
 from tallyhouse.llm.shared import Scratch, lasting
 
 WINDOW = 10
-#: Distinct item windows that one broadcast holds at most (about 100 bytes each).
+#: Distinct item windows, and (window, item) pairs, that one broadcast holds at most (about 100 bytes each).
 BLOCK_WINDOWS = 500_000
 _FILTER_BITS = 20
 
 
 def _item_windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """Distinct (hash, size, words, items) over all items, one row per window."""
+    """(hash, size, words, item) of the windows of all items."""
 
     def run(batches):
         for batch in batches:
@@ -50,12 +52,11 @@ def _item_windows(benchmark: DataFrame, item: str, text: str, window: int) -> Da
                     n = len(firsts)
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([size] * n, pa.int32()), pa.array(spelled, pa.binary()), pa.array([ids[at + row].as_py()] * n, pa.string())], names=["hash", "size", "words", "item"])
 
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(run, "hash long, size int, words binary, item string")
-    return rows.groupBy("hash", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(run, "hash long, size int, words binary, item string")
 
 
 class _Scanner:
-    """Looks up windows of a chunk in one block of item windows."""
+    """Looks up windows of a chunk in one block of (hash, size, words, items); items are ids or, if these are joined later, the words."""
 
     def __init__(self, block: list[tuple[int, int, bytes, list[str]]]):
         self.by_size: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = {}
@@ -86,19 +87,28 @@ _TOLD = f"n_hit long, n_items long, items_sha256 string, contaminated boolean, s
 
 
 class _Blocks:
-    """The item windows of a benchmark in blocks of at most about block_windows."""
+    """The item windows of a benchmark: whole, with their items, or in blocks of at most about block_windows without them.
+
+    pairs holds (words, item) where the windows come without items.
+    """
 
     def __init__(self, benchmark: DataFrame, item: str, text: str, window: int, block_windows: int, scratch: Scratch):
         self.context = benchmark.sparkSession.sparkContext
-        self.found, self.count = _item_windows(benchmark, item, text, window), 1
+        self.pairs, self.whole, self.count = _item_windows(benchmark, item, text, window), True, 1
         most = benchmark.select(F.coalesce(F.sum(F.length(F.col(text).cast("string"))), F.lit(0))).first()[0] // 2 + 1  # no more words than that
         if most > block_windows:
-            self.found = scratch.keep(self.found)
+            self.pairs = scratch.keep(self.pairs.distinct())
+            self.whole = self.pairs.count() <= block_windows
+        if self.whole:
+            self.found = self.pairs.groupBy("hash", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        else:
+            self.found = scratch.keep(self.pairs.select("hash", "size", "words").distinct())
             self.count = max(1, -(-self.found.count() // block_windows))
 
     def broadcast(self, k: int):
         part = self.found if self.count == 1 else self.found.filter(F.pmod(F.col("hash"), F.lit(self.count)) == k)
-        return self.context.broadcast([tuple(r) for r in part.collect()])
+        rows = part.collect()
+        return self.context.broadcast([(r.hash, r.size, bytes(r.words), r["items"] if self.whole else [bytes(r.words)]) for r in rows])
 
     def each(self) -> Iterator:
         """One broadcast after another; each goes when the next is asked for."""
@@ -161,9 +171,9 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
 
 
 def _hits_of_blocks(numbered: DataFrame, row: str, text: str, blocks: _Blocks, scratch: Scratch) -> DataFrame:
-    """(__row, the columns of _TOLD) of the texts with hits in any block."""
+    """(__row, windows, spans) of the texts with hits, a row for each block that has some; windows by their words."""
     slim = numbered.select(F.col(row).alias("__row"), F.col(text).cast("string").alias("__text"))
-    names = ["__row", "items", "spans"]
+    names = ["__row", "windows", "spans"]
 
     def scan_with(block):
         def run(batches):
@@ -172,22 +182,37 @@ def _hits_of_blocks(numbered: DataFrame, row: str, text: str, blocks: _Blocks, s
                     items, spans = _by_row(*_scanner(block).scan(chunk), chunk.rows)
                     own = [k for k in range(chunk.rows) if items[k]]
                     if own:
-                        columns = [batch.column(0).slice(at, chunk.rows).take(pa.array(own)), pa.array([sorted(items[k]) for k in own], pa.list_(pa.string())), _span_array([spans[k] for k in own])]
+                        columns = [batch.column(0).slice(at, chunk.rows).take(pa.array(own)), pa.array([sorted(items[k]) for k in own], pa.list_(pa.binary())), _span_array([spans[k] for k in own])]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return run
 
-    parts = [scratch.keep(slim.mapInArrow(scan_with(block), f"__row long, items array<string>, spans {_SPANS}")) for block in blocks.each()]
+    return reduce(DataFrame.unionByName, [scratch.keep(slim.mapInArrow(scan_with(block), f"__row long, windows array<binary>, spans {_SPANS}")) for block in blocks.each()])
+
+
+def _hit_spans(hits: DataFrame) -> DataFrame:
+    """(__row, n_hit, spans), one row per text, of _hits_of_blocks."""
 
     def merge(batches):
         for batch in batches:
-            items = [set(x) for x in batch.column(1).to_pylist()]
-            spans = [_union([(s["first"], s["end"]) for s in x]) for x in batch.column(2).to_pylist()]
-            made = _told(items, spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], names=["__row", *made])
+            spans = [_union([(s["first"], s["end"]) for s in x]) for x in batch.column(1).to_pylist()]
+            n_hit = pa.array([sum(b - a for a, b in x) for x in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_hit, _span_array(spans)], names=["__row", "n_hit", "spans"])
 
-    gathered = reduce(DataFrame.unionByName, parts).groupBy("__row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return scratch.keep(gathered.mapInArrow(merge, f"__row long, {_TOLD}"))
+    gathered = hits.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return gathered.mapInArrow(merge, f"__row long, n_hit long, spans {_SPANS}")
+
+
+def _hit_items(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(__row, n_items, items_sha256) of _hits_of_blocks, one row per text whose windows have an item id.
+
+    A row of a text and an item is made once for each of the windows that they share,
+    and merged in the task before it is shuffled.
+    """
+    found = hits.select("__row", F.explode("windows").alias("words"))
+    items = found.join(pairs.filter("item is not null").select("words", "item"), "words").select("__row", "item").distinct()
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256)
+    return items.groupBy("__row").agg(F.count("item").alias("n_items"), digest.alias("items_sha256"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -202,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     slim = docs.select(F.col(doc), F.col(text).cast("string").alias("__text"))
     with Scratch(docs.sparkSession) as scratch:
         blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
-        if blocks.count == 1:
+        if blocks.whole:
             block = blocks.broadcast(0)
 
             def step(batch, chunk, at):
@@ -214,9 +239,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
         numbered, row = _numbered(slim, scratch)
         hits = _hits_of_blocks(numbered, row, "__text", blocks, scratch)
         counted = T.map_text(numbered, "__text", "n_words long", lambda batch, chunk, at: {"n_words": T.words(chunk, T.ALNUM, lower=True).counts.astype(np.int64)}, [row, doc])
-        joined = counted.join(hits.withColumnRenamed("__row", row), row, "left")
+        told = _hit_spans(hits).join(_hit_items(hits, blocks.pairs), "__row", "left").withColumn("contaminated", F.lit(True))
+        joined = counted.join(told.withColumnRenamed("__row", row), row, "left")
         none = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256), "contaminated": F.lit(False), "spans": F.array().cast(_SPANS)}
-        return lasting(joined.select(doc, "n_words", *(F.coalesce(c, v.cast(hits.schema[c].dataType)).alias(c) for c, v in none.items())))
+        return lasting(joined.select(doc, "n_words", *(F.coalesce(c, v.cast(told.schema[c].dataType)).alias(c) for c, v in none.items())))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -227,7 +253,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """
     with Scratch(docs.sparkSession) as scratch:
         blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
-        if blocks.count == 1:
+        if blocks.whole:
             block = blocks.broadcast(0)
 
             def clean(chunk):
@@ -272,7 +298,7 @@ def strip_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     at_text = docs.columns.index(text)
     with Scratch(docs.sparkSession) as scratch:
         blocks = _Blocks(benchmark, item, item_text, window, block_windows, scratch)
-        if blocks.count == 1:
+        if blocks.whole:
             block = blocks.broadcast(0)
 
             def scan(batches):
@@ -285,7 +311,7 @@ def strip_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text"
             return docs.mapInArrow(scan, docs.schema)
 
         numbered, row = _numbered(docs, scratch)
-        hits = _hits_of_blocks(numbered, row, text, blocks, scratch).select(F.col("__row").alias(row), F.col("spans").alias(f"{row}spans"))
+        hits = _hit_spans(_hits_of_blocks(numbered, row, text, blocks, scratch)).select(F.col("__row").alias(row), F.col("spans").alias(f"{row}spans"))
         schema = K.StructType(docs.schema.fields)
 
         def cut(batches):

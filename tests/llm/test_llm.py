@@ -300,6 +300,26 @@ def test_contamination_of_many_blocks(spark, block):
     assert cut[0].split() == ["x", "y"] and cut[1].split() == ["a", "b"] and cut[2] == rows[2][1] and cut[3] is None
 
 
+def test_window_of_all_items(spark):
+    """Items that all share a window aren't broadcast with it; their ids are joined to the hits."""
+    items = [(k, "p q r" if k % 3 else f"p q r s{k}") for k in range(300)] + [(None, "p q r"), (None, "u v")]
+    rows = [(0, "a p q r b"), (1, "p q r s3 p q r s6 p q r"), (2, "p q"), (3, None), (4, "p q r s9")] + [(k, "x p q r") for k in range(5, 60)] + [(60, "u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for block in (290, 40, 1):  # fewer than the pairs; more than the windows, fewer, one
+        with decontamination.Scratch(spark) as scratch:
+            blocks = decontamination._Blocks(benchmark, "item_id", "text", 10, block, scratch)
+            assert not blocks.whole and blocks.count == -(-102 // block) and all(len(i) == 1 for *_, i in blocks.broadcast(0).value)
+        if block == 1:
+            break
+        got = decontamination.contamination(docs, benchmark, block_windows=block)
+        want = Counter((i, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in rows if i != 60)
+        found = {r.doc_id: r for r in got.drop("spans").collect()}
+        assert Counter(tuple(r) for r in found.values() if r.doc_id != 60) == want
+        assert tuple(found[60])[1:4] == (2, 2, 0) and found[60].contaminated  # an item without an id is hit, but not listed
+        assert {r.doc_id for r in decontamination.drop_contaminated(docs, benchmark, block_windows=block).collect()} == {2, 3}
+
+
 # --- 4: sharding ----------------------------------------------------------
 
 
