@@ -47,13 +47,15 @@ def shard_by_bytes(rows: DataFrame, n_shards: int, order: str, size: str, partit
     for part in sorted(totals):
         starts[part], total = total, total + totals[part]
 
+    # Shard k begins at the first middle, in half bytes, of at least k / n_shards of the whole.
+    cuts = np.array([-(-2 * total * k // n_shards) for k in range(1, n_shards)] if total else [], np.int64)
+
     def assign(batches):
         at = starts.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
             sizes = np.asarray(batch.column(batch.schema.get_field_index(size)).cast(pa.int64()).fill_null(0))
             ends = at + np.cumsum(sizes)
-            middles = (2 * ends - sizes).astype(object) * n_shards // (2 * total) if total else np.zeros(len(sizes))
-            shards = np.minimum(np.asarray(middles, np.int64), n_shards - 1)
+            shards = np.searchsorted(cuts, 2 * ends - sizes, "right")
             at = int(ends[-1]) if len(ends) else at
             yield batch.append_column("shard", pa.array(shards.astype(np.int32)))
 
