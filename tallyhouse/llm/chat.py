@@ -3,15 +3,16 @@
 Each assistant turn becomes an example: all turns before it are context and
 only its own text is trainable. The rendered form of a turn doesn't depend on
 later turns, so example k of a conversation is a prefix of one rendered
-conversation plus the range of its reply. example_spans keeps that compact form,
-whose size follows the input, and read_examples reads every prefix and mask back
-from it; expand_examples writes the examples out.
+conversation plus the range of its reply: example_spans keeps that compact form,
+whose size follows the input. expand_examples writes the examples out, and so
+does written_examples, in pieces of bounded size, which read_examples reads back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: About so many characters of written-out examples leave a task at once.
 EXPANDED_CHARS = 1 << 24
+#: written_examples cuts contexts into pieces of so many characters; a rendered conversation of more bytes waits in a task's temporary file.
+PIECE_CHARS, SPOOLED_BYTES = 1 << 15, 1 << 24
 #: Texts never hold "<|" after this, so a mark in the output is always ours.
 _PLAIN, _ESCAPED, _BACKSLASH = "<|", "<\\|", "\\"
 
@@ -105,27 +108,69 @@ def expand_examples(conversations: DataFrame, **names) -> DataFrame:
     grow with the square of a conversation's turns; example_spans does not. Nulls,
     ties and repeated rows are as in example_spans; an empty table gives no examples.
     """
-    placed = placed_turns(conversations, **names)
+    return _written_out(placed_turns(conversations, **names))
+
+
+def written_examples(conversations: DataFrame, **names) -> DataFrame:
+    """expand_examples with long contexts in several rows, and the turns that are in no example.
+
+    A context of more than PIECE_CHARS characters comes in several rows of its example, in order; only the last of them
+    has target and tail. The turns after a conversation's last example come in the same way, as contexts of rows
+    without example, so all turns are there. A task holds a piece at a time, and a rendered conversation of more than
+    SPOOLED_BYTES in a temporary file; what is written grows with the square of a conversation's turns.
+    """
+    return _written_out(placed_turns(conversations, **names), PIECE_CHARS)
+
+
+def _written_out(placed: DataFrame, piece: int | None = None) -> DataFrame:
+    """expand_examples of placed_turns' rows, or with piece written_examples."""
     kind = placed.schema["conv_id"].dataType.simpleString()
-    tail = f"{CLOSE}\n"
 
-    def write(batches):
-        now, told = None, None
+    def cut(told, key, head="", target=None):
+        text = told.read(piece or -1)
+        while piece and (more := told.read(piece)):
+            yield (*key, text, None, None)
+            text = more
+        if text or head or target is not None:
+            yield (*key, text + head, target, None if target is None else f"{CLOSE}\n")
+
+    def turns(batches):
+        now, told, seen = None, None, 0
         for batch in batches:
-            schema = pa.schema([batch.schema.field("conv_id"), ("example", pa.int64()), ("turn", pa.int64()), *((n, pa.string()) for n in ("context", "target", "tail"))])
-            found, held = [], 0
             for conv, turn, rendered, start, example, loss_start, loss_end in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if told is None or conv != now:
-                    now, told = conv, io.StringIO()
+                    if piece and told is not None:
+                        told.seek(seen)
+                        yield from cut(told, (now, None, None))
+                    now, told, seen = conv, tempfile.SpooledTemporaryFile(SPOOLED_BYTES, "w+", encoding="utf-8", newline=""), 0
                 if example is not None:
-                    found.append({"conv_id": conv, "example": example, "turn": turn, "context": told.getvalue() + rendered[: loss_start - start], "target": rendered[loss_start - start : loss_end - start], "tail": tail})
-                    held += loss_end
+                    told.seek(0)
+                    yield from cut(told, (conv, example, turn), rendered[: loss_start - start], rendered[loss_start - start : loss_end - start])
+                    told.seek(0, io.SEEK_END)
                 told.write(rendered)
-                if held > EXPANDED_CHARS:
-                    yield pa.RecordBatch.from_pylist(found, schema=schema)
-                    found, held = [], 0
-            if found:
+                if example is not None:
+                    seen = told.tell()
+        if piece and told is not None:
+            told.seek(seen)
+            yield from cut(told, (now, None, None))
+
+    def write(batches):
+        names, found, held, schema = ("example", "turn", "context", "target", "tail"), [], 0, None
+
+        def noted():
+            nonlocal schema
+            for batch in batches:
+                schema = schema or pa.schema([batch.schema.field("conv_id"), *((n, pa.int64() if n in ("example", "turn") else pa.string()) for n in names)])
+                yield batch
+
+        for row in turns(noted()):
+            found.append(dict(zip(("conv_id", *names), row, strict=True)))
+            held += len(row[3]) + len(row[4] or "")
+            if held > EXPANDED_CHARS:
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
+                found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return placed.mapInArrow(write, f"conv_id {kind}, example long, turn long, context string, target string, tail string")
 
@@ -158,17 +203,17 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def read_examples(conversations: DataFrame, **names) -> DataFrame:
-    """One row per conversation, read back from its examples: the columns of digests, example_chars, examples_sha256.
+    """One row per conversation, read back from its written examples: the columns of digests, example_chars, examples_sha256.
 
-    Each example is what placed_turns says of it: a prefix and a mask by their places in
-    the rendered conversation. loss_chars, loss_sha256 and n_examples are of the text
-    under the masks, unescaped; example_chars is the length of all examples together,
-    examples_sha256 a digest of their digests (lowercase hex, one after another), contexts included.
+    Every example is written out, all turns before it as context, and read whole. loss_chars,
+    loss_sha256 and n_examples are of the text under the masks, unescaped; example_chars is the length
+    of all examples together, examples_sha256 a digest of their digests (lowercase hex, one after
+    another), contexts included. Turns are parsed where an example first holds them.
     Null roles and texts count as empty; equal turns are in the order of role and text,
     repeated rows are turns of their own. Rows without conv_id are one conversation.
     Other columns are ignored; an empty table gives no rows.
     """
-    return read_placed(placed_turns(conversations, **names))
+    return read_written(written_examples(conversations, **names))
 
 
 def example_digests(conversations: DataFrame, **names) -> DataFrame:
@@ -176,8 +221,10 @@ def example_digests(conversations: DataFrame, **names) -> DataFrame:
     return read_examples(conversations, **names).drop("example_chars", "examples_sha256")
 
 
-def _unescaped(text: str) -> str:
-    return _BACKSLASH.join(part.replace(_ESCAPED, _PLAIN) for part in text.split(_BACKSLASH * 2))
+def _unescaped(text: str, role: bool = False) -> str:
+    """unescape of a text, or of a role."""
+    halves = (part.replace(_ESCAPED, _PLAIN) for part in text.split(_BACKSLASH * 2))
+    return _BACKSLASH.join(half.replace("\\n", "\n") if role else half for half in halves)
 
 
 class _Reader:
@@ -212,9 +259,84 @@ class _Reader:
         return [self.turns, self.told.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.examples, self.chars, self.example_chars, self.prefixes.hexdigest()]
 
 
+#: What read_examples tells of a conversation.
+_TOLD = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "n_examples", "formatted_chars", "example_chars", "examples_sha256"]
+
+
+class _WrittenReader:
+    """Reads a conversation's written examples piece by piece. Text past the example before holds the turns that are
+    new; of those it keeps what isn't parsed yet, of all else digests and counts."""
+
+    def __init__(self):
+        self.turns = self.examples = self.example_chars = self.loss_chars = self.chars = self.at = 0
+        self.told, self.loss, self.digests, self.example = (hashlib.sha256() for _ in range(4))
+        self.open, self.end = [], ""
+
+    def read(self, example: int | None, context: str, target: str | None, tail: str | None) -> None:
+        if example is None:
+            self.chars += len(context)
+            return self._parse(context)
+        for text in (context, target, tail):
+            self._piece(text or "")
+        if target is not None:
+            loss = _unescaped(target)
+            self.loss_chars += len(loss)
+            self.loss.update(loss.encode())
+            self.digests.update(self.example.hexdigest().encode())
+            self.examples += 1
+            self.example_chars += self.at
+            self.example, self.at = hashlib.sha256(), 0
+
+    def _piece(self, text: str) -> None:
+        self.example.update(text.encode())
+        new = text[max(0, self.chars - self.at) :]
+        self.at += len(text)
+        self.chars = max(self.chars, self.at)
+        self._parse(new)
+
+    def _parse(self, text: str) -> None:
+        self.open.append(text)
+        ends = f"{CLOSE}\n" in self.end + text
+        self.end = (self.end + text)[-len(CLOSE) :]
+        if ends:
+            *whole, left = "".join(self.open).split(f"{CLOSE}\n")
+            self.open, self.end = [left], left[-len(CLOSE) :]
+            for rendered in whole:
+                role, _, body = rendered[len(OPEN) :].partition("\n")
+                self.turns += 1
+                self.told.update(f"{_unescaped(role, True)}\n{_unescaped(body)}\n".encode())
+
+    def result(self) -> list:
+        return [self.turns, self.told.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.examples, self.chars, self.example_chars, self.digests.hexdigest()]
+
+
+def read_written(written: DataFrame) -> DataFrame:
+    """read_examples of written_examples' rows, which come whole and in order."""
+    kind = written.schema["conv_id"].dataType.simpleString()
+
+    def read(batches):
+        now, reader, schema = None, None, None
+        for batch in batches:
+            schema = pa.schema([pa.field("conv_id", batch.schema.field("conv_id").type), *((n, pa.string() if "sha" in n else pa.int64()) for n in _TOLD)])
+            done = []
+            for conv, *row in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "example", "context", "target", "tail")), strict=True):
+                if reader is None or conv != now:
+                    if reader is not None:
+                        done.append(dict(zip(schema.names, [now, *reader.result()], strict=True)))
+                    now, reader = conv, _WrittenReader()
+                reader.read(*row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if reader is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [now, *reader.result()], strict=True))], schema=schema)
+
+    return written.mapInArrow(read, f"conv_id {kind}, " + ", ".join(f"{n} {'string' if 'sha' in n else 'long'}" for n in _TOLD))
+
+
 def read_placed(placed: DataFrame) -> DataFrame:
-    """read_examples of placed_turns' rows, which come whole and in order."""
-    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "n_examples", "formatted_chars", "example_chars", "examples_sha256"]
+    """What read_examples tells, of placed_turns' rows, which come whole and in order: examples are read as ranges of the
+    rendered conversation and not written out."""
+    names = _TOLD
     kind = placed.schema["conv_id"].dataType.simpleString()
     parsed = _parsed(placed.withColumns({"trainable": F.lit(False), "from": F.lit(0), "long": F.lit(0)}), "rendered", "loss_start", "loss_end", "n_chars")
 

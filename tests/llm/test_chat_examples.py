@@ -47,3 +47,23 @@ def test_wrong_starts_show(conversations):
     placed = chat.placed_turns(conversations)
     moved = placed.withColumns({c: F.col(c) + F.col("start") * 2 + 1000 for c in ("loss_start", "loss_end", "n_chars")})
     assert by_conversation(chat.read_placed(moved))[1] != by_conversation(chat.read_placed(placed))[1]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 15])
+def test_examples_are_written_and_read(conversations, monkeypatch, piece):
+    """The query's rows come from examples that are written out, in pieces of any size; a changed context or target shows."""
+    monkeypatch.setattr(chat, "PIECE_CHARS", piece)
+    monkeypatch.setattr(chat, "SPOOLED_BYTES", 20)
+    written = chat.written_examples(conversations)
+    joined = {}
+    for r in written.collect():
+        joined.setdefault((r.conv_id, r.example), []).append(r.context + (r.target or "") + (r.tail or ""))
+    whole = {(r.conv_id, r.example): r.context + r.target + r.tail for r in chat.expand_examples(conversations).collect()}
+    assert {k: "".join(v) for k, v in joined.items() if k[1] is not None} == whole
+    assert ["".join(v) for k, v in joined.items() if k[1] is None and k[0] in (1, 3)] == ["<|im_start|>user\n<\\|t8\\\\é<|im_end|>\n", "<|im_start|>user\n<|im_end|>\n"]
+    right = by_conversation(chat.read_examples(conversations))
+    assert right == by_conversation(chat.read_placed(chat.placed_turns(conversations)))
+    for column, wrong in {"context": F.concat(F.lit("x"), "context"), "target": F.concat("target", F.lit("x"))}.items():
+        assert by_conversation(chat.read_written(written.withColumn(column, wrong)))[1] != right[1]
+    cut = written.withColumn("context", F.when(F.col("example").isNull(), F.col("context")).otherwise(""))
+    assert by_conversation(chat.read_written(cut))[1] != right[1]
