@@ -120,3 +120,12 @@ def test_reconciled_days(spark, seed):
     assert quality.reconcile_days(empty, empty, "d", ["s"], ["a", "b"]).count() == 0
     undated = spark.createDataFrame([(None, "s", 3, None)], a.schema)
     assert quality.reconcile_days(a.unionByName(undated), a, "d", ["s"], ["a", "b"]).count() == 1
+
+
+def test_records_are_parsed_once(spark, sf_small):
+    """A filter on the outcome stays above the parse, which it would repeat for each field and cast."""
+    from tallyhouse.plans.registry import QUERIES
+
+    for name in ("s1_landed", "s1_rejected"):
+        plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and plan.count("StructsToJsonEvaluator") <= 4
