@@ -57,3 +57,14 @@ def test_all_checks_have_tables(spark, sf_small):
     assert (count["not_null"], count["unique"], count["accepted_values"], count["relationships"]) == (73, 15, 14, 4)
     tables = Model(spark, sf_small).tables()
     assert all(c.column in tables[c.table].columns for c in DECLARED) and {c.table for c in DECLARED} == set(tables)
+
+
+def test_only_what_is_counted_is_written(spark, sf_small, tables, monkeypatch):
+    """Values that break no rule and that no relationship joins aren't kept; critical checks build their own tables alone."""
+    kept, build = [], checks._telling
+    monkeypatch.setattr(checks, "_telling", lambda *a: kept.append((a[1], build(*a))) or kept[-1][1])
+    checks.run_declared(tables, RULES)
+    values = checks.distinct_values(tables["child"], ["id", "kind", "fk"], ["id", "part"]).filter(dict(kept)["child"]).collect()
+    assert sorted((r.part, r.value or "", r.n) for r in values) == [(-1, "", 6), (0, "1", 2), (0, "3", 2), (1, "w", 1), (1, "z", 1), (2, "", 1), (2, "a", 2), (2, "b", 1), (2, "d", 2)]
+    assert checks.named(DECLARED, ["critical"]) == ["dim_store", "dim_item", "fact_sales", "store_daily_sales"]
+    assert set(Model(spark, sf_small).tables("fact_sales", "dim_item")) == {"fact_sales", "dim_item"}

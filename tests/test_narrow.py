@@ -58,3 +58,25 @@ def test_one_shuffle(spark, model):
         assert plan(df).count("Exchange hashpartitioning") == 1
     assert plan(sales.order_lines(spark, model.sf_dir)).count("Exchange hashpartitioning") == 1
     assert plan(model.deduped.filter(F.col("order_month") == D.date(2000, 1, 1))).count("Exchange") <= 0
+
+
+def test_landed_lines_are_dealt_out_narrow(spark, sf_small, monkeypatch, whole):
+    """Texts of the landed table are made after the shuffle by day, and stores are joined to orders."""
+    from tallyhouse.plans import registry
+
+    plans, append = [], registry.landing.append_raw
+    monkeypatch.setattr(registry.landing, "append_raw", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or append(rows, *a, **k))
+    registry.QUERIES["s4_replaced_window"](spark, sf_small)
+    above, below = plans[0].split("RebalancePartitions")
+    assert "AS store_name" in above and "AS store_name" not in below and "Invoice" not in below
+    model = Model(spark, sf_small)
+    assert rows(staging.enrich_sales(staging.stage_sales(sales.invoice_lines(model.raw_lines)))) == rows(whole)
+
+
+def test_newest_lines_and_items_carry_no_texts(model):
+    """What is shuffled for history and for the newest lines is made of raw columns; parts aren't among them."""
+    before_shuffle = lambda df: plan(df).split("Exchange hashpartitioning")[1].split("BroadcastExchange")[0]
+    assert "p_name" not in before_shuffle(model.by_item)
+    newest = sales.newest_lines(model.lines, "item_number", history.newest_first)
+    chosen = before_shuffle(newest)
+    assert "order_date" in chosen and " item_number#" not in chosen and "store_number#" not in chosen and newest.columns == model.lines.columns
